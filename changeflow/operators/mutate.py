@@ -70,21 +70,27 @@ def doc_upsert(
     src: DataFrame,
     key: list[str],
     set_fields: list[str],
-    set_on_insert: dict[str, Column] | None = None,
+    set_on_insert: dict[str, Column] | list[str] | None = None,
 ) -> DataFrame:
     """MUT-3: document upsert with ``$set`` and ``$setOnInsert``.
 
     ``$set`` fields replace the stored value whole (an embedded struct is not
     merged field by field; an explicit NULL is stored); fields not named keep
-    their value; ``$setOnInsert`` applies only to new keys. A field the target
-    does not have yet widens the output (NULL on untouched documents).
+    their value; ``$setOnInsert`` applies only to new keys, with either fixed
+    expressions (dict) or the source's own values (list of field names). A
+    field the target does not have yet widens the output (NULL on untouched
+    documents).
     """
-    set_on_insert = set_on_insert or {}
+    if isinstance(set_on_insert, (list, tuple)):
+        set_on_insert = {c: F.col(f"_s_{c}") for c in set_on_insert}
+        from_src = list(set_on_insert)
+    else:
+        set_on_insert, from_src = set_on_insert or {}, []
     out_cols = list(target.columns)
     for c in list(set_fields) + list(set_on_insert):
         if c not in out_cols:
             out_cols.append(c)
-    src_sel = src.select(*key, *[c for c in set_fields if c not in key])
+    src_sel = src.select(*key, *[c for c in list(set_fields) + from_src if c not in key])
     j = _keyed_full_join(target, src_sel, key)
     in_t, in_s = _present("t"), _present("s")
     exprs = []

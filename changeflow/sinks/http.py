@@ -34,6 +34,21 @@ def post_json(url: str, records: list[dict], timeout: float = 30.0) -> None:
             raise IOError(f"HTTP {resp.status} from {url}")
 
 
+def file_transport(url: str, records: list[dict]) -> None:
+    """Offline transport: each batch becomes one JSON file in the folder ``file://...``.
+
+    Useful where no endpoint may be reached (tests, dry runs); file names are
+    unique per batch, so retried batches show up as repeats, as they would at
+    an HTTP receiver.
+    """
+    import os
+    import uuid
+
+    folder = url[len("file://"):] if url.startswith("file://") else url
+    with open(os.path.join(folder, f"batch-{uuid.uuid4().hex}.json"), "w") as f:
+        json.dump(records, f, default=str)
+
+
 def _resolve(spec: str | None):
     if not spec:
         return post_json
