@@ -61,16 +61,18 @@ def capture(
     """
     cols = old.columns
     values = [c for c in cols if c not in key]
-    o = old.select(*[F.col(c).alias(f"_o_{c}") for c in cols], F.lit(True).alias("_o_present"))
-    n = new.select(*[F.col(c).alias(f"_n_{c}") for c in cols], F.lit(True).alias("_n_present"))
-    cond = [F.col(f"_o_{k}") == F.col(f"_n_{k}") for k in key]
+    # Both sides keep their own column names (qualified by alias): identical
+    # inputs then plan identical exchanges, which Spark reuses across joins.
+    o = old.select(*cols, F.lit(True).alias("_present")).alias("o")
+    n = new.select(*cols, F.lit(True).alias("_present")).alias("n")
+    cond = [F.col(f"o.{k}") == F.col(f"n.{k}") for k in key]
     j = o.join(n, cond, "full_outer")
-    o_here, n_here = F.col("_o_present").isNotNull(), F.col("_n_present").isNotNull()
-    diff = changed([(F.col(f"_o_{c}"), F.col(f"_n_{c}")) for c in values])
+    o_here, n_here = F.col("o._present").isNotNull(), F.col("n._present").isNotNull()
+    diff = changed([(F.col(f"o.{c}"), F.col(f"n.{c}")) for c in values])
     op = F.when(~o_here, F.lit("c")).when(~n_here, F.lit("d")).when(diff, F.lit("u"))
-    before = F.struct(*[F.col(f"_o_{c}").alias(c) for c in cols])
-    after = F.struct(*[F.col(f"_n_{c}").alias(c) for c in cols])
-    key_struct = F.struct(*[F.coalesce(F.col(f"_n_{k}"), F.col(f"_o_{k}")).alias(k) for k in key])
+    before = F.struct(*[F.col(f"o.{c}").alias(c) for c in cols])
+    after = F.struct(*[F.col(f"n.{c}").alias(c) for c in cols])
+    key_struct = F.struct(*[F.coalesce(F.col(f"n.{k}"), F.col(f"o.{k}")).alias(k) for k in key])
     return (
         j.select(
             F.lit(table).alias("table"),

@@ -15,16 +15,26 @@ from changeflow.operators.capture import net_changes
 
 
 def _present(side: str) -> Column:
-    return F.col(f"_{side}_present").isNotNull()
+    return F.col(f"{side}._present").isNotNull()
 
 
 def _tag(df: DataFrame, side: str) -> DataFrame:
-    return df.select(*[F.col(c).alias(f"_{side}_{c}") for c in df.columns], F.lit(True).alias(f"_{side}_present"))
+    """Mark rows of one join side; columns keep their names, qualified by ``side``.
+
+    Keeping the names means an input used by several joins (a table version
+    in a capture and in a replay) plans the same exchange each time, and
+    Spark reuses it instead of shuffling the input again.
+    """
+    return df.select(*df.columns, F.lit(True).alias("_present")).alias(side)
+
+
+def _c(side: str, col: str) -> Column:
+    return F.col(f"{side}.{col}")
 
 
 def _keyed_full_join(target: DataFrame, src: DataFrame, key: list[str]) -> DataFrame:
     t, s = _tag(target, "t"), _tag(src, "s")
-    return t.join(s, [F.col(f"_t_{k}") == F.col(f"_s_{k}") for k in key], "full_outer")
+    return t.join(s, [_c("t", k) == _c("s", k) for k in key], "full_outer")
 
 
 def upsert(
@@ -54,12 +64,12 @@ def upsert(
     matched = in_t & in_s
     exprs = []
     for c in out_cols:
-        old = F.col(f"_t_{c}")
-        new = F.col(f"_s_{c}") if c in src.columns else defaults.get(c, F.lit(None))
+        old = _c("t", c)
+        new = _c("s", c) if c in src.columns else defaults.get(c, F.lit(None))
         if c in key:
-            e = F.coalesce(F.col(f"_t_{c}"), F.col(f"_s_{c}"))
+            e = F.coalesce(_c("t", c), _c("s", c))
         else:
-            on_match = touch[c] if c in touch else (F.col(f"_s_{c}") if c in set_cols else old)
+            on_match = touch[c] if c in touch else (_c("s", c) if c in set_cols else old)
             e = F.when(matched, on_match).when(in_t, old).otherwise(new)
         exprs.append((e.cast(types[c]) if c in types and c not in touch else e).alias(c))
     return j.select(*exprs)
@@ -82,7 +92,7 @@ def doc_upsert(
     documents).
     """
     if isinstance(set_on_insert, (list, tuple)):
-        set_on_insert = {c: F.col(f"_s_{c}") for c in set_on_insert}
+        set_on_insert = {c: _c("s", c) for c in set_on_insert}
         from_src = list(set_on_insert)
     else:
         set_on_insert, from_src = set_on_insert or {}, []
@@ -95,11 +105,11 @@ def doc_upsert(
     in_t, in_s = _present("t"), _present("s")
     exprs = []
     for c in out_cols:
-        old = F.col(f"_t_{c}") if c in target.columns else F.lit(None)
+        old = _c("t", c) if c in target.columns else F.lit(None)
         if c in key:
-            e = F.coalesce(F.col(f"_t_{c}"), F.col(f"_s_{c}"))
+            e = F.coalesce(_c("t", c), _c("s", c))
         elif c in set_fields:
-            e = F.when(in_s, F.col(f"_s_{c}")).otherwise(old)
+            e = F.when(in_s, _c("s", c)).otherwise(old)
         elif c in set_on_insert:
             e = F.when(in_t, old).otherwise(set_on_insert[c])
         else:
@@ -192,23 +202,23 @@ def apply_changes(
         F.col("seq").alias("_ev_seq"),
         *[F.col(f"after.{c}").alias(f"_a_{c}") for c in cols if c not in key],
     )
-    t = target if tracked else target.withColumn("_seq", F.lit(None).cast("bigint"))
-    if "_deleted" not in t.columns:
-        t = t.withColumn("_deleted", F.lit(False))
-    t = _tag(t, "t")
+    # An untracked target joins as it is (its exchange can be shared with other
+    # joins over the same table); the marker columns are added after the join.
+    t_seq = _c("t", "_seq") if tracked else F.lit(None).cast("bigint")
+    t_del = _c("t", "_deleted") if "_deleted" in target.columns else F.lit(False)
+    t = _tag(target, "t")
     n = _tag(net, "n")
-    j = t.join(n, [F.col(f"_t_{k}") == F.col(f"_n_{k}") for k in key], "full_outer")
+    j = t.join(n, [_c("t", k) == _c("n", k) for k in key], "full_outer")
     in_t, in_n = _present("t"), _present("n")
-    newer = in_n & (~in_t | F.col("_t__seq").isNull() | (F.col("_n__ev_seq") > F.col("_t__seq")))
-    use_event = newer
-    deleted = F.when(use_event, F.col("_n__op") == "d").otherwise(F.coalesce(F.col("_t__deleted"), F.lit(False)))
+    use_event = in_n & (~in_t | t_seq.isNull() | (_c("n", "_ev_seq") > t_seq))
+    deleted = F.when(use_event, _c("n", "_op") == "d").otherwise(F.coalesce(t_del, F.lit(False)))
     exprs = []
     for c in cols:
         if c in key:
-            exprs.append(F.coalesce(F.col(f"_t_{c}"), F.col(f"_n_{c}")).alias(c))
+            exprs.append(F.coalesce(_c("t", c), _c("n", c)).alias(c))
         else:
-            exprs.append(F.when(use_event, F.col(f"_n__a_{c}")).otherwise(F.col(f"_t_{c}")).alias(c))
-    seq = F.when(use_event, F.col("_n__ev_seq")).otherwise(F.col("_t__seq")).alias("_seq")
+            exprs.append(F.when(use_event, _c("n", f"_a_{c}")).otherwise(_c("t", c)).alias(c))
+    seq = F.when(use_event, _c("n", "_ev_seq")).otherwise(t_seq).alias("_seq")
     out = j.select(*exprs, seq, deleted.alias("_deleted"))
     if keep_markers:
         return out

@@ -10,25 +10,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from changeflow.session import checkpoint_root
+
 DEFAULT_MAX_ITEMS = 10_000
+# Hot keys are at most rows / max_items; up to this many are broadcast.
+DEFAULT_MAX_HOT_KEYS = 100_000
 
 
 def nest(df: DataFrame, key: list[str], item_cols: list[str], items: str = "items",
-         max_items: int = DEFAULT_MAX_ITEMS) -> DataFrame:
+         max_items: int = DEFAULT_MAX_ITEMS, max_hot_keys: int = DEFAULT_MAX_HOT_KEYS) -> DataFrame:
     """DER-2: one document per key holding its items as a sorted array.
 
     No array grows without bound: a key with more than ``max_items`` lines is
     split into ``ceil(count / max_items)`` documents by a hash of the item, and
-    the output carries ``chunk`` (0 for every ordinary key). Per-key counts are
-    a partial aggregate; the grouping shuffles on (key, chunk), so the lines
-    of a hot key spread over as many reducers as it has chunks.
+    the output carries ``chunk`` (0 for every ordinary key).
+
+    Plan: per-key counts (partial aggregate over the key column only) keep
+    just the hot keys; that small frame is checkpointed to the shared folder
+    and counted, and it is broadcast only when it has at most
+    ``max_hot_keys`` rows (else it is joined with a shuffle). The data itself
+    is shuffled once, on (key, chunk), so a hot key's lines spread over as
+    many reducers as it has chunks.
     """
-    counts = df.groupBy(*[F.col(k).alias(f"_c_{k}") for k in key]).agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(max_items)).cast("int").alias("_chunks")
+    checkpoint_root(df.sparkSession)
+    hot = (
+        df.groupBy(*[F.col(k).alias(f"_h_{k}") for k in key])
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .filter(F.col("_n") > F.lit(max_items))
+        .select(*[f"_h_{k}" for k in key], F.ceil(F.col("_n") / F.lit(max_items)).cast("int").alias("_chunks"))
+        .checkpoint(eager=True)
     )
-    tagged = df.join(counts, [F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in key], "inner")
+    n_hot = hot.count()
+    side = F.broadcast(hot) if n_hot <= max_hot_keys else hot
+    tagged = df.join(side, [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in key], "left")
     item = F.struct(*[F.col(c) for c in item_cols])
-    chunk = F.when(F.col("_chunks") <= 1, F.lit(0)).otherwise(
+    chunk = F.when(F.coalesce(F.col("_chunks"), F.lit(1)) <= 1, F.lit(0)).otherwise(
         F.pmod(F.xxhash64(item), F.col("_chunks").cast("bigint")).cast("int")
     )
     keyed = tagged.select(*key, chunk.alias("chunk"), item.alias("_item"))

@@ -23,6 +23,13 @@ SCHEMAS = ((1, "data"), (2, "other"))
 TRACKED_TABLES = ("customer", "orders")
 
 
+def untracked_in_schema(schema_name: str) -> list[str]:
+    """Names that can still become capture candidates (only they need the key proof)."""
+    sid = dict((n, i) for i, n in SCHEMAS)[schema_name]
+    return [t for t in ALL_TABLES
+            if (1 if t in DATA_SCHEMA_TABLES else 2) == sid and t not in TRACKED_TABLES]
+
+
 def schemas_frame(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(SCHEMAS), "schema_id int, schema_name string")
 
