@@ -21,6 +21,7 @@ from changeflow.operators.mutate import (
     next_id,
     upsert,
 )
+from changeflow.operators.signals import chunked_snapshot, snapshot_requests
 from changeflow.operators.nesting import doc_summary, nest, reconcile_documents, reconcile_totals, unnest
 from changeflow.operators.transform import (
     chain,
