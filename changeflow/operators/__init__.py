@@ -1,6 +1,7 @@
 """Operators: each is a plain ``DataFrame -> DataFrame`` function over built-in expressions."""
 
 from changeflow.operators.aggregates import counters, exists_flags, first_by, max_or_one, row_counts, set_delta
+from changeflow.operators.buckets import apply_buckets, read_buckets, upsert_buckets, write_buckets
 from changeflow.operators.capture import (
     capture,
     capture_candidates,
@@ -31,6 +32,7 @@ from changeflow.operators.transform import (
     include_tables,
     parse_json_array,
     parse_json_object,
+    per_key_order,
     route,
     strict_lookup,
     tombstones,

@@ -111,6 +111,16 @@ def event_key(events: DataFrame, key_col: str = "key") -> DataFrame:
     return events.withColumn("key_json", F.to_json(F.col(key_col)))
 
 
+def per_key_order(events: DataFrame, key_col: str = "key", seq_col: str = "seq") -> DataFrame:
+    """Delivery order: all events of a key in one task, ascending ``seq``.
+
+    Needed only for full-fidelity feeds written to a keyed log (a consumer
+    must see a key's events in order). A net-change feed has at most one event
+    per key and needs no ordering, so hot keys there never meet in one task.
+    """
+    return events.repartition(F.col(key_col)).sortWithinPartitions(key_col, seq_col)
+
+
 def strict_lookup(df: DataFrame, dim: DataFrame, on: list[tuple[str, str]], take: list[str],
                   what: str = "reference") -> DataFrame:
     """JN-6: left join that fails the job when a reference does not resolve.

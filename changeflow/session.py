@@ -12,6 +12,23 @@ from pyspark.sql import functions as F
 # Default ceiling for an explicit broadcast hint: 64 MiB of estimated plan size.
 DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
 
+# Streaming state (dedup ids) lives in RocksDB on executor disk, not on the JVM heap.
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+# Settings for a large cluster (100 TB inputs). AQE starts from many shuffle
+# partitions and coalesces them to ~256 MiB; skewed partitions are split.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.files.maxPartitionBytes": str(512 * 1024 * 1024),
+    "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB_PROVIDER,
+}
+
 
 def build_session(master: str = "local[8]", partitions: int = 8, app: str = "changeflow") -> SparkSession:
     """A session configured the way the library expects (AQE on, UTC, no UI)."""
@@ -27,6 +44,7 @@ def build_session(master: str = "local[8]", partitions: int = 8, app: str = "cha
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
