@@ -8,6 +8,7 @@ from changeflow.operators.capture import (
     capture_list_filter,
     handoff,
     net_changes,
+    require_ordered,
     snapshot,
 )
 from changeflow.operators.checks import fill_defaults, foreign_key, max_length, not_null, required, unique

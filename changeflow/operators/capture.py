@@ -134,6 +134,19 @@ def net_changes(events: DataFrame, drop_noop: bool = False) -> DataFrame:
     return out
 
 
+def require_ordered(events: DataFrame) -> None:
+    """Reject a log whose ``seq`` is not unique per (table, key).
+
+    Equal positions cannot be ordered, so they are an error, never broken
+    arbitrarily. One partially aggregated pass over (table, key, seq); only a
+    yes/no reaches the driver (``isEmpty`` stops at the first duplicate).
+    """
+    dup = (events.groupBy("table", "key", "seq").agg(F.count(F.lit(1)).alias("n"))
+           .filter(F.col("n") > 1))
+    if not dup.isEmpty():
+        raise ValueError("change log has events with equal seq for one key")
+
+
 def capture_candidates(tables: DataFrame, schemas: DataFrame, indexes: DataFrame, schema_name: str) -> DataFrame:
     """CAP-9: tables of one schema that have a primary key and are not tracked yet.
 

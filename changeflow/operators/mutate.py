@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from changeflow.operators.capture import net_changes
+from changeflow.operators.capture import net_changes, require_ordered
 
 
 def _present(side: str) -> Column:
@@ -181,6 +181,7 @@ def apply_changes(
     events: DataFrame,
     key: list[str],
     keep_markers: bool = False,
+    strict: bool = False,
 ) -> DataFrame:
     """DER-1: replay a change log onto a table (batch form of the stream apply).
 
@@ -192,8 +193,11 @@ def apply_changes(
     When the target carries ``_seq`` (position of the last applied event per
     key) an event applies only if its ``seq`` is newer, which makes a replayed
     batch a no-op. With ``keep_markers`` deleted keys stay as ``_deleted`` rows
-    so a late, older update cannot bring them back.
+    so a late, older update cannot bring them back. ``strict`` first rejects a
+    log with equal ``seq`` values for one key (``require_ordered``).
     """
+    if strict:
+        require_ordered(events)
     cols = [c for c in target.columns if c not in ("_seq", "_deleted")]
     tracked = "_seq" in target.columns
     net = net_changes(events).select(

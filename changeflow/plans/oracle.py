@@ -296,6 +296,17 @@ FROM (SELECT event_id + 1 AS n FROM events)"""
     q["snapshot_then_log"] = W_LOG + ("SELECT k, 'r' AS op, CAST(1 AS BIGINT) AS seq, status, total FROM v2 "
                                       "UNION ALL SELECT k, op, seq, after_status, after_total FROM log WHERE seq > 1")
     q["net_changes"] = W_NET + "SELECT k, op, seq, before_status, after_status FROM net"
+    q["net_changes_events"] = """
+WITH ev AS (SELECT user_id, event_id AS seq, event_type,
+                   CASE WHEN event_type = 'signup' THEN 'c' WHEN event_type = 'error' THEN 'd' ELSE 'u' END AS op
+            FROM events),
+g AS (SELECT user_id, MIN(seq) AS mn, MAX(seq) AS mx FROM ev GROUP BY user_id),
+n AS (SELECT g.user_id, g.mx AS seq, l.event_type AS l_type,
+             CASE WHEN f.op = 'c' AND l.op <> 'd' THEN 'c' WHEN f.op <> 'c' AND l.op <> 'd' THEN 'u'
+                  WHEN f.op <> 'c' AND l.op = 'd' THEN 'd' END AS op
+      FROM g JOIN ev f ON f.user_id = g.user_id AND f.seq = g.mn
+             JOIN ev l ON l.user_id = g.user_id AND l.seq = g.mx)
+SELECT user_id, op, seq, CASE WHEN op <> 'd' THEN l_type END AS last_type FROM n WHERE op IS NOT NULL"""
     q["unwrap_after"] = W_LOG + ("SELECT k, after_status AS status, after_total AS total, "
                                  "after_order_date AS order_date, op, seq FROM log WHERE op <> 'd'")
     q["tombstones_on"] = W_LOG + ("SELECT k, op, seq, FALSE AS is_tombstone, op = 'd' AS is_null_value FROM log "

@@ -322,6 +322,21 @@ def net_changes(spark, d):
                      F.col("after.status").alias("after_status"))
 
 
+def net_changes_events(spark, d):
+    """CAP-4 over the events table read as a change log (key user_id, seq event_id):
+    few keys, each with many events, so every key is a hot key."""
+    ev = streams.events_as_changes(_t(spark, d, "events"))
+    ev = ev.select(
+        "table", "op", F.struct("user_id").alias("key"),
+        F.when(F.col("op") != "c", F.struct("user_id", "event_type")).alias("before"),
+        F.when(F.col("op") != "d", F.struct("user_id", "event_type")).alias("after"),
+        "commit_ts", "seq",
+    )
+    net = op.net_changes(ev)
+    return net.select(F.col("key.user_id").alias("user_id"), "op", "seq",
+                      F.col("after.event_type").alias("last_type"))
+
+
 def unwrap_after(spark, d):
     return op.unwrap(change_log(spark, d), deletes="drop")
 
@@ -439,7 +454,7 @@ QUERIES: dict[str, Query] = {
         upsert_partial, upsert_touch, doc_upsert, insert_if_absent, delete_keys, cascade_delete, assign_ids,
         seed_categories, seed_products, seed_users, seed_orders, seed_order_items, seed_payments,
         seed_inventory_logs,
-        snapshot_events, capture_diff, snapshot_then_log, net_changes, unwrap_after, tombstones_on,
+        snapshot_events, capture_diff, snapshot_then_log, net_changes, net_changes_events, unwrap_after, tombstones_on,
         tombstones_off, event_keys, kafka_records, json_schema_payload, apply_changes, change_feed,
         nest_items, unnest_items, reconcile_totals, parse_props,
         stream_changes, stream_dedup,

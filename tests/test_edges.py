@@ -130,3 +130,13 @@ def test_handoff_drops_log_rows_covered_by_snapshot(spark, log):
     snap = log.filter(F.col("op") == "r")
     out = op.handoff(snap, log.filter(F.col("op") != "r"), 1)
     assert out.filter(F.col("op") != "r").agg(F.min("seq")).first()[0] == 2
+
+
+def test_equal_seq_is_rejected(spark, log):
+    dup = log.unionByName(log.filter(F.col("key.id") == 2))
+    with pytest.raises(ValueError, match="equal seq"):
+        op.require_ordered(dup)
+    op.require_ordered(log)
+    start = spark.createDataFrame([], ROW_T)
+    with pytest.raises(ValueError):
+        op.apply_changes(start, dup, ["id"], strict=True)

@@ -1,5 +1,7 @@
 """Physical plan checks: pushdown, pruning, partial aggregation, no Python UDFs."""
 
+import re
+
 import pytest
 
 from __spark_entry__ import queries
@@ -39,3 +41,29 @@ def test_net_changes_aggregates_partially(spark):
 def test_dimension_lookup_broadcasts_only_small_sides(spark):
     plan = _plan(queries()["fk_lookup"](spark, SF_SMALL))
     assert "BroadcastHashJoin" in plan
+
+
+def test_include_list_prunes_landed_partitions(spark, scratch):
+    from changeflow import operators as op
+    from changeflow.streaming import changes as S
+
+    out = S.stream_events_to_files(spark, SF_SMALL, scratch)
+    df = op.include_tables(spark.read.parquet(out), ["public.inventory_logs"])
+    plan = _plan(df)
+    assert re.search(r"PartitionFilters: \[isnotnull\(table#\d+\), \(table#\d+ = public.inventory_logs\)\]", plan)
+    assert df.count() == spark.read.parquet(f"{SF_SMALL}/events.parquet").count()
+
+
+def test_nested_field_filter_prunes_nested_columns(spark, scratch):
+    from pyspark.sql import functions as F
+
+    o = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    c = spark.read.parquet(f"{SF_SMALL}/customer.parquet")
+    docs = o.join(c, o.o_custkey == c.c_custkey).select(
+        "o_orderkey", F.struct(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"),
+                               F.col("c_mktsegment").alias("segment")).alias("user"))
+    docs.write.parquet(f"{scratch}/docs")
+    q = spark.read.parquet(f"{scratch}/docs").filter(F.col("user.user_id") == 7).select("o_orderkey")
+    plan = _plan(q)
+    assert "ReadSchema: struct<o_orderkey:bigint,user:struct<user_id:bigint>>" in plan
+    assert "PushedFilters: [IsNotNull(user.user_id), EqualTo(user.user_id,7)]" in plan
