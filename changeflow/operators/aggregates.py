@@ -57,7 +57,8 @@ def first_by(df: DataFrame, predicate: Column, order_by: list[str]) -> DataFrame
 def set_delta(old: DataFrame, new: DataFrame, col: str) -> DataFrame:
     """SET-1: replacing one set of names with another: rows (col, change) where
     change is ``added`` or ``removed``."""
-    o, n = old.select(col).distinct(), new.select(col).distinct()
-    added = n.exceptAll(o).withColumn("change", F.lit("added"))
-    removed = o.exceptAll(n).withColumn("change", F.lit("removed"))
+    o, n = old.select(col), new.select(col)
+    # EXCEPT DISTINCT: a null-safe left anti join of the distinct names.
+    added = n.subtract(o).withColumn("change", F.lit("added"))
+    removed = o.subtract(n).withColumn("change", F.lit("removed"))
     return added.unionByName(removed)

@@ -1,7 +1,8 @@
 """SNK-5: deliver records to an HTTP endpoint from the executors.
 
 A Python data source (``format("changeflow_http")``) whose writer posts each
-task's rows in batches. The transport is injectable by option, as
+task's rows in batches; rows reach Python as Arrow record batches, not one
+by one. The transport is injectable by option, as
 ``module:function`` taking (url, list_of_records) and returning nothing or
 raising; the default posts a JSON array with urllib. Failed posts are retried
 with backoff; a batch that still fails fails the task (Spark retries it), so
@@ -17,8 +18,8 @@ from dataclasses import dataclass
 
 from pyspark.sql.datasource import (
     DataSource,
-    DataSourceStreamWriter,
-    DataSourceWriter,
+    DataSourceArrowWriter,
+    DataSourceStreamArrowWriter,
     WriterCommitMessage,
 )
 
@@ -81,24 +82,22 @@ class _HttpWriterBase:
                 time.sleep(self.backoff * (2**attempt))
 
     def write(self, iterator):
+        """Rows arrive as Arrow record batches; each is cut into posts of ``batchSize``."""
         transport = _resolve(self.transport_spec)
-        batch, rows, batches = [], 0, 0
-        for row in iterator:
-            batch.append(row.asDict(recursive=True))
-            if len(batch) >= self.batch_size:
-                self._send(transport, batch)
-                rows, batches, batch = rows + len(batch), batches + 1, []
-        if batch:
-            self._send(transport, batch)
-            rows, batches = rows + len(batch), batches + 1
+        rows, batches = 0, 0
+        for record_batch in iterator:
+            for start in range(0, record_batch.num_rows, self.batch_size):
+                chunk = record_batch.slice(start, self.batch_size).to_pylist()
+                self._send(transport, chunk)
+                rows, batches = rows + len(chunk), batches + 1
         return _Sent(rows, batches)
 
 
-class HttpBatchWriter(_HttpWriterBase, DataSourceWriter):
+class HttpBatchWriter(_HttpWriterBase, DataSourceArrowWriter):
     pass
 
 
-class HttpStreamWriter(_HttpWriterBase, DataSourceStreamWriter):
+class HttpStreamWriter(_HttpWriterBase, DataSourceStreamArrowWriter):
     def commit(self, messages, batchId) -> None:  # delivery happened in the tasks
         pass
 

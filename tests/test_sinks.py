@@ -64,3 +64,23 @@ def test_http_sink_delivers_every_row(spark, scratch):
         with open(os.path.join(scratch, name)) as f:
             got.extend(json.loads(f.read()))
     assert sorted(r["id"] for r in got) == list(range(1234))
+
+
+def test_http_stream_writer_delivers_each_batch(spark, scratch):
+    import os
+
+    http.register(spark)
+    out = f"{scratch}/recv"
+    os.makedirs(out)
+    src = f"{scratch}/src"
+    spark.range(0, 500).write.parquet(src)
+    stream = spark.readStream.schema("id bigint").parquet(src)
+    q = (stream.writeStream.format("changeflow_http").option("url", f"file://{out}")
+         .option("transport", "changeflow.sinks.http:file_transport")
+         .option("checkpointLocation", f"{scratch}/ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = []
+    for name in os.listdir(out):
+        with open(os.path.join(out, name)) as f:
+            got.extend(json.loads(f.read()))
+    assert sorted(r["id"] for r in got) == list(range(500))
