@@ -123,3 +123,46 @@ MIXED_EVENT = _struct(
     ("table", S, False), ("op", S, False), ("key", S, False),
     ("before", S, True), ("after", S, True), ("commit_ts", TS, True), ("seq", L, False),
 )
+
+
+class SchemaChangeError(ValueError):
+    """An incoming batch changes the type of an existing field."""
+
+
+def evolve(current: T.StructType, incoming: T.StructType) -> T.StructType:
+    """Schema after a batch: new fields are appended as nullable, nested structs
+    evolve field by field, and a changed type is an error (the batch fails)."""
+    fields = {f.name: f for f in current.fields}
+    out = list(current.fields)
+    for f in incoming.fields:
+        if f.name not in fields:
+            out.append(T.StructField(f.name, f.dataType, True))
+            continue
+        have = fields[f.name]
+        if isinstance(have.dataType, T.StructType) and isinstance(f.dataType, T.StructType):
+            merged = evolve(have.dataType, f.dataType)
+            out[out.index(have)] = T.StructField(have.name, merged, have.nullable)
+        elif have.dataType != f.dataType:
+            raise SchemaChangeError(f"field {f.name!r}: {have.dataType.simpleString()} -> "
+                                    f"{f.dataType.simpleString()}")
+    return T.StructType(out)
+
+
+def _conform_col(col, have: T.DataType, want: T.DataType):
+    from pyspark.sql import functions as F
+
+    if isinstance(have, T.StructType) and isinstance(want, T.StructType) and have != want:
+        names = {f.name: f.dataType for f in have.fields}
+        parts = [(_conform_col(col[f.name], names[f.name], f.dataType) if f.name in names
+                  else F.lit(None).cast(f.dataType)).alias(f.name) for f in want.fields]
+        return F.when(col.isNull(), F.lit(None).cast(want)).otherwise(F.struct(*parts))
+    return col.cast(want)
+
+
+def conform(df, schema: T.StructType):
+    """Project ``df`` onto ``schema``: missing fields (top level or nested) become typed NULLs."""
+    from pyspark.sql import functions as F
+
+    have = {f.name: f.dataType for f in df.schema.fields}
+    return df.select(*[(_conform_col(F.col(f.name), have[f.name], f.dataType) if f.name in have
+                        else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields])

@@ -51,6 +51,34 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p, jvm
 
 
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """Small metadata file through the cluster's file system (None if absent)."""
+    fs, p, jvm = _fs(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+        lines = []
+        line = reader.readLine()
+        while line is not None:
+            lines.append(line)
+            line = reader.readLine()
+        return "\n".join(lines)
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Replace a small metadata file (written whole, then closed)."""
+    fs, p, jvm = _fs(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
 def committed_versions(spark: SparkSession, root: str) -> list[int]:
     fs, p, jvm = _fs(spark, f"{root}/_commits")
     if not fs.exists(p):

@@ -3,7 +3,7 @@
 * ``read_changes`` / ``table_stream``: a file-backed change stream (SRC-5).
   The same frames come from ``format("kafka")`` when that jar is present.
 * ``apply_stream``: DER-1 in ``foreachBatch``, merge-on-read: each
-  micro-batch's net changes are written under its batch id (a replayed batch
+  micro-batch's net changes are written under its run and batch id (a replayed batch
   overwrites its own folder, so replays are harmless); readers fold base +
   log with ``apply_changes``; ``compact`` publishes a new base.
 * ``dedup_stream``: DER-4, at-least-once input made unique per event id.
@@ -13,13 +13,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from changeflow.operators.capture import net_changes
 from changeflow.operators.mutate import apply_changes
-from changeflow.sinks.tables import current_version, load_all, read_current
+from changeflow.schemas import conform, evolve
+from changeflow.sinks.tables import current_version, load_all, read_current, read_text, write_text
 
 FLUSH_INTERVAL = "10 seconds"  # CAP-12: offset flush interval of the source connector
 
@@ -83,19 +87,41 @@ def apply_stream(events: DataFrame, root: str, checkpoint: str, available_now: b
     ``net_changes`` reduces the batch before it is written (one row per key
     per batch); the batch id names the folder, so a batch replayed after a
     failure replaces its own output instead of adding to it.
+
+    Schema changes are checked on the driver once per batch against
+    ``root/_schema.json``: new nullable fields widen the stored schema, a
+    changed type fails the batch before anything is written.
     """
 
+    # Batch ids restart with a new checkpoint (a restarted stream): the run
+    # folder, derived from the checkpoint location, keeps runs apart while a
+    # replay of the same run still lands on its own folder.
+    run = hashlib.sha1(checkpoint.encode("utf-8")).hexdigest()[:12]
+
     def land(batch: DataFrame, batch_id: int) -> None:
-        net_changes(batch).write.mode("overwrite").parquet(f"{root}/log/batch_id={batch_id}")
+        stored = stored_schema(batch.sparkSession, root)
+        schema = batch.schema if stored is None else evolve(stored, batch.schema)
+        if stored is None or schema != stored:
+            write_text(batch.sparkSession, f"{root}/_schema.json", schema.json())
+        conform(net_changes(batch), schema).write.mode("overwrite").parquet(f"{root}/log/run={run}/batch_id={batch_id}")
 
     w = events.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=FLUSH_INTERVAL)
     return w.start()
 
 
+def stored_schema(spark: SparkSession, root: str) -> T.StructType | None:
+    text = read_text(spark, f"{root}/_schema.json")
+    return None if text is None else T.StructType.fromJson(json.loads(text))
+
+
 def read_table(spark: SparkSession, root: str, key: list[str], base_schema: T.StructType,
-               event_schema: T.StructType, keep_markers: bool = False) -> DataFrame:
-    """Current table state: newest published base folded with the landed log."""
+               event_schema: T.StructType | None = None, keep_markers: bool = False) -> DataFrame:
+    """Current table state: newest published base folded with the landed log.
+
+    The log is read with the stored (evolved) event schema unless one is given.
+    """
+    event_schema = event_schema or stored_schema(spark, root)
     if current_version(spark, root) is not None:
         base = read_current(spark, root, "base")
     else:
@@ -116,7 +142,7 @@ def read_table(spark: SparkSession, root: str, key: list[str], base_schema: T.St
 
 
 def compact(spark: SparkSession, root: str, key: list[str], base_schema: T.StructType,
-            event_schema: T.StructType) -> int:
+            event_schema: T.StructType | None = None) -> int:
     """Fold the log into a new published base (keeps ``_seq``/``_deleted`` markers)."""
     state = read_table(spark, root, key, base_schema, event_schema, keep_markers=True)
     return load_all(spark, root, {"base": state})

@@ -140,3 +140,19 @@ def test_equal_seq_is_rejected(spark, log):
     start = spark.createDataFrame([], ROW_T)
     with pytest.raises(ValueError):
         op.apply_changes(start, dup, ["id"], strict=True)
+
+
+def test_schema_evolution_rules(spark):
+    from changeflow.schemas import SchemaChangeError, conform, evolve
+
+    cur = T.StructType([T.StructField("id", T.IntegerType()),
+                        T.StructField("user", T.StructType([T.StructField("name", T.StringType())]))])
+    inc = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("tags", T.ArrayType(T.StringType())),
+                        T.StructField("user", T.StructType([T.StructField("email", T.StringType())]))])
+    out = evolve(cur, inc)
+    assert out.fieldNames() == ["id", "user", "tags"]
+    assert out["user"].dataType.fieldNames() == ["name", "email"]
+    with pytest.raises(SchemaChangeError):
+        evolve(cur, T.StructType([T.StructField("id", T.StringType())]))
+    df = spark.createDataFrame([(1,)], "id int")
+    assert conform(df, out).columns == ["id", "user", "tags"]

@@ -64,3 +64,29 @@ def test_typed_event_schema_roundtrip(spark):
     key_t = ev.schema["key"].dataType
     row_t = ev.schema["after"].dataType
     assert [f.name for f in event_schema(key_t, row_t).fields] == ev.columns
+
+
+def test_stream_apply_widens_schema_and_rejects_type_change(spark, scratch):
+    import pytest
+    from pyspark.sql import types as T
+
+    key_t = T.StructType([T.StructField("id", T.IntegerType())])
+    row1 = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("v", T.StringType())])
+    row2 = T.StructType(list(row1.fields) + [T.StructField("w", T.StringType())])
+    e1 = spark.createDataFrame([("t", "c", (1,), None, (1, "a"), None, 1)], event_schema(key_t, row1))
+    e2 = spark.createDataFrame([("t", "c", (2,), None, (2, "b", "x"), None, 2)], event_schema(key_t, row2))
+    root = f"{scratch}/table"
+    for i, e in enumerate([e1, e2]):
+        e.write.parquet(f"{scratch}/landing{i}")
+        s = spark.readStream.schema(e.schema).parquet(f"{scratch}/landing{i}")
+        S.apply_stream(s, root, f"{scratch}/ckpt{i}").awaitTermination()
+    stored = S.stored_schema(spark, root)
+    assert stored["after"].dataType.fieldNames() == ["id", "v", "w"]
+    got = S.read_table(spark, root, ["id"], row2)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "a", None), (2, "b", "x")]
+    bad_row = T.StructType([T.StructField("id", T.StringType()), T.StructField("v", T.StringType())])
+    e3 = spark.createDataFrame([("t", "c", (3,), None, ("3", "c"), None, 3)], event_schema(key_t, bad_row))
+    e3.write.parquet(f"{scratch}/landing3")
+    s = spark.readStream.schema(e3.schema).parquet(f"{scratch}/landing3")
+    with pytest.raises(Exception, match="SchemaChangeError|field 'after'|field 'id'"):
+        S.apply_stream(s, root, f"{scratch}/ckpt3").awaitTermination()
