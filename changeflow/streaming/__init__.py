@@ -5,6 +5,7 @@ from changeflow.streaming.changes import (
     compact,
     dedup_stream,
     events_as_changes,
+    log_batches,
     read_changes,
     read_table,
     run_available,

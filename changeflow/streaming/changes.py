@@ -115,11 +115,29 @@ def stored_schema(spark: SparkSession, root: str) -> T.StructType | None:
     return None if text is None else T.StructType.fromJson(json.loads(text))
 
 
+def log_batches(spark: SparkSession, root: str) -> list[str]:
+    """The landed batch folders under ``root/log`` (run=*/batch_id=*), listed once."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(f"{root}/log")
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    out = []
+    for run in fs.listStatus(p):
+        if run.isDirectory() and run.getPath().getName().startswith("run="):
+            for b in fs.listStatus(run.getPath()):
+                if b.isDirectory() and b.getPath().getName().startswith("batch_id="):
+                    out.append(b.getPath().toString())
+    return sorted(out)
+
+
 def read_table(spark: SparkSession, root: str, key: list[str], base_schema: T.StructType,
-               event_schema: T.StructType | None = None, keep_markers: bool = False) -> DataFrame:
+               event_schema: T.StructType | None = None, keep_markers: bool = False,
+               batches: list[str] | None = None) -> DataFrame:
     """Current table state: newest published base folded with the landed log.
 
-    The log is read with the stored (evolved) event schema unless one is given.
+    The log is read with the stored (evolved) event schema unless one is given;
+    ``batches`` restricts the fold to a listed set of batch folders.
     """
     event_schema = event_schema or stored_schema(spark, root)
     if current_version(spark, root) is not None:
@@ -127,14 +145,11 @@ def read_table(spark: SparkSession, root: str, key: list[str], base_schema: T.St
     else:
         fields = list(base_schema.fields) + [T.StructField("_seq", T.LongType()), T.StructField("_deleted", T.BooleanType())]
         base = spark.createDataFrame([], T.StructType(fields))
-    log_path = f"{root}/log"
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(log_path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(p):
+    paths = log_batches(spark, root) if batches is None else batches
+    if not paths:
         out = base
     else:
-        log = spark.read.schema(event_schema).parquet(log_path)
+        log = spark.read.schema(event_schema).parquet(*paths)
         out = apply_changes(base, log, key, keep_markers=True)
     if keep_markers:
         return out
@@ -142,10 +157,22 @@ def read_table(spark: SparkSession, root: str, key: list[str], base_schema: T.St
 
 
 def compact(spark: SparkSession, root: str, key: list[str], base_schema: T.StructType,
-            event_schema: T.StructType | None = None) -> int:
-    """Fold the log into a new published base (keeps ``_seq``/``_deleted`` markers)."""
-    state = read_table(spark, root, key, base_schema, event_schema, keep_markers=True)
-    return load_all(spark, root, {"base": state})
+            event_schema: T.StructType | None = None, retire_log: bool = True) -> int:
+    """Fold the listed log batches into a new published base, then retire them.
+
+    The base keeps ``_seq``/``_deleted`` markers, so a batch folded twice (or
+    read again before it is retired) changes nothing. Batches that land while
+    compaction runs are not in the listing and stay in the log.
+    """
+    batches = log_batches(spark, root)
+    state = read_table(spark, root, key, base_schema, event_schema, keep_markers=True, batches=batches)
+    version = load_all(spark, root, {"base": state})
+    if retire_log:
+        jvm = spark._jvm
+        for b in batches:
+            p = jvm.org.apache.hadoop.fs.Path(b)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return version
 
 
 def stream_events_to_files(spark: SparkSession, sf_dir: str, out_root: str) -> str:

@@ -53,8 +53,10 @@ def test_stream_apply_equals_batch_apply(spark, scratch):
     q.awaitTermination()
     state = S.read_table(spark, root, ["k"], a.schema, ev_schema)
     assert rows(state) == rows(c)
-    # Compaction folds the log into a new base with the same content.
+    # Compaction folds the log into a new base with the same content and retires the batches.
+    assert len(S.log_batches(spark, root)) == 2
     S.compact(spark, root, ["k"], a.schema, ev_schema)
+    assert S.log_batches(spark, root) == []
     assert rows(S.read_table(spark, root, ["k"], a.schema, ev_schema)) == rows(c)
 
 
