@@ -28,6 +28,7 @@ from changeflow.operators.nesting import doc_summary, nest, reconcile_documents,
 from changeflow.operators.transform import (
     chain,
     event_key,
+    from_mixed,
     include_databases,
     include_schemas,
     include_tables,
@@ -36,6 +37,7 @@ from changeflow.operators.transform import (
     per_key_order,
     route,
     strict_lookup,
+    to_mixed,
     tombstones,
     transform_if,
     unwrap,

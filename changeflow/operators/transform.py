@@ -137,6 +137,34 @@ def strict_lookup(df: DataFrame, dim: DataFrame, on: list[tuple[str, str]], take
     return j.select(*df.columns, *guarded)
 
 
+def to_mixed(events: DataFrame) -> DataFrame:
+    """Typed events of one table into the mixed-table shape (``schemas.MIXED_EVENT``):
+    key, before and after travel as JSON text, so many tables share one landing."""
+    return events.select(
+        "table", "op",
+        F.to_json(F.col("key")).alias("key"),
+        F.to_json(F.col("before")).alias("before"),
+        F.to_json(F.col("after")).alias("after"),
+        "commit_ts", "seq",
+    )
+
+
+def from_mixed(mixed: DataFrame, table: str, key_schema, row_schema) -> DataFrame:
+    """Route one table out of a mixed stream and type its payloads.
+
+    The table filter runs on the plain name column first (and prunes landed
+    ``table=`` folders); only that table's JSON is parsed, with its declared
+    schema, never inferred.
+    """
+    return include_tables(mixed, [table]).select(
+        "table", "op",
+        F.from_json(F.col("key"), key_schema).alias("key"),
+        F.from_json(F.col("before"), row_schema).alias("before"),
+        F.from_json(F.col("after"), row_schema).alias("after"),
+        "commit_ts", "seq",
+    )
+
+
 def parse_json_object(df: DataFrame, column: str, ddl: str) -> DataFrame:
     """DER-5: parse a JSON text column into a typed struct (no inference)."""
     return df.withColumn(column, F.from_json(F.col(column), ddl))

@@ -156,3 +156,31 @@ def test_schema_evolution_rules(spark):
         evolve(cur, T.StructType([T.StructField("id", T.StringType())]))
     df = spark.createDataFrame([(1,)], "id int")
     assert conform(df, out).columns == ["id", "user", "tags"]
+
+
+def test_mixed_stream_roundtrip(spark):
+    from changeflow.plans import versions as V
+    from conftest import SF_SMALL, rows
+
+    log = V.change_log(spark, SF_SMALL)
+    other = log.withColumn("table", F.lit("public.users"))
+    mixed = op.to_mixed(log).unionByName(op.to_mixed(other))
+    key_t, row_t = log.schema["key"].dataType, log.schema["after"].dataType
+    back = op.from_mixed(mixed, V.TABLE, key_t, row_t)
+    assert rows(back, "key", "op", "seq", "after") == rows(log, "key", "op", "seq", "after")
+
+
+def test_seed_outputs_match_relational_schemas(spark):
+    from changeflow.operators import seed
+    from changeflow.schemas import RELATIONAL
+    from changeflow.sources import series
+
+    ids = series(spark, 1, 10)
+    made = {
+        "categories": seed.seed_categories(ids), "products": seed.seed_products(ids), "users": seed.seed_users(ids),
+        "orders": seed.seed_orders(ids), "order_items": seed.seed_order_items(ids),
+        "payments": seed.seed_payments(ids), "inventory_logs": seed.seed_inventory_logs(ids),
+    }
+    for name, df in made.items():
+        want = RELATIONAL[name][0]
+        assert [(f.name, f.dataType) for f in df.schema.fields] == [(f.name, f.dataType) for f in want.fields], name

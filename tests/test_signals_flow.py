@@ -6,6 +6,7 @@ from changeflow import operators as op
 from changeflow.plans import mixed
 from changeflow.plans import versions as V
 from changeflow.plans.registry import _value_struct, kafka_records
+from changeflow.schemas import SIGNAL_DOC
 from changeflow.sinks import write_bucketed
 from changeflow.streaming.flow import start_flow
 from conftest import SF_SMALL, rows
@@ -16,7 +17,7 @@ def test_snapshot_requests_dedup_and_filter(spark):
         [("s1", "execute-snapshot", '{"data-collections": ["public.orders", "public.secret"], "type": "incremental"}'),
          ("s1", "execute-snapshot", '{"data-collections": ["public.orders", "public.secret"], "type": "incremental"}'),
          ("s2", "log", '{"message": "hi"}')],
-        "id string, type string, data string")
+        SIGNAL_DOC)
     lst = spark.createDataFrame([(t,) for t in mixed.SCENARIO_TABLES], "table string")
     got = [tuple(r) for r in op.snapshot_requests(sig, lst).collect()]
     assert got == [("public.orders", "s1", "incremental")]
