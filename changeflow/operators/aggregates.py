@@ -56,9 +56,16 @@ def first_by(df: DataFrame, predicate: Column, order_by: list[str]) -> DataFrame
 
 def set_delta(old: DataFrame, new: DataFrame, col: str) -> DataFrame:
     """SET-1: replacing one set of names with another: rows (col, change) where
-    change is ``added`` or ``removed``."""
-    o, n = old.select(col), new.select(col)
-    # EXCEPT DISTINCT: a null-safe left anti join of the distinct names.
-    added = n.subtract(o).withColumn("change", F.lit("added"))
-    removed = o.subtract(n).withColumn("change", F.lit("removed"))
-    return added.unionByName(removed)
+    change is ``added`` or ``removed``.
+
+    Both sides are reduced to distinct values (partial aggregation), then met
+    in one null-safe full outer join. (An anti join would be pushed by the
+    optimizer into unions of literal-named branches, where it loses its equi
+    key and turns into a nested-loop join.)
+    """
+    o = old.select(F.col(col).alias("_v")).distinct().withColumn("_o", F.lit(True)).alias("o")
+    n = new.select(F.col(col).alias("_v")).distinct().withColumn("_n", F.lit(True)).alias("n")
+    j = o.join(n, F.col("o._v").eqNullSafe(F.col("n._v")), "full_outer")
+    change = F.when(F.col("o._o").isNull(), F.lit("added")).when(F.col("n._n").isNull(), F.lit("removed"))
+    return j.select(F.coalesce(F.col("n._v"), F.col("o._v")).alias(col), change.alias("change")) \
+        .filter(F.col("change").isNotNull())

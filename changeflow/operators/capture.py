@@ -162,12 +162,19 @@ def capture_candidates(tables: DataFrame, schemas: DataFrame, indexes: DataFrame
     )
 
 
+# A capture list names tables; up to this many names are inlined into the plan.
+MAX_INLINE_NAMES = 10_000
+
+
 def capture_list_filter(events: DataFrame, capture_list: DataFrame, column: str = "table") -> DataFrame:
     """CAP-10: keep events of the tables on the capture list.
 
-    The list is a handful of table names; it is broadcast only when its plan
-    size is proven small (see ``session.broadcast_if_bounded``).
+    A capture list is a set of table names. Up to ``MAX_INLINE_NAMES`` of them
+    are read once and inlined as an ``isin`` filter: Catalyst then pushes it
+    into the scans (and drops union branches of tables not on the list), with
+    no join at all. A larger list is applied as a shuffle semi join.
     """
-    from changeflow.session import broadcast_if_bounded
-
-    return events.join(broadcast_if_bounded(capture_list.select(column).distinct()), column, "left_semi")
+    names = [r[0] for r in capture_list.select(column).distinct().limit(MAX_INLINE_NAMES + 1).collect()]
+    if len(names) <= MAX_INLINE_NAMES:
+        return events.filter(F.col(column).isin(names))
+    return events.join(capture_list.select(column).distinct(), column, "left_semi")

@@ -12,10 +12,17 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def _final_plan(df):
+    df.collect()
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return text.split("== Initial Plan ==")[0]
+
+
 @pytest.mark.parametrize("name", sorted(set(queries()) - {"stream_changes", "stream_dedup"}))
-def test_no_python_udf_in_any_query(spark, name):
-    plan = _plan(queries()[name](spark, SF_SMALL))
-    assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+def test_final_plans_stay_jvm_side_and_keyed(spark, name):
+    plan = _final_plan(queries()[name](spark, SF_SMALL))
+    for bad in ("BatchEvalPython", "ArrowEvalPython", "BroadcastNestedLoopJoin", "CartesianProduct"):
+        assert bad not in plan, bad
 
 
 def test_status_filter_reaches_the_scan(spark):
