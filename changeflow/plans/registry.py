@@ -438,7 +438,9 @@ def stream_dedup(spark, d):
     a = streams.table_stream(spark, d, "events", TABLES["events"])
     b = streams.table_stream(spark, d, "events", TABLES["events"])
     s = streams.dedup_stream(a.unionByName(b), ["event_id"], "ts")
-    streams.run_available(s.select("event_id", "user_id", "event_type", "ts"), f"{root}/out", f"{root}/_checkpoint")
+    # One state partition per core of the cluster (not the batch shuffle setting).
+    streams.run_available(s.select("event_id", "user_id", "event_type", "ts"), f"{root}/out", f"{root}/_checkpoint",
+                          state_partitions=spark.sparkContext.defaultParallelism)
     return spark.read.parquet(f"{root}/out").select("event_id", "user_id", "event_type")
 
 

@@ -72,12 +72,24 @@ def dedup_stream(stream: DataFrame, ids: list[str], ts_col: str, delay: str = "1
 
 
 def run_available(stream: DataFrame, out_path: str, checkpoint: str, fmt: str = "parquet",
-                  partition_by: list[str] | None = None) -> None:
-    """Process everything available now, then stop (tests and batch catch-up)."""
+                  partition_by: list[str] | None = None, state_partitions: int | None = None) -> None:
+    """Process everything available now, then stop (tests and batch catch-up).
+
+    ``state_partitions`` fixes the number of state-store partitions of a
+    stateful query when it first starts (Spark records it in the checkpoint
+    and keeps it on restart); the session setting is restored afterwards.
+    """
     w = stream.writeStream.format(fmt).option("checkpointLocation", checkpoint).outputMode("append")
     if partition_by:
         w = w.partitionBy(*partition_by)
-    q = w.trigger(availableNow=True).start(out_path)
+    spark = stream.sparkSession
+    prev = spark.conf.get("spark.sql.shuffle.partitions")
+    if state_partitions:
+        spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    try:
+        q = w.trigger(availableNow=True).start(out_path)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", prev)
     q.awaitTermination()
 
 
