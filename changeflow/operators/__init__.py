@@ -19,6 +19,7 @@ from changeflow.operators.mutate import (
     cascade_delete,
     delete_keys,
     doc_upsert,
+    find_or_create,
     insert_if_absent,
     next_id,
     upsert,

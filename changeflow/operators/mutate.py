@@ -124,6 +124,26 @@ def insert_if_absent(target: DataFrame, src: DataFrame, key: list[str]) -> DataF
     return target.unionByName(new_rows.select(*target.columns))
 
 
+def find_or_create(target: DataFrame, src: DataFrame, match: list[str], id_col: str,
+                   start: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """MUT-4 with ids: find each source row's existing row by ``match``, or create it.
+
+    Returns ``(resolved, table)``: the source rows with the id of the row they
+    resolved to (existing rows win and are not updated), and the target plus
+    the created rows. New rows get SERIAL-style ids after the current maximum
+    (``next_id``), in ``match`` order, one per distinct match value, so
+    repeated source rows share one id.
+    """
+    start = next_id(target, id_col) if start is None else start
+    fresh = src.select(*match).distinct().join(target.select(*match), match, "left_anti")
+    created_ids = assign_ids(fresh, start, match, id_col)
+    ids = target.select(*match, id_col).unionByName(created_ids)
+    resolved = src.join(ids, match, "left")
+    created = created_ids.join(src.dropDuplicates(match), match, "inner")
+    table = target.unionByName(created.select(*target.columns))
+    return resolved, table
+
+
 def delete_keys(target: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:
     """MUT-5: remove the rows whose key is in ``keys`` (a left anti join)."""
     return target.join(keys.select(*key).distinct(), key, "left_anti")

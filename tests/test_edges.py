@@ -184,3 +184,15 @@ def test_seed_outputs_match_relational_schemas(spark):
     for name, df in made.items():
         want = RELATIONAL[name][0]
         assert [(f.name, f.dataType) for f in df.schema.fields] == [(f.name, f.dataType) for f in want.fields], name
+
+
+def test_find_or_create_returns_existing_ids(spark):
+    target = spark.createDataFrame([(1, "kafka"), (2, "pg")], "id bigint, name string")
+    src = spark.createDataFrame([("pg", "x"), ("mongo", "y"), ("mongo", "z"), ("http", "w")], "name string, note string")
+    resolved, table = op.find_or_create(target, src, ["name"], "id")
+    got = sorted((r["name"], r["note"], r["id"]) for r in resolved.collect())
+    assert got == [("http", "w", 3), ("mongo", "y", 4), ("mongo", "z", 4), ("pg", "x", 2)]
+    assert sorted((r["id"], r["name"]) for r in table.collect()) == [(1, "kafka"), (2, "pg"), (3, "http"), (4, "mongo")]
+    again, table2 = op.find_or_create(table, src, ["name"], "id")
+    assert sorted(r["id"] for r in again.collect()) == [2, 3, 4, 4]
+    assert table2.count() == 4
