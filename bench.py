@@ -41,7 +41,8 @@ def main() -> None:
     from changeflow.session import build_session
     from changeflow.plans.registry import QUERIES
 
-    spark = build_session(master=f"local[{cpus}]", partitions=cpus)
+    partitions = int(os.environ.get("BENCH_PARTITIONS", str(cpus)))
+    spark = build_session(master=f"local[{cpus}]", partitions=partitions)
     times: dict[str, float] = {}
     for name in names:
         fn = QUERIES[name]

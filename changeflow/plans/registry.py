@@ -16,7 +16,7 @@ from changeflow import operators as op
 from changeflow.functions.expressions import ts_ntz
 from changeflow.operators import seed
 from changeflow.plans import mixed, versions
-from changeflow.plans.versions import KEY, TABLE, change_log, flat_event, v1, v2_from, v3_from
+from changeflow.plans.versions import KEY, TABLE, change_log, flat_event, v1, v2_from
 from changeflow.schemas import ALL_TABLES, TABLES
 from changeflow.session import shared_dir
 from changeflow.sinks.records import json_with_schema, to_kafka_string
