@@ -89,3 +89,34 @@ def test_bucketed_apply_equals_batch_apply(spark, scratch):
     op.write_buckets(a, path, ["k"], 8)
     op.apply_buckets(spark, path, V.change_log(spark, SF_SMALL), ["k"], 8)
     assert rows(op.read_buckets(spark, path).drop("_bucket")) == rows(c)
+
+
+def test_per_key_order_keeps_a_keys_events_together_and_sorted(spark):
+    log = V.change_log(spark, SF_SMALL).repartition(5)
+    tagged = op.per_key_order(log).withColumn("pid", F.spark_partition_id()).select("pid", "key.k", "seq")
+    per_key = tagged.groupBy("k").agg(F.countDistinct("pid").alias("parts"))
+    assert per_key.filter("parts > 1").count() == 0
+    for part in tagged.rdd.glom().collect():
+        seen = {}
+        for r in part:
+            assert seen.get(r["k"], -1) <= r["seq"]
+            seen[r["k"]] = r["seq"]
+
+
+def test_flow_with_processing_time_trigger(spark, scratch):
+    log = V.change_log(spark, SF_SMALL)
+    log.write.parquet(f"{scratch}/landing")
+    stream = spark.readStream.schema(log.schema).parquet(f"{scratch}/landing")
+    q = start_flow(stream, ["public.orders"], [], mixed.TOPIC_PREFIX, _value_struct(), f"{scratch}/ckpt",
+                   f"{scratch}/out", available_now=False)
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert spark.read.parquet(f"{scratch}/out").count() == log.count()
+
+
+def test_parse_json_array_tags(spark):
+    df = spark.createDataFrame([(1, '["a", "b"]'), (2, None), (3, "[]")], "id int, tags string")
+    out = {r["id"]: r["tags"] for r in op.parse_json_array(df, "tags").collect()}
+    assert out == {1: ["a", "b"], 2: None, 3: []}
