@@ -254,6 +254,15 @@ FROM part WHERE p_partkey % 10 = 1"""
     q["assign_ids"] = ("SELECT n_nationkey, n_name, CAST((SELECT COALESCE(MAX(n_nationkey + 1), 1) FROM nation) "
                        "+ row_number() OVER (ORDER BY n_nationkey) AS BIGINT) AS id FROM nation")
 
+    q["find_or_create_brands"] = """
+WITH t AS (SELECT name, CAST(row_number() OVER (ORDER BY name) AS BIGINT) AS id
+           FROM (SELECT DISTINCT p_brand AS name FROM part WHERE p_size = 1)),
+fresh AS (SELECT DISTINCT p_brand AS name FROM part WHERE p_brand NOT IN (SELECT name FROM t)),
+c AS (SELECT name, CAST((SELECT COALESCE(MAX(id), 1) FROM t) + row_number() OVER (ORDER BY name) AS BIGINT) AS id
+      FROM fresh),
+ids AS (SELECT * FROM t UNION ALL SELECT * FROM c)
+SELECT p.p_partkey, p.p_brand AS name, ids.id FROM part p LEFT JOIN ids ON p.p_brand = ids.name"""
+    q["bucketed_upsert"] = q["upsert_partial"]
     q["seed_products"] = _SEED_PRODUCTS
     q["seed_categories"] = f"""
 SELECT CAST(n AS INTEGER) AS category_id, 'Category ' || CAST(n AS VARCHAR) AS name,
@@ -307,6 +316,10 @@ n AS (SELECT g.user_id, g.mx AS seq, l.event_type AS l_type,
       FROM g JOIN ev f ON f.user_id = g.user_id AND f.seq = g.mn
              JOIN ev l ON l.user_id = g.user_id AND l.seq = g.mx)
 SELECT user_id, op, seq, CASE WHEN op <> 'd' THEN l_type END AS last_type FROM n WHERE op IS NOT NULL"""
+    q["signal_snapshot"] = W_V + (
+        "SELECT k, 'r' AS op, CAST(1 AS BIGINT) AS seq, CAST(floor(k / 1000) AS BIGINT) AS chunk, status FROM v1 "
+        "WHERE NOT EXISTS (SELECT 1 FROM (" + _cap("v1", "v2", 2) + ") w WHERE w.k = v1.k)")
+    q["route_mixed"] = W_LOG + "SELECT k, op, seq, before_status, after_status, before_total, after_total FROM log"
     q["unwrap_after"] = W_LOG + ("SELECT k, after_status AS status, after_total AS total, "
                                  "after_order_date AS order_date, op, seq FROM log WHERE op <> 'd'")
     q["tombstones_on"] = W_LOG + ("SELECT k, op, seq, FALSE AS is_tombstone, op = 'd' AS is_null_value FROM log "

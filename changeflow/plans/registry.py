@@ -249,6 +249,28 @@ def cascade_delete(spark, d):
     return op.cascade_delete(li, gone, ["l_orderkey"], ["o_orderkey"])
 
 
+def find_or_create_brands(spark, d):
+    """MUT-4 with ids: brands of size-1 parts are the existing rows (ids 1..m in
+    name order); every part resolves its brand to an existing or a new id."""
+    p = _t(spark, d, "part")
+    existing_names = p.filter(F.col("p_size") == 1).select(F.col("p_brand").alias("name")).distinct()
+    target = op.assign_ids(existing_names, 1, ["name"], "id")
+    src = p.select("p_partkey", F.col("p_brand").alias("name"))
+    resolved, _ = op.find_or_create(target, src, ["name"], "id")
+    return resolved.select("p_partkey", "name", "id")
+
+
+def bucketed_upsert(spark, d):
+    """MUT-1 on the bucket layout: V1 stored by key bucket, the batch rewrites only
+    the buckets it touches; the table read back equals ``upsert_partial``."""
+    a = v1(spark, d)
+    path = shared_dir(spark, "bucketed_upsert")
+    op.write_buckets(a, path, KEY, 64)
+    op.upsert_buckets(spark, path, _changed_and_new(v2_from(a)), KEY, ["status"], 64,
+                      defaults={"order_date": ts_ntz(AS_OF)})
+    return op.read_buckets(spark, path).select(*a.columns)
+
+
 def assign_ids(spark, d):
     n = _t(spark, d, "nation")
     existing = n.select((F.col("n_nationkey") + 1).alias("id"))
@@ -337,6 +359,24 @@ def net_changes_events(spark, d):
                       F.col("after.event_type").alias("last_type"))
 
 
+def signal_snapshot(spark, d):
+    """CAP-13: a signalled snapshot of V1 read in key chunks of 1000 while
+    capture(V1, V2) runs; rows whose key changed in that window yield to the log."""
+    a = v1(spark, d)
+    window = op.capture(a, v2_from(a), TABLE, KEY, 2, versions.TS_1)
+    snap = op.chunked_snapshot(a, TABLE, KEY, 1, 1000, window_events=window)
+    return snap.select(F.col("key.k").alias("k"), "op", "seq", "chunk", F.col("after.status").alias("status"))
+
+
+def route_mixed(spark, d):
+    """Mixed-table stream: LOG and a copy named public.users travel with JSON
+    payloads; routing public.orders back gives typed events."""
+    log = change_log(spark, d)
+    mixed_log = op.to_mixed(log).unionByName(op.to_mixed(log.withColumn("table", F.lit("public.users"))))
+    back = op.from_mixed(mixed_log, TABLE, log.schema["key"].dataType, log.schema["after"].dataType)
+    return flat_event(back)
+
+
 def unwrap_after(spark, d):
     return op.unwrap(change_log(spark, d), deletes="drop")
 
@@ -454,9 +494,11 @@ QUERIES: dict[str, Query] = {
         catalog_capture_candidates, catalog_tracked, catalog_capture_status,
         check_not_null, check_unique, check_foreign_key, check_length, check_required, fill_defaults,
         upsert_partial, upsert_touch, doc_upsert, insert_if_absent, delete_keys, cascade_delete, assign_ids,
+        find_or_create_brands, bucketed_upsert,
         seed_categories, seed_products, seed_users, seed_orders, seed_order_items, seed_payments,
         seed_inventory_logs,
-        snapshot_events, capture_diff, snapshot_then_log, net_changes, net_changes_events, unwrap_after, tombstones_on,
+        snapshot_events, capture_diff, snapshot_then_log, net_changes, net_changes_events, signal_snapshot,
+        route_mixed, unwrap_after, tombstones_on,
         tombstones_off, event_keys, kafka_records, json_schema_payload, apply_changes, change_feed,
         nest_items, unnest_items, reconcile_totals, parse_props,
         stream_changes, stream_dedup,
