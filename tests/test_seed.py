@@ -41,3 +41,26 @@ def test_users_times(spark):
     assert str(u[2]["created_at"]) == "2025-12-31 23:57:00"
     c = seed.seed_categories(series(spark, 1, 10)).orderBy("category_id").collect()
     assert c[9]["name"] == "Category 10"
+
+
+def test_populate_publishes_all_tables_and_is_idempotent(spark, scratch):
+    from changeflow.plans.populate import populate, seed_frames
+    from changeflow.sinks import committed_versions, read_current
+
+    root = f"{scratch}/db"
+    frames = seed_frames(spark)
+    populate(spark, root, frames, version=1)
+    counts = {t: read_current(spark, root, t).count() for t in frames}
+    assert sum(counts.values()) == 10 + 6 * 1000
+    first = {t: sorted(read_current(spark, root, t).collect()) for t in frames}
+    populate(spark, root, seed_frames(spark), as_of="2026-03-01 00:00:00", version=2)
+    assert committed_versions(spark, root) == [1, 2]
+    for t in frames:
+        again = read_current(spark, root, t)
+        if t == "products":
+            again = again.drop("updated_at")
+            assert sorted(again.collect()) == sorted(r[:-1] for r in first[t])
+            assert {str(r[0]) for r in read_current(spark, root, t).select("updated_at").distinct().collect()} == {
+                "2026-03-01 00:00:00"}
+        else:
+            assert sorted(again.collect()) == first[t], t
