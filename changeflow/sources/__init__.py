@@ -1,7 +1,7 @@
 """Readers."""
 
 from changeflow.sources.catalog import indexes_frame, schemas_frame, tables_frame
-from changeflow.sources.jdbc import scan_jdbc, write_jdbc
+from changeflow.sources.jdbc import key_bounds, scan_jdbc, scan_jdbc_auto, write_jdbc
 from changeflow.sources.tables import scan_documents, scan_table, series, table_path
 
 __all__ = [
@@ -10,6 +10,8 @@ __all__ = [
     "series",
     "table_path",
     "scan_jdbc",
+    "scan_jdbc_auto",
+    "key_bounds",
     "write_jdbc",
     "tables_frame",
     "indexes_frame",

@@ -46,6 +46,26 @@ def scan_jdbc(
     )
 
 
+def key_bounds(spark: SparkSession, url: str, table: str, key: str, properties: dict | None = None) -> tuple:
+    """``(MIN(key), MAX(key))`` computed by the database: one row comes back.
+
+    The key is a quoted identifier, as Spark's JDBC writer creates columns.
+    """
+    col = '"' + key.replace('"', '""') + '"'
+    q = f"(SELECT MIN({col}) AS lo, MAX({col}) AS hi FROM {table}) bounds"
+    row = spark.read.jdbc(url=url, table=q, properties=dict(properties or {})).first()
+    return row[0], row[1]
+
+
+def scan_jdbc_auto(spark: SparkSession, url: str, table: str, key: str, partitions: int,
+                   properties: dict | None = None) -> DataFrame:
+    """``scan_jdbc`` with bounds from ``key_bounds`` (an empty table reads as one range)."""
+    lo, hi = key_bounds(spark, url, table, key, properties)
+    if lo is None:
+        lo, hi = 0, 0
+    return scan_jdbc(spark, url, table, key, int(lo), int(hi) + 1, partitions, properties)
+
+
 def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", properties: dict | None = None,
                batch_size: int = 10_000) -> None:
     """SNK-1 against a relational target: batched INSERTs, one connection per task."""

@@ -13,3 +13,13 @@ def test_jdbc_roundtrip_in_ranges(spark):
     assert back.rdd.getNumPartitions() == 4
     assert back.count() == 1000
     assert back.filter("product_id = 500").first()["name"] == "Product 500"
+
+
+def test_jdbc_bounds_from_the_database(spark):
+    from changeflow.sources import key_bounds, scan_jdbc_auto
+
+    df = spark.range(10, 510).selectExpr("cast(id as int) as log_id", "cast(id % 21 - 10 as int) as change_quantity")
+    write_jdbc(df, URL, "inventory_logs", mode="overwrite", properties=PROPS)
+    assert key_bounds(spark, URL, "inventory_logs", "log_id", PROPS) == (10, 509)
+    back = scan_jdbc_auto(spark, URL, "inventory_logs", "log_id", 3, properties=PROPS)
+    assert back.rdd.getNumPartitions() == 3 and back.count() == 500
