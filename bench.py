@@ -29,6 +29,14 @@ HEADLINE = [
     "check_unique",
     "catalog_capture_candidates",
     "assign_ids",
+    "doc_upsert",
+    "fk_lookup",
+    "strict_lookup",
+    "check_foreign_key",
+    "kafka_records",
+    "unnest_items",
+    "seed_orders",
+    "net_changes_events",
 ]
 
 
