@@ -329,6 +329,7 @@ SELECT user_id, op, seq, CASE WHEN op <> 'd' THEN l_type END AS last_type FROM n
     q["kafka_records"] = W_LOG + (
         "SELECT 'ecomm-postgres.public.orders' AS topic, '{\"k\":' || CAST(k AS VARCHAR) || '}' AS key, "
         + _VALUE_LOG + " AS value FROM log")
+    q["stream_feed"] = q["kafka_records"]
     q["json_schema_payload"] = W_V + (
         "SELECT CAST(k AS VARCHAR) AS k, '{\"schema\":" + _PAYLOAD_SCHEMA.replace("'", "''") + ",\"payload\":' || "
         "CAST(json_object('k', CAST(k AS VARCHAR), 'status', status, 'total', CAST(total AS VARCHAR), "

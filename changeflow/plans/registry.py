@@ -484,6 +484,20 @@ def stream_dedup(spark, d):
     return spark.read.parquet(f"{root}/out").select("event_id", "user_id", "event_type")
 
 
+def stream_feed(spark, d):
+    """CAP-14 as a stream: LOG landed as files, streamed through include list,
+    routing and string records with availableNow, settled output read back."""
+    from changeflow.streaming.flow import start_flow
+
+    root = shared_dir(spark, "stream_feed")
+    log = change_log(spark, d)
+    log.write.parquet(f"{root}/landing")
+    stream = spark.readStream.schema(log.schema).parquet(f"{root}/landing")
+    start_flow(stream, mixed.SCENARIO_TABLES, [], mixed.TOPIC_PREFIX, _value_struct(), f"{root}/_checkpoint",
+               f"{root}/out").awaitTermination()
+    return spark.read.parquet(f"{root}/out")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in [
@@ -501,6 +515,6 @@ QUERIES: dict[str, Query] = {
         route_mixed, unwrap_after, tombstones_on,
         tombstones_off, event_keys, kafka_records, json_schema_payload, apply_changes, change_feed,
         nest_items, unnest_items, reconcile_totals, parse_props,
-        stream_changes, stream_dedup,
+        stream_changes, stream_dedup, stream_feed,
     ]
 }
