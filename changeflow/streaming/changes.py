@@ -169,15 +169,20 @@ def read_table(spark: SparkSession, root: str, key: list[str], base_schema: T.St
 
 
 def compact(spark: SparkSession, root: str, key: list[str], base_schema: T.StructType,
-            event_schema: T.StructType | None = None, retire_log: bool = True) -> int:
+            event_schema: T.StructType | None = None, retire_log: bool = True,
+            marker_horizon: int | None = None) -> int:
     """Fold the listed log batches into a new published base, then retire them.
 
     The base keeps ``_seq``/``_deleted`` markers, so a batch folded twice (or
     read again before it is retired) changes nothing. Batches that land while
-    compaction runs are not in the listing and stay in the log.
+    compaction runs are not in the listing and stay in the log. Delete markers
+    at or below ``marker_horizon`` (a position no late event can precede any
+    more) are dropped.
     """
     batches = log_batches(spark, root)
     state = read_table(spark, root, key, base_schema, event_schema, keep_markers=True, batches=batches)
+    if marker_horizon is not None:
+        state = state.filter(~(F.col("_deleted") & (F.col("_seq") <= F.lit(marker_horizon))))
     version = load_all(spark, root, {"base": state})
     if retire_log:
         jvm = spark._jvm

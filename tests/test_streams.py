@@ -58,6 +58,11 @@ def test_stream_apply_equals_batch_apply(spark, scratch):
     S.compact(spark, root, ["k"], a.schema, ev_schema)
     assert S.log_batches(spark, root) == []
     assert rows(S.read_table(spark, root, ["k"], a.schema, ev_schema)) == rows(c)
+    markers = S.read_table(spark, root, ["k"], a.schema, ev_schema, keep_markers=True).filter("_deleted").count()
+    assert markers > 0
+    S.compact(spark, root, ["k"], a.schema, ev_schema, marker_horizon=2)
+    state = S.read_table(spark, root, ["k"], a.schema, ev_schema, keep_markers=True)
+    assert state.filter("_deleted").count() == 0 and rows(state.drop("_seq", "_deleted")) == rows(c)
 
 
 def test_typed_event_schema_roundtrip(spark):
