@@ -65,21 +65,26 @@ def chain(df: DataFrame, transforms: list[Transform]) -> DataFrame:
 def unwrap(events: DataFrame, deletes: str = "drop") -> DataFrame:
     """CAP-5: keep the new row state (``after.*``) of each event.
 
-    ``deletes="drop"`` removes delete events; ``"null"`` keeps them as the key
-    with NULL values (the tombstone-like record of the key).
+    ``deletes`` decides what a delete event becomes:
+    ``"drop"`` removes it; ``"null"`` keeps its key with NULL values;
+    ``"rewrite"`` keeps its last state (``before.*``) and adds ``__deleted``
+    (``"true"`` for deletes, ``"false"`` otherwise).
     """
     after_fields = events.schema["after"].dataType.fieldNames()
     key_fields = events.schema["key"].dataType.fieldNames()
-    if deletes == "drop":
-        ev = events.filter(F.col("op") != "d")
-    elif deletes == "null":
-        ev = events
-    else:
-        raise ValueError(f"deletes must be 'drop' or 'null', not {deletes!r}")
-    cols = [
-        (F.coalesce(F.col(f"after.{c}"), F.col(f"key.{c}")) if c in key_fields else F.col(f"after.{c}")).alias(c)
-        for c in after_fields
-    ]
+    if deletes not in ("drop", "null", "rewrite"):
+        raise ValueError(f"deletes must be 'drop', 'null' or 'rewrite', not {deletes!r}")
+    ev = events.filter(F.col("op") != "d") if deletes == "drop" else events
+    is_del = F.col("op") == "d"
+
+    def value(c: str) -> Column:
+        v = F.when(is_del, F.col(f"before.{c}")).otherwise(F.col(f"after.{c}")) if deletes == "rewrite" \
+            else F.col(f"after.{c}")
+        return F.coalesce(v, F.col(f"key.{c}")) if c in key_fields else v
+
+    cols = [value(c).alias(c) for c in after_fields]
+    if deletes == "rewrite":
+        cols.append(F.when(is_del, F.lit("true")).otherwise(F.lit("false")).alias("__deleted"))
     return ev.select(*cols, "op", "seq")
 
 

@@ -196,3 +196,10 @@ def test_find_or_create_returns_existing_ids(spark):
     again, table2 = op.find_or_create(table, src, ["name"], "id")
     assert sorted(r["id"] for r in again.collect()) == [2, 3, 4, 4]
     assert table2.count() == 4
+
+
+def test_unwrap_rewrite_mode_flags_deletes(log):
+    out = {(r["id"], r["seq"]): (r["v"], r["__deleted"]) for r in op.unwrap(log, deletes="rewrite").collect()}
+    assert out[(3, 2)] == ("a", "true") and out[(2, 2)] == ("b", "false")
+    with pytest.raises(ValueError):
+        op.unwrap(log, deletes="keep")
