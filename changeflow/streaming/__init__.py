@@ -12,6 +12,6 @@ from changeflow.streaming.changes import (
     stream_events_to_files,
     table_stream,
 )
-from changeflow.streaming.flow import flow_records, start_flow
+from changeflow.streaming.flow import flow_records, kafka_available, read_kafka_changes, start_flow
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -14,6 +14,28 @@ from changeflow.sinks.records import to_kafka_string
 from changeflow.streaming.changes import FLUSH_INTERVAL
 
 
+KAFKA_PROVIDER = "org.apache.spark.sql.kafka010.KafkaSourceProvider"
+
+
+def kafka_available(spark) -> bool:
+    """Whether the Kafka connector is on the classpath (it is not bundled with Spark)."""
+    try:
+        spark._jvm.java.lang.Class.forName(KAFKA_PROVIDER, False, spark._jvm.Thread.currentThread()
+                                           .getContextClassLoader())
+        return True
+    except Exception:
+        return False
+
+
+def read_kafka_changes(spark, servers: str, topics: list[str], schema) -> DataFrame:
+    """SRC-5 from Kafka: string records whose JSON value is a change event of ``schema``."""
+    if not kafka_available(spark):
+        raise RuntimeError("the Kafka connector (spark-sql-kafka) is not on the classpath")
+    raw = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
+           .option("subscribe", ",".join(topics)).option("startingOffsets", "earliest").load())
+    return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("e")).select("e.*")
+
+
 def flow_records(events: DataFrame, include: list[str], transforms: list[Transform], prefix: str,
                  value: Column) -> DataFrame:
     """The record frame of a flow; identical for a batch or a streaming input."""
@@ -25,6 +47,9 @@ def start_flow(events: DataFrame, include: list[str], transforms: list[Transform
                checkpoint: str, out_path: str | None = None, fmt: str = "parquet",
                options: dict | None = None, available_now: bool = True):
     """Start the flow; ``checkpoint`` is its durable position (a new one restarts it)."""
+    if fmt == "kafka" and not kafka_available(events.sparkSession):
+        raise RuntimeError("the Kafka connector (spark-sql-kafka) is not on the classpath; "
+                           "use a file sink (fmt='parquet' or 'json') or add the connector")
     records = flow_records(events, include, transforms, prefix, value)
     w = records.writeStream.format(fmt).option("checkpointLocation", checkpoint).options(**(options or {}))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=FLUSH_INTERVAL)

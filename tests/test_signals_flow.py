@@ -120,3 +120,20 @@ def test_parse_json_array_tags(spark):
     df = spark.createDataFrame([(1, '["a", "b"]'), (2, None), (3, "[]")], "id int, tags string")
     out = {r["id"]: r["tags"] for r in op.parse_json_array(df, "tags").collect()}
     assert out == {1: ["a", "b"], 2: None, 3: []}
+
+
+def test_kafka_path_is_gated(spark, scratch):
+    import pytest
+
+    from changeflow.streaming.flow import kafka_available, read_kafka_changes
+
+    if kafka_available(spark):
+        pytest.skip("Kafka connector present")
+    log = V.change_log(spark, SF_SMALL)
+    log.write.parquet(f"{scratch}/landing")
+    stream = spark.readStream.schema(log.schema).parquet(f"{scratch}/landing")
+    with pytest.raises(RuntimeError, match="Kafka connector"):
+        start_flow(stream, ["public.orders"], [], mixed.TOPIC_PREFIX, _value_struct(), f"{scratch}/ckpt",
+                   fmt="kafka", options={"kafka.bootstrap.servers": "unused:9092", "topic": "t"})
+    with pytest.raises(RuntimeError, match="Kafka connector"):
+        read_kafka_changes(spark, "unused:9092", ["t"], log.schema)
