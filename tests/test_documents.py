@@ -73,3 +73,16 @@ def test_nested_documents_round_trip_through_json(spark, scratch):
 
     back = scan_documents(spark, f"{scratch}/orders", seed.doc_types()["orders"])
     assert back.filter(F.col("user.user_id") == "user-2").select("_id").collect()[0][0] == "order-1002"
+
+
+def test_capture_and_replay_of_nested_documents(spark):
+    a = seed.seed_documents(spark, "A")["orders"]
+    b = seed.seed_documents(spark, "B")["orders"]
+    b_plus = b.unionByName(a.filter(F.col("_id") == "order-1002").withColumn("_id", F.lit("order-2000")))
+    ev = op.capture(a, b_plus, "ecommerce.orders", ["_id"], 1)
+    assert sorted((r["key"]["_id"], r["op"]) for r in ev.collect()) == [
+        ("order-1001", "u"), ("order-1002", "u"), ("order-2000", "c")]
+    # Same nested values on both sides: no event.
+    assert op.capture(a, a, "ecommerce.orders", ["_id"], 1).count() == 0
+    replayed = op.apply_changes(a, ev, ["_id"])
+    assert sorted(map(str, replayed.collect())) == sorted(map(str, b_plus.collect()))
