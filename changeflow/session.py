@@ -51,6 +51,16 @@ def build_session(master: str = "local[8]", partitions: int = 8, app: str = "cha
     return spark
 
 
+def cluster_session(app: str = "changeflow", conf: dict | None = None) -> SparkSession:
+    """A session for a cluster: the master comes from spark-submit, settings from
+    ``CLUSTER_CONF`` (plus ``conf`` overrides). ``spark.checkpoint.dir`` must be
+    configured by the cluster; it names the shared folder for checkpoints."""
+    builder = SparkSession.builder.appName(app)
+    for k, v in {**CLUSTER_CONF, **(conf or {})}.items():
+        builder = builder.config(k, v)
+    return builder.getOrCreate()
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The cluster's shared folder from ``spark.checkpoint.dir``.
 
