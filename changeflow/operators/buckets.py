@@ -28,10 +28,37 @@ def bucket_of(key: list[str], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*[F.col(k) for k in key]), F.lit(buckets)).cast("int")
 
 
-def write_buckets(df: DataFrame, path: str, key: list[str], buckets: int) -> None:
-    """Create (or replace) a keyed table in bucket layout."""
-    (df.withColumn(BUCKET, bucket_of(key, buckets))
-     .repartition(F.col(BUCKET))
+def _writers(spark: SparkSession, buckets: int, writers_per_bucket: int | None) -> int:
+    """Tasks per bucket: by default the table's buckets share ``spark.sql.shuffle.partitions``."""
+    if writers_per_bucket is not None:
+        return writers_per_bucket
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // buckets)
+
+
+def _spread(df: DataFrame, key: list[str], groups: int, writers: int) -> DataFrame:
+    """Distribute rows so each bucket present is written by ``writers`` tasks.
+
+    Repartitioning by the bucket alone would hand a whole bucket to one task.
+    A second hash of the key (murmur3, independent of the bucket's xxhash64)
+    picks the task within the bucket, so a bucket folder gets a bounded number
+    of files and no task writes more than its share. ``groups`` is the number
+    of buckets with data (all of them when a table is created, the touched
+    ones when a batch rewrites some), which sets the number of tasks.
+    """
+    sub = F.pmod(F.hash(*[F.col(k) for k in key]), F.lit(writers))
+    return df.repartition(max(1, groups * writers), F.col(BUCKET), sub)
+
+
+def write_buckets(df: DataFrame, path: str, key: list[str], buckets: int,
+                  writers_per_bucket: int | None = None) -> None:
+    """Create (or replace) a keyed table in bucket layout.
+
+    Choose ``buckets`` so one bucket is a few GiB: a batch then rewrites only
+    the few buckets its keys fall in.
+    """
+    tagged = df.withColumn(BUCKET, bucket_of(key, buckets))
+    writers = _writers(df.sparkSession, buckets, writers_per_bucket)
+    (_spread(tagged, key, buckets, writers)
      .write.mode("overwrite").partitionBy(BUCKET).parquet(path))
 
 
@@ -45,13 +72,15 @@ def _touched(batch: DataFrame) -> list[int]:
     return sorted(r[0] for r in batch.select(BUCKET).distinct().collect())
 
 
-def _replace(spark: SparkSession, merged: DataFrame, path: str) -> None:
+def _replace(spark: SparkSession, merged: DataFrame, path: str, key: list[str], buckets: int,
+             touched: int) -> None:
     checkpoint_root(spark)
     settled = merged.checkpoint(eager=True)
     prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
-        settled.repartition(F.col(BUCKET)).write.mode("overwrite").partitionBy(BUCKET).parquet(path)
+        writers = _writers(spark, buckets, None)
+        _spread(settled, key, touched, writers).write.mode("overwrite").partitionBy(BUCKET).parquet(path)
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
 
@@ -66,7 +95,7 @@ def upsert_buckets(spark: SparkSession, path: str, src: DataFrame, key: list[str
         return []
     target = read_buckets(spark, path, touched).drop(BUCKET)
     merged = upsert(target, batch.drop(BUCKET), key, set_cols, defaults=defaults, touch=touch)
-    _replace(spark, merged.withColumn(BUCKET, bucket_of(key, buckets)), path)
+    _replace(spark, merged.withColumn(BUCKET, bucket_of(key, buckets)), path, key, buckets, len(touched))
     return touched
 
 
@@ -78,5 +107,5 @@ def apply_buckets(spark: SparkSession, path: str, events: DataFrame, key: list[s
         return []
     target = read_buckets(spark, path, touched).drop(BUCKET)
     merged = apply_changes(target, ev.drop(BUCKET), key, keep_markers="_deleted" in target.columns)
-    _replace(spark, merged.withColumn(BUCKET, bucket_of(key, buckets)), path)
+    _replace(spark, merged.withColumn(BUCKET, bucket_of(key, buckets)), path, key, buckets, len(touched))
     return touched

@@ -137,3 +137,15 @@ def test_kafka_path_is_gated(spark, scratch):
                    fmt="kafka", options={"kafka.bootstrap.servers": "unused:9092", "topic": "t"})
     with pytest.raises(RuntimeError, match="Kafka connector"):
         read_kafka_changes(spark, "unused:9092", ["t"], log.schema)
+
+
+def test_bucket_layout_spreads_each_bucket_over_writers(spark, scratch):
+    import os
+
+    a, _, _ = V.versions(spark, SF_SMALL)
+    path = f"{scratch}/orders"
+    op.write_buckets(a, path, ["k"], 4, writers_per_bucket=3)
+    per_bucket = [len([f for f in os.listdir(f"{path}/{d}") if f.endswith(".parquet")])
+                  for d in os.listdir(path) if d.startswith("_bucket=")]
+    assert len(per_bucket) == 4 and all(1 < n <= 3 for n in per_bucket)
+    assert rows(op.read_buckets(spark, path).drop("_bucket")) == rows(a)
