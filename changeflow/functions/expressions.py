@@ -25,8 +25,9 @@ def changed(pairs: list[tuple[Column, Column]]) -> Column:
 
 
 def schema_of(table: Column | str) -> Column:
-    """Schema part of a dotted name: second to last part (``db.schema.t`` or ``schema.t``)."""
-    return F.element_at(F.split(_c(table), "[.]"), -2)
+    """Schema part of a dotted name: second to last part (``db.schema.t`` or ``schema.t``);
+    NULL for a one-part name (``try_element_at``: no error under ANSI)."""
+    return F.try_element_at(F.split(_c(table), "[.]"), F.lit(-2))
 
 
 def database_of(table: Column | str) -> Column:

@@ -114,7 +114,8 @@ def test_conditional_transform_null_predicate(spark):
 
 
 def test_include_filters(spark):
-    df = spark.createDataFrame([("ecommerce.data.orders",), ("public.users",), ("ecommerce.products",)], "table string")
+    df = spark.createDataFrame([("ecommerce.data.orders",), ("public.users",), ("ecommerce.products",), ("bare",)],
+                               "table string")
     assert [r[0] for r in op.include_schemas(df, ["data"]).collect()] == ["ecommerce.data.orders"]
     assert sorted(r[0] for r in op.include_databases(df, ["ecommerce"]).collect()) == [
         "ecommerce.data.orders", "ecommerce.products"]
