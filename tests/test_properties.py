@@ -2,6 +2,7 @@
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from changeflow import operators as op
 from conftest import rows
@@ -37,3 +38,37 @@ def test_replay_and_net_laws(spark, v1, v2, v3):
     assert rows(op.upsert(once, b, ["k"], ["a"])) == rows(once)
     kept = op.insert_if_absent(a, b, ["k"])
     assert set(rows(a)) <= set(rows(kept))
+
+
+names = st.lists(st.one_of(st.none(), st.sampled_from(["a", "b", "c", "d", "e"])), max_size=12)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(old=names, new=names)
+def test_set_delta_matches_python_sets(spark, old, new):
+    o = spark.createDataFrame([(x,) for x in old], "t string")
+    n = spark.createDataFrame([(x,) for x in new], "t string")
+    got = {(r["t"], r["change"]) for r in op.set_delta(o, n, "t").collect()}
+    want = {(x, "added") for x in set(new) - set(old)} | {(x, "removed") for x in set(old) - set(new)}
+    assert got == want
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(keys=st.sets(st.integers(-1000, 1000), max_size=60), start=st.integers(1, 50), parts=st.integers(1, 5))
+def test_assign_ids_are_dense_and_follow_the_key(spark, keys, start, parts):
+    df = spark.createDataFrame([(k,) for k in keys], "x int")
+    got = sorted((r["x"], r["id"]) for r in op.assign_ids(df, start, ["x"], partitions=parts).collect())
+    assert got == [(k, start + i) for i, k in enumerate(sorted(keys))]
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(hot=st.integers(0, 400), cold=st.lists(st.integers(1, 9), max_size=30), cap=st.integers(2, 50))
+def test_nest_round_trip_with_a_hot_key(spark, hot, cold, cap):
+    data = [(0, i) for i in range(hot)] + [(k, 1000 + i) for i, k in enumerate(cold)]
+    df = spark.createDataFrame(data, "key int, v int")
+    docs = op.nest(df, ["key"], ["v"], max_items=cap)
+    sizes = [r[0] for r in docs.select(F.size("items")).collect()]
+    assert sum(sizes) == len(data)
+    # Chunks are hash buckets: about cap items each (balls into bins), never the whole key.
+    assert all(s <= 3 * cap + 10 for s in sizes)
+    assert rows(op.unnest(docs, ["key"])) == sorted(data)
