@@ -11,7 +11,15 @@ from changeflow.operators.capture import (
     require_ordered,
     snapshot,
 )
-from changeflow.operators.checks import fill_defaults, foreign_key, max_length, not_null, required, unique
+from changeflow.operators.checks import (
+    fill_defaults,
+    foreign_key,
+    foreign_keys,
+    max_length,
+    not_null,
+    required,
+    unique,
+)
 from changeflow.operators.joins import absent_in, exists_in, lookup
 from changeflow.operators.mutate import (
     apply_changes,

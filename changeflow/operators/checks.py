@@ -34,6 +34,24 @@ def foreign_key(child: DataFrame, parent: DataFrame, on: list[tuple[str, str]])
     return child.filter(has_ref).join(refs, fks, "left_anti")
 
 
+def foreign_keys(frames: dict, fks: list[tuple[str, str, str, str]]) -> DataFrame:
+    """CHK-3 over a whole model: orphans of every declared foreign key, one frame.
+
+    Rows are (fk, child_row, ref): the constraint name ``child.column->parent``,
+    the child's row as JSON text and the unresolved reference. Each constraint is
+    one anti join against the parent's distinct keys; the union keeps them apart.
+    """
+    parts = []
+    for child, col, parent, pcol in fks:
+        orphans = foreign_key(frames[child], frames[parent], [(col, pcol)])
+        parts.append(orphans.select(
+            F.lit(f"{child}.{col}->{parent}").alias("fk"),
+            F.to_json(F.struct(*[F.col(c) for c in frames[child].columns])).alias("child_row"),
+            F.col(col).cast("string").alias("ref"),
+        ))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def fill_defaults(df: DataFrame, spec: dict[str, Column]) -> DataFrame:
     """CHK-4: ``DEFAULT`` values for columns that are absent from the input.
 

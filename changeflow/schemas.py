@@ -49,6 +49,16 @@ RELATIONAL = {
     ),
 }
 
+# The declared foreign keys of the relational shape (child, column, parent, column).
+RELATIONAL_FKS = [
+    ("products", "category_id", "categories", "category_id"),
+    ("orders", "user_id", "users", "user_id"),
+    ("order_items", "order_id", "orders", "order_id"),
+    ("order_items", "product_id", "products", "product_id"),
+    ("payments", "order_id", "orders", "order_id"),
+    ("inventory_logs", "product_id", "products", "product_id"),
+]
+
 # Document shape: one order with its user embedded and its items as an array.
 USER_DOC = _struct(("user_id", S, True), ("name", S, True), ("username", S, True), ("email", S, True))
 ITEM_DOC = _struct(("product_id", S, True), ("name", S, True), ("quantity", I, True), ("unit_price", MONEY12, True))

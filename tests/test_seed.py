@@ -64,3 +64,17 @@ def test_populate_publishes_all_tables_and_is_idempotent(spark, scratch):
                 "2026-03-01 00:00:00"}
         else:
             assert sorted(again.collect()) == first[t], t
+
+
+def test_seeded_model_foreign_keys(spark):
+    from changeflow import operators as op
+    from changeflow.plans.populate import seed_frames
+    from changeflow.schemas import RELATIONAL_FKS
+
+    frames = seed_frames(spark)
+    assert op.foreign_keys(frames, RELATIONAL_FKS).count() == 0
+    frames["orders"] = frames["orders"].filter(F.col("order_id") != 7)
+    orphans = op.foreign_keys(frames, RELATIONAL_FKS)
+    by_fk = {r["fk"] for r in orphans.collect()}
+    assert set(by_fk) <= {"order_items.order_id->orders", "payments.order_id->orders"}
+    assert orphans.filter(F.col("fk") == "payments.order_id->orders").select("ref").collect()[0][0] == "7"
