@@ -149,3 +149,24 @@ def test_bucket_layout_spreads_each_bucket_over_writers(spark, scratch):
                   for d in os.listdir(path) if d.startswith("_bucket=")]
     assert len(per_bucket) == 4 and all(1 < n <= 3 for n in per_bucket)
     assert rows(op.read_buckets(spark, path).drop("_bucket")) == rows(a)
+
+
+def test_ordered_flow_delivers_each_key_in_seq_order(spark, scratch):
+    import json as _json
+
+    log = V.change_log(spark, SF_SMALL)
+    log.write.parquet(f"{scratch}/landing")
+    stream = spark.readStream.schema(log.schema).parquet(f"{scratch}/landing")
+    start_flow(stream, ["public.orders"], [], mixed.TOPIC_PREFIX, _value_struct(), f"{scratch}/ckpt",
+               f"{scratch}/out", ordered=True).awaitTermination()
+    out = spark.read.parquet(f"{scratch}/out")
+    assert rows(out.drop("batch_id")) == rows(kafka_records(spark, SF_SMALL))
+    tagged = out.withColumn("pid", F.spark_partition_id()).withColumn("f", F.input_file_name())
+    files = {}
+    for r in tagged.select("f", "key", "value").collect():
+        files.setdefault(r["f"], []).append((r["key"], int(_json.loads(r["value"])["seq"])))
+    for recs in files.values():
+        last = {}
+        for k, s in recs:
+            assert last.get(k, -1) <= s
+            last[k] = s
