@@ -74,3 +74,29 @@ def test_nested_field_filter_prunes_nested_columns(spark, scratch):
     plan = _plan(q)
     assert "ReadSchema: struct<o_orderkey:bigint,user:struct<user_id:bigint>>" in plan
     assert "PushedFilters: [IsNotNull(user.user_id), EqualTo(user.user_id,7)]" in plan
+
+
+def test_nest_shuffles_on_key_and_chunk(spark):
+    plan = _final_plan(queries()["nest_items"](spark, SF_SMALL))
+    assert re.search(r"Exchange hashpartitioning\(l_orderkey#\d+L, chunk#\d+", plan)
+    assert "partial_collect_list" in plan
+
+
+def test_assign_ids_has_no_window_over_the_rows(spark):
+    plan = _final_plan(queries()["assign_ids"](spark, SF_SMALL))
+    assert "Exchange rangepartitioning(n_nationkey" in plan
+    # The only window runs over the per-partition counts (one row per partition).
+    for line in plan.split("\n"):
+        if "Window [" in line:
+            assert "_cnt" in line
+
+
+def test_totals_aggregate_partially_before_the_join(spark):
+    plan = _final_plan(queries()["reconcile_totals"](spark, SF_SMALL))
+    assert "partial_sum" in plan
+    assert plan.index("Join") < plan.index("partial_sum")  # the join sits above the partial aggregate
+
+
+def test_log_reuses_the_shared_version_shuffle(spark):
+    plan = _final_plan(queries()["net_changes"](spark, SF_SMALL))
+    assert "ReusedExchange" in plan
