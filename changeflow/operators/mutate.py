@@ -171,9 +171,12 @@ def assign_ids(df: DataFrame, start: int, order_by: list[str], id_col: str = "id
     No un-partitioned window over the rows: the frame is range-partitioned and
     sorted within partitions, per-partition row counts (one row per partition)
     are turned into offsets, and each row's id is its partition's offset plus
-    its position in the partition. The range exchange appears twice in the plan
-    and is reused, so counts and ids come from the same partitioning.
-    ``order_by`` must be unique, which makes the ids deterministic on retry.
+    its position in the partition. The counts come from a second range
+    exchange that carries only the ``order_by`` columns (column pruning); its
+    bounds equal the main exchange's because range bounds are sampled
+    deterministically from the same input splits, so counts and positions
+    agree. ``order_by`` must be unique, which makes the ids deterministic on
+    retry.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
