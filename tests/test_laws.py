@@ -105,3 +105,10 @@ def test_tombstones_off_is_identity(spark):
     assert rows(off.drop("is_tombstone"), "key", "op", "seq") == rows(log, "key", "op", "seq")
     on = op.tombstones(log, on=True)
     assert on.count() == log.count() + log.filter(F.col("op") == "d").count()
+
+
+def test_log_delivered_twice_replays_like_once(spark):
+    a, _, c = _vs(spark)
+    log = V.change_log(spark, SF_SMALL)
+    assert rows(op.apply_changes(a, log.unionByName(log), KEY)) == rows(c)
+    assert rows(op.net_changes(log.unionByName(log)), "key", "op", "seq") == rows(op.net_changes(log), "key", "op", "seq")
