@@ -5,13 +5,19 @@ from __future__ import annotations
 from changeflow.llm.bpe import op3_bpe
 from changeflow.llm.decontaminate import op5_decontaminate
 from changeflow.llm.jaccard_join import op6_jaccard_join
+from changeflow.llm.language_id import op4_language_id
 from changeflow.llm.line_dedup import OP10_SQL, op10_line_dedup
+from changeflow.llm.lm_scoring import op7_lm_scoring
+from changeflow.llm.quality_gam import op8_quality_gam
 from changeflow.llm.quality_rules import op9_quality_rules
 
 QUERIES = {
     "op3_bpe": op3_bpe,
+    "op4_language_id": op4_language_id,
     "op5_decontaminate": op5_decontaminate,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_lm_scoring": op7_lm_scoring,
+    "op8_quality_gam": op8_quality_gam,
     "op9_quality_rules": op9_quality_rules,
     "op10_line_dedup": op10_line_dedup,
 }
