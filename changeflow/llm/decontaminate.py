@@ -36,7 +36,7 @@ UNITS = [
 def tokens(text: Column) -> Column:
     """Lower-case words of letters and digits; slots are MARK + type + value (null text: none)."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), MARK, " ")
-    t = F.regexp_replace(t, r"(?<=[\p{Ll},;:] )(?=\p{Lu}\p{Ll})", NAME)
+    t = F.regexp_replace(t, r"(?=\p{Lu}\p{Ll})(?<=[\p{Ll},;:]\s{1,8})", NAME)
     t = F.regexp_replace(F.lower(t), rf"[^\p{{L}}\p{{N}}{MARK}]+", " ")
     digits = F.regexp_replace(F.regexp_replace(t, r"([0-9]+)", rf" {NUMBER}$1 "), " +", " ")
     units = F.regexp_replace(digits, rf"(?<={NUMBER}[0-9]{{1,40}} )(?=(?:{'|'.join(UNITS)})(?: |$))", UNIT)
@@ -44,24 +44,32 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.trim(t), " +"), "")
 
 
-def _template(token: Column) -> Column:
-    return F.when(F.startswith(token, F.lit(MARK)), F.substring(token, 1, 2)).otherwise(token)
+def _plain(token: Column) -> Column:
+    """A token without its slot mark."""
+    return F.when(F.startswith(token, F.lit(MARK)), F.substr(token, F.lit(3))).otherwise(token)
 
 
-def windows(toks: Column, n: int) -> Column:
-    """The template hash of every run of ``n`` tokens, in order."""
+def _template(token: Column, names: bool) -> Column:
+    typed = F.when(F.startswith(token, F.lit(MARK)), F.substring(token, 1, 2)).otherwise(token)
+    return typed if names else F.when(F.startswith(token, F.lit(NAME)), _plain(token)).otherwise(typed)
+
+
+def windows(toks: Column, n: int, names: bool = True) -> Column:
+    """The template hash of every run of ``n`` tokens, in order; without ``names``, names stand for themselves."""
 
     def of(h: Column) -> Column:
         size = F.size(h)
         shifted = F.arrays_zip(*[F.slice(h, i + 1, F.greatest(size, F.lit(1))) for i in range(n)])
         return F.transform(F.slice(shifted, 1, F.greatest(size - n + 1, F.lit(0))), lambda x: F.xxhash64(x))
 
-    return let(F.transform(toks, lambda x: F.xxhash64(_template(x))), of)
+    return let(F.transform(toks, lambda x: F.xxhash64(_template(x, names))), of)
 
 
 def item_windows(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """(item_id, item_hash, toks, n, pos, h) of the benchmark's windows in which at least half the tokens are no slots.
 
+    A window with names has a second hash in which they stand for themselves, so
+    that copies in which no names can be told (all capitals, all small) are met.
     An item of fewer than ``n`` tokens is one window of its own length; items
     without tokens have none.
     """
@@ -69,15 +77,15 @@ def item_windows(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     items = save(items.where(F.size("toks") > 0).withColumn("n", F.least(F.size("toks"), F.lit(n))), "benchmark")
     parts = []
     for size in sorted(r["n"] for r in items.select("n").distinct().collect()):
-        own = items.where(F.col("n") == size).select("*", F.posexplode(windows(F.col("toks"), size)).alias("pos", "h"))
         plain = F.size(F.filter(F.slice("toks", F.col("pos") + 1, size), lambda x: ~F.startswith(x, F.lit(MARK))))
-        parts.append(own.where(plain * 2 >= size))
+        own = items.where(F.col("n") == size)
+        parts += [own.select("*", F.posexplode(windows(F.col("toks"), size, names)).alias("pos", "h")).where(plain * 2 >= size) for names in (True, False)]
     if not parts:
         return items.select("*", F.lit(0).alias("pos"), F.lit(0).cast("long").alias("h")).limit(0)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return save(out, "benchmark-windows")
+    return save(out.dropDuplicates(["item_id", "item_hash", "pos", "h"]), "benchmark-windows")
 
 
 def _bounded(df: DataFrame) -> DataFrame:
@@ -106,18 +114,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame
     own = docs.select("doc_id", F.xxhash64("text").alias("row_hash"), "text")
     own = own.join(_bounded(ids), own["doc_id"].eqNullSafe(ids["d"]) & (own["row_hash"] == ids["rh"]), "left_semi").dropDuplicates(["doc_id", "row_hash"])
     own = own.select(F.col("doc_id").alias("d"), F.col("row_hash").alias("rh"), tokens(F.col("text")).alias("doc_toks"))
-    items = index.groupBy("item_id", "item_hash").agg(F.first("toks").alias("item_toks"), F.first("n").alias("n"), F.count("*").alias("item_windows"))
+    items = index.groupBy("item_id", "item_hash").agg(F.first("toks").alias("item_toks"), F.first("n").alias("n"), F.count_distinct("pos").alias("item_windows"))
     items = save(items.withColumnsRenamed({"item_id": "i", "item_hash": "ih"}), "items")
     both = aligned.join(_bounded(items), aligned["item_id"].eqNullSafe(items["i"]) & (aligned["item_hash"] == items["ih"]))
     both = both.join(own, both["doc_id"].eqNullSafe(own["d"]) & (both["row_hash"] == own["rh"]))
 
     def slots(covered: Column) -> Column:
         marked = F.filter(covered, lambda p: F.startswith(F.get("item_toks", p), F.lit(MARK)))
-        return F.array_distinct(F.transform(marked, lambda p: F.struct(F.get("item_toks", p).alias("was"), F.get("doc_toks", p + F.col("offset")).alias("now"))))
+        return F.array_distinct(F.transform(marked, lambda p: F.struct(_plain(F.get("item_toks", p)).alias("was"), _plain(F.get("doc_toks", p + F.col("offset"))).alias("now"))))
 
     covered = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + F.col("n") - 1))))
     one_to_one = let(slots(covered), lambda s: (F.size(s) == F.size(F.array_distinct(s["was"]))) & (F.size(s) == F.size(F.array_distinct(s["now"]))))
-    exact = F.filter("at", lambda p: F.slice("item_toks", p + 1, F.col("n")) == F.slice("doc_toks", p + F.col("offset") + 1, F.col("n")))
+    same = lambda p: F.transform(F.slice("item_toks", p + 1, F.col("n")), _plain) == F.transform(F.slice("doc_toks", p + F.col("offset") + 1, F.col("n")), _plain)
+    exact = F.filter("at", same)
     both = both.select(*group, "item_windows", exact.alias("exact"), F.when(one_to_one, F.col("at")).otherwise(exact).alias("kept"))
     count = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c)))).cast("long")
     return both.groupBy(*group, "item_windows").agg(count("kept").alias("n_windows"), count("exact").alias("n_exact"))
