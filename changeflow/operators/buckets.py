@@ -1,25 +1,26 @@
 """Keyed tables stored by key bucket, rewritten only where a batch lands.
 
-Layout: parquet partitioned by ``_bucket = pmod(xxhash64(key...), B)``. A
-mutation batch is tagged with the same bucket function; only the buckets it
-touches (at most B values, collected) are read back (partition pruning), merged
-with the batch, and written with dynamic partition overwrite, so a small
-batch against a huge table costs in proportion to the buckets it hits, not to
-the table.
-
-The merged result is checkpointed (reliable, in the shared checkpoint folder)
-before it is written: the write then no longer reads the folders it replaces.
-Each key lives in exactly one bucket, so a reader sees every key either
-before or after the batch.
+Layout: ``<path>/_run=<run>/_bucket=<b>`` folders with
+``_bucket = pmod(xxhash64(key...), B)``, and numbered manifests that name the
+run holding each bucket. A mutation batch is tagged with the same bucket
+function; only the buckets it touches (at most B values, collected) are read,
+merged with the batch and written under a new run. The new manifest is written
+aside and renamed into place as the last step: readers see the whole table
+before the batch or after it, and a bucket whose rows are all deleted is simply
+not in the manifest any more. Folders of earlier runs stay until removed.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from changeflow.operators.mutate import apply_changes, upsert
-from changeflow.session import checkpoint_root
+from changeflow.sinks.tables import read_text, write_text
 
 BUCKET = "_bucket"
 
@@ -49,6 +50,42 @@ def _spread(df: DataFrame, key: list[str], groups: int, writers: int) -> DataFra
     return df.repartition(max(1, groups * writers), F.col(BUCKET), sub)
 
 
+def _folder(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    fs, p = _folder(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def _manifest(spark: SparkSession, path: str) -> tuple[int, dict]:
+    """Number and content of the newest manifest: the run of each bucket, and the schema."""
+    numbers = [int(n[:-5]) for n in _names(spark, f"{path}/_manifests") if n.endswith(".json") and n[:-5].isdigit()]
+    if not numbers:
+        raise FileNotFoundError(f"no bucketed table at {path}")
+    return max(numbers), json.loads(read_text(spark, f"{path}/_manifests/{max(numbers)}.json"))
+
+
+def _publish(spark: SparkSession, path: str, number: int, runs: dict[str, str], schema: T.StructType) -> None:
+    aside = f"{path}/_manifests/.{uuid.uuid4().hex}"
+    write_text(spark, aside, json.dumps({"runs": runs, "schema": schema.jsonValue()}))
+    fs, src = _folder(spark, aside)
+    _, dst = _folder(spark, f"{path}/_manifests/{number}.json")
+    if not fs.rename(src, dst):
+        raise RuntimeError(f"manifest {number} of {path} was published by another writer")
+
+
+def _write_run(df: DataFrame, path: str, key: list[str], buckets: int, groups: int, writers: int) -> dict[str, str]:
+    """Write ``df`` under a new run; the buckets that have rows, with the run's name."""
+    run = f"run{uuid.uuid4().hex}"
+    tagged = df.withColumn(BUCKET, bucket_of(key, buckets))
+    _spread(tagged, key, groups, writers).write.partitionBy(BUCKET).parquet(f"{path}/_run={run}")
+    found = _names(df.sparkSession, f"{path}/_run={run}")
+    return {n.split("=", 1)[1]: run for n in found if n.startswith(f"{BUCKET}=")}
+
+
 def write_buckets(df: DataFrame, path: str, key: list[str], buckets: int,
                   writers_per_bucket: int | None = None) -> None:
     """Create (or replace) a keyed table in bucket layout.
@@ -56,15 +93,22 @@ def write_buckets(df: DataFrame, path: str, key: list[str], buckets: int,
     Choose ``buckets`` so one bucket is a few GiB: a batch then rewrites only
     the few buckets its keys fall in.
     """
-    tagged = df.withColumn(BUCKET, bucket_of(key, buckets))
-    writers = _writers(df.sparkSession, buckets, writers_per_bucket)
-    (_spread(tagged, key, buckets, writers)
-     .write.mode("overwrite").partitionBy(BUCKET).parquet(path))
+    spark = df.sparkSession
+    runs = _write_run(df, path, key, buckets, buckets, _writers(spark, buckets, writers_per_bucket))
+    number = _manifest(spark, path)[0] + 1 if _names(spark, f"{path}/_manifests") else 0
+    _publish(spark, path, number, runs, df.schema)
 
 
 def read_buckets(spark: SparkSession, path: str, only: list[int] | None = None) -> DataFrame:
-    df = spark.read.parquet(path)
-    return df.filter(F.col(BUCKET).isin(only)) if only is not None else df
+    """The table's rows (with ``_bucket``), or those of some buckets; other buckets are not listed or read."""
+    _, manifest = _manifest(spark, path)
+    schema = T.StructType.fromJson(manifest["schema"])
+    runs = {b: run for b, run in manifest["runs"].items() if only is None or int(b) in only}
+    if not runs:
+        return spark.createDataFrame([], schema).withColumn(BUCKET, F.lit(0))
+    paths = [f"{path}/_run={run}/{BUCKET}={b}" for b, run in runs.items()]
+    df = spark.read.schema(T.StructType([*schema.fields, T.StructField(BUCKET, T.IntegerType())])).option("basePath", path).parquet(*paths)
+    return df.drop("_run")
 
 
 def _touched(batch: DataFrame) -> list[int]:
@@ -72,17 +116,11 @@ def _touched(batch: DataFrame) -> list[int]:
     return sorted(r[0] for r in batch.select(BUCKET).distinct().collect())
 
 
-def _replace(spark: SparkSession, merged: DataFrame, path: str, key: list[str], buckets: int,
-             touched: int) -> None:
-    checkpoint_root(spark)
-    settled = merged.checkpoint(eager=True)
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        writers = _writers(spark, buckets, None)
-        _spread(settled, key, touched, writers).write.mode("overwrite").partitionBy(BUCKET).parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+def _replace(spark: SparkSession, merged: DataFrame, path: str, key: list[str], buckets: int, touched: list[int]) -> None:
+    number, manifest = _manifest(spark, path)
+    new = _write_run(merged, path, key, buckets, len(touched), _writers(spark, buckets, None))
+    kept = {b: run for b, run in manifest["runs"].items() if int(b) not in set(touched)}
+    _publish(spark, path, number + 1, kept | new, merged.schema)
 
 
 def upsert_buckets(spark: SparkSession, path: str, src: DataFrame, key: list[str], set_cols: list[str],
@@ -95,7 +133,7 @@ def upsert_buckets(spark: SparkSession, path: str, src: DataFrame, key: list[str
         return []
     target = read_buckets(spark, path, touched).drop(BUCKET)
     merged = upsert(target, batch.drop(BUCKET), key, set_cols, defaults=defaults, touch=touch)
-    _replace(spark, merged.withColumn(BUCKET, bucket_of(key, buckets)), path, key, buckets, len(touched))
+    _replace(spark, merged, path, key, buckets, touched)
     return touched
 
 
@@ -107,5 +145,5 @@ def apply_buckets(spark: SparkSession, path: str, events: DataFrame, key: list[s
         return []
     target = read_buckets(spark, path, touched).drop(BUCKET)
     merged = apply_changes(target, ev.drop(BUCKET), key, keep_markers="_deleted" in target.columns)
-    _replace(spark, merged.withColumn(BUCKET, bucket_of(key, buckets)), path, key, buckets, len(touched))
+    _replace(spark, merged, path, key, buckets, touched)
     return touched

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from changeflow.functions.expressions import changed
+from changeflow.session import broadcast_if_bounded
 
 
 def _row(df: DataFrame, cols: list[str]) -> Column:
@@ -96,25 +98,50 @@ def handoff(snapshot_events: DataFrame, log: DataFrame, snapshot_seq: int) -> Da
     return snapshot_events.unionByName(log.filter(F.col("seq") > F.lit(snapshot_seq)))
 
 
+def _tie_hash(struct_col: Column, dt: T.DataType) -> Column:
+    """A hash of an event's content; types without one (maps) go through JSON."""
+    return F.xxhash64(F.to_json(struct_col)) if "map<" in dt.simpleString() else F.xxhash64(struct_col)
+
+
+def _ranked(events: DataFrame) -> DataFrame:
+    """Events with ``_at`` = (seq, content hash): repeated deliveries tie, different content does not."""
+    content = F.struct("op", "before", "after")
+    kind = events.select(content.alias("c")).schema["c"].dataType
+    h = _tie_hash(content, kind)
+    return events.withColumn("_at", F.struct(F.col("seq").alias("seq"), h.alias("h"))).withColumn(
+        "_ta", F.struct(F.col("seq").alias("seq"), F.bitwise_not(h).alias("h")))
+
+
+def _one(value: Column, hi: Column, lo: Column) -> Column:
+    """``value``, or an error when the events at one position differ (``hi``/``lo``: largest hash and largest inverted hash)."""
+    return F.when(hi == F.bitwise_not(lo), value).otherwise(F.raise_error(F.lit("change log has different events with equal seq for one key")))
+
+
 def net_changes(events: DataFrame, drop_noop: bool = False) -> DataFrame:
-    """CAP-4: reduce a log to at most one event per key.
+    """CAP-4: reduce a closed interval of a log to at most one event per key.
 
     First and last op per key, ordered by ``seq``:
     (c, not d) -> c; (not c, not d) -> u; (not c, d) -> d; (c, d) -> none.
-    ``r`` events are the starting rows and not part of the interval.
+    ``r`` events are the starting rows and not part of the interval. Deliveries
+    of one event repeated at one ``seq`` count once; different events at the
+    first or last ``seq`` of a key cannot be ordered and fail the job.
 
     ``min_by``/``max_by`` aggregate partially before the shuffle, so a hot key
     arrives at its reducer as one row per map task, never as its raw events.
     With ``drop_noop`` a ``u`` whose first ``before`` equals its last ``after``
     (changed and changed back) is removed as well.
     """
-    ev = events.filter(F.col("op") != F.lit("r"))
+    ev = _ranked(events.filter(F.col("op") != F.lit("r")))
     agg = ev.groupBy("table", "key").agg(
-        F.min_by(F.struct("op", "before"), "seq").alias("_first"),
-        F.max_by(F.struct("op", "after", "commit_ts"), "seq").alias("_last"),
+        F.min_by(F.struct("op", "before"), F.col("_at")).alias("_first"),
+        F.max_by(F.struct("op", "after", "commit_ts"), F.col("_at")).alias("_last"),
         F.max("seq").alias("seq"),
+        F.max("_at").alias("_hi"), F.max("_ta").alias("_lo"), F.min("_at").alias("_hi0"), F.min("_ta").alias("_lo0"),
     )
-    first_op, last_op = F.col("_first.op"), F.col("_last.op")
+    first_op = _one(F.col("_first.op"), F.col("_hi0.h"), F.col("_lo0.h"))
+    last_op = _one(F.col("_last.op"), F.col("_hi.h"), F.col("_lo.h"))
+    agg = agg.withColumn("_fo", first_op).withColumn("_lo_op", last_op)
+    first_op, last_op = F.col("_fo"), F.col("_lo_op")
     op = (
         F.when((first_op == "c") & (last_op != "d"), F.lit("c"))
         .when((first_op != "c") & (last_op != "d"), F.lit("u"))
@@ -134,6 +161,27 @@ def net_changes(events: DataFrame, drop_noop: bool = False) -> DataFrame:
     return out
 
 
+def last_events(events: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The last event of each (table, key), unchanged: what a replay has to apply.
+
+    With ``by`` (fields of the key, events of one table) the result is grouped by
+    these as flat columns instead.
+
+    Unlike ``net_changes`` a key created and deleted again keeps its ``d`` (the
+    target may already hold the row, and late events need the marker), and
+    snapshot rows (``r``) stay. Ties as in ``net_changes``.
+    """
+    last = F.struct("op", "before", "after", "commit_ts")
+    ranked = _ranked(events)
+    if by:
+        ranked = ranked.select(*[F.col(f"key.{k}").alias(k) for k in by], *[c for c in ranked.columns if c not in ("table", "key")])
+    names = by or ["table", "key"]
+    agg = ranked.groupBy(*names).agg(
+        F.max_by(last, F.col("_at")).alias("_last"), F.max("seq").alias("seq"), F.max("_at").alias("_hi"), F.max("_ta").alias("_lo"))
+    return agg.select(*names, _one(F.col("_last.op"), F.col("_hi.h"), F.col("_lo.h")).alias("op"), F.col("_last.before").alias("before"),
+                      F.col("_last.after").alias("after"), F.col("_last.commit_ts").alias("commit_ts"), "seq")
+
+
 def require_ordered(events: DataFrame) -> None:
     """Reject a log whose ``seq`` is not unique per (table, key).
 
@@ -162,19 +210,10 @@ def capture_candidates(tables: DataFrame, schemas: DataFrame, indexes: DataFrame
     )
 
 
-# A capture list names tables; up to this many names are inlined into the plan.
-MAX_INLINE_NAMES = 10_000
-
-
 def capture_list_filter(events: DataFrame, capture_list: DataFrame, column: str = "table") -> DataFrame:
-    """CAP-10: keep events of the tables on the capture list.
+    """CAP-10: keep events of the tables on the capture list (a semi join).
 
-    A capture list is a set of table names. Up to ``MAX_INLINE_NAMES`` of them
-    are read once and inlined as an ``isin`` filter: Catalyst then pushes it
-    into the scans (and drops union branches of tables not on the list), with
-    no join at all. A larger list is applied as a shuffle semi join.
+    The list is a table, so it can be stored and replaced; it is broadcast when
+    its estimated size is bounded.
     """
-    names = [r[0] for r in capture_list.select(column).distinct().limit(MAX_INLINE_NAMES + 1).collect()]
-    if len(names) <= MAX_INLINE_NAMES:
-        return events.filter(F.col(column).isin(names))
-    return events.join(capture_list.select(column).distinct(), column, "left_semi")
+    return events.join(broadcast_if_bounded(capture_list.select(column).distinct()), column, "left_semi")

@@ -25,11 +25,11 @@ def unique(df: DataFrame, keys: list[str]) -> DataFrame:
 def foreign_key(child: DataFrame, parent: DataFrame, on: list[tuple[str, str]]) -> DataFrame:
     """CHK-3: child rows whose non-NULL reference has no parent (orphans).
 
-    A NULL reference passes (a nullable FK). The parent side is reduced to its
-    distinct keys before the anti join.
+    A NULL reference passes (a nullable FK). The referenced columns are a key of
+    the parent, so they are joined as they are.
     """
     fks = [fk for fk, _ in on]
-    refs = parent.select(*[F.col(pk).alias(fk) for fk, pk in on]).distinct()
+    refs = parent.select(*[F.col(pk).alias(fk) for fk, pk in on])
     has_ref = reduce(lambda a, b: a & b, [F.col(fk).isNotNull() for fk in fks])
     return child.filter(has_ref).join(refs, fks, "left_anti")
 
@@ -39,7 +39,7 @@ def foreign_keys(frames: dict, fks: list[tuple[str, str, str, str]]) -> DataFram
 
     Rows are (fk, child_row, ref): the constraint name ``child.column->parent``,
     the child's row as JSON text and the unresolved reference. Each constraint is
-    one anti join against the parent's distinct keys; the union keeps them apart.
+    one anti join against the parent's keys; the union keeps them apart.
     """
     parts = []
     for child, col, parent, pcol in fks:

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from changeflow.operators.capture import net_changes, require_ordered
+from changeflow.operators.capture import last_events, require_ordered
+from changeflow.session import settle
 
 
 def _present(side: str) -> Column:
@@ -32,6 +33,27 @@ def _c(side: str, col: str) -> Column:
     return F.col(f"{side}.{col}")
 
 
+def _unique_source(src: DataFrame, key: list[str]) -> DataFrame:
+    """``src`` with a check that no key occurs twice; two rows of one key fail the job.
+
+    The grouping is on the join key, so it shares the join's exchange.
+    """
+    rest = [c for c in src.columns if c not in key]
+    one = src.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*rest) if rest else F.lit(1)).alias("_row"))
+    fail = F.raise_error(F.concat(F.lit("duplicate source key: "), F.concat_ws(",", *[F.col(k).cast("string") for k in key])))
+    one = one.filter(F.when(F.col("_n") > 1, fail.cast("boolean")).otherwise(F.lit(True)))
+    return one.select(*[F.col(c) if c in key else F.col("_row").getField(c).alias(c) for c in src.columns])
+
+
+def _least_row(src: DataFrame, key: list[str]) -> DataFrame:
+    """One row per key: the least by its other columns in their order (nulls first)."""
+    rest = [c for c in src.columns if c not in key]
+    if not rest:
+        return src.select(*key).distinct()
+    one = src.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_row"))
+    return one.select(*[F.col(c) if c in key else F.col("_row").getField(c).alias(c) for c in src.columns])
+
+
 def _keyed_full_join(target: DataFrame, src: DataFrame, key: list[str]) -> DataFrame:
     t, s = _tag(target, "t"), _tag(src, "s")
     return t.join(s, [_c("t", k) == _c("s", k) for k in key], "full_outer")
@@ -53,8 +75,10 @@ def upsert(
       the old value;
     * key only in source: source values, and ``defaults`` (else NULL) for the
       columns the source does not carry.
-    Output has the target's columns plus any ``touch`` column it lacks.
+    Output has the target's columns plus any ``touch`` column it lacks. A source
+    with two rows of one key fails the job, as the statement would.
     """
+    src = _unique_source(src, key)
     defaults, touch = defaults or {}, touch or {}
     types = {f.name: f.dataType for f in target.schema.fields}
     out_cols = list(target.columns) + [c for c in touch if c not in target.columns]
@@ -119,8 +143,11 @@ def doc_upsert(
 
 
 def insert_if_absent(target: DataFrame, src: DataFrame, key: list[str]) -> DataFrame:
-    """MUT-4: add source rows whose key is new; an existing row wins untouched."""
-    new_rows = src.join(target.select(*key), key, "left_anti")
+    """MUT-4: add source rows whose key is new; an existing row wins untouched.
+
+    Of several source rows with one new key the least by its other columns is added.
+    """
+    new_rows = _least_row(src, key).join(target.select(*key), key, "left_anti")
     return target.unionByName(new_rows.select(*target.columns))
 
 
@@ -132,26 +159,27 @@ def find_or_create(target: DataFrame, src: DataFrame, match: list[str], id_col:
     resolved to (existing rows win and are not updated), and the target plus
     the created rows. New rows get SERIAL-style ids after the current maximum
     (``next_id``), in ``match`` order, one per distinct match value, so
-    repeated source rows share one id.
+    repeated source rows share one id; of those the least by its other columns
+    becomes the created row.
     """
     start = next_id(target, id_col) if start is None else start
     fresh = src.select(*match).distinct().join(target.select(*match), match, "left_anti")
     created_ids = assign_ids(fresh, start, match, id_col)
     ids = target.select(*match, id_col).unionByName(created_ids)
     resolved = src.join(ids, match, "left")
-    created = created_ids.join(src.dropDuplicates(match), match, "inner")
+    created = created_ids.join(_least_row(src, match), match, "inner")
     table = target.unionByName(created.select(*target.columns))
     return resolved, table
 
 
 def delete_keys(target: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:
     """MUT-5: remove the rows whose key is in ``keys`` (a left anti join)."""
-    return target.join(keys.select(*key).distinct(), key, "left_anti")
+    return target.join(keys.select(*key), key, "left_anti")
 
 
 def cascade_delete(child: DataFrame, deleted_parent_keys: DataFrame, fk: list[str], parent_key: list[str]) -> DataFrame:
     """MUT-6: ``ON DELETE CASCADE``: child rows of deleted parents go too."""
-    keys = deleted_parent_keys.select(*[F.col(p).alias(f) for p, f in zip(parent_key, fk)]).distinct()
+    keys = deleted_parent_keys.select(*[F.col(p).alias(f) for p, f in zip(parent_key, fk)])
     return child.join(keys, fk, "left_anti")
 
 
@@ -169,14 +197,10 @@ def assign_ids(df: DataFrame, start: int, order_by: list[str], id_col: str = "id
     """MUT-8: dense ids ``start, start+1, ...`` following the order of ``order_by``.
 
     No un-partitioned window over the rows: the frame is range-partitioned and
-    sorted within partitions, per-partition row counts (one row per partition)
-    are turned into offsets, and each row's id is its partition's offset plus
-    its position in the partition. The counts come from a second range
-    exchange that carries only the ``order_by`` columns (column pruning); its
-    bounds equal the main exchange's because range bounds are sampled
-    deterministically from the same input splits, so counts and positions
-    agree. ``order_by`` must be unique, which makes the ids deterministic on
-    retry.
+    sorted within partitions once, and written with each row's partition and
+    position. Row counts per partition, taken from that same written frame,
+    become offsets; an id is its partition's offset plus its position.
+    ``order_by`` must be unique, which makes the ids deterministic.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -184,18 +208,18 @@ def assign_ids(df: DataFrame, start: int, order_by: list[str], id_col: str = "id
         df.repartitionByRange(n, *order_by)
         .sortWithinPartitions(*order_by)
         .withColumn("_pid", F.spark_partition_id())
-        .withColumn("_mid", F.monotonically_increasing_id())
+        .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33))
     )
+    ranged = settle(ranged, "assign_ids")
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     offsets = counts.select(
         "_pid",
         (F.sum("_cnt").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))).alias("_off"),
     )
     # ``offsets`` has one row per partition: its size is bounded by ``n``.
-    pos = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
     return ranged.join(F.broadcast(offsets), "_pid", "inner").select(
         *df.columns,
-        (F.lit(start) + F.coalesce(F.col("_off"), F.lit(0)) + pos).cast("bigint").alias(id_col),
+        (F.lit(start) + F.coalesce(F.col("_off"), F.lit(0)) + F.col("_pos")).cast("bigint").alias(id_col),
     )
 
 
@@ -208,23 +232,29 @@ def apply_changes(
 ) -> DataFrame:
     """DER-1: replay a change log onto a table (batch form of the stream apply).
 
-    The log is first reduced by ``net_changes`` (partial aggregation, so hot
-    keys shrink before the shuffle), then joined once with the target:
-    ``c``/``u`` install the event's ``after`` row, ``d`` removes the key, keys
-    without events keep their row.
+    The log is first reduced to the last event of each key (partial
+    aggregation, so hot keys shrink before the shuffle), then joined once with
+    the target: ``r``/``c``/``u`` install the event's ``after`` row, ``d``
+    removes the key, keys without events keep their row. The events must be of
+    one table; they are grouped by the flat key columns, whose exchange the join
+    reuses.
 
     When the target carries ``_seq`` (position of the last applied event per
     key) an event applies only if its ``seq`` is newer, which makes a replayed
     batch a no-op. With ``keep_markers`` deleted keys stay as ``_deleted`` rows
-    so a late, older update cannot bring them back. ``strict`` first rejects a
-    log with equal ``seq`` values for one key (``require_ordered``).
+    so a late, older update cannot bring them back. Repeated deliveries of one
+    event are harmless; different events at a key's last ``seq`` fail the job.
+    ``strict`` first rejects a log with any equal ``seq`` of one key
+    (``require_ordered``).
     """
     if strict:
         require_ordered(events)
     cols = [c for c in target.columns if c not in ("_seq", "_deleted")]
     tracked = "_seq" in target.columns
-    net = net_changes(events).select(
-        *[F.col(f"key.{k}").alias(k) for k in key],
+    flat = events.select(F.struct(*[F.col(f"key.{k}").alias(k) for k in key]).alias("key"), F.lit(0).alias("table"), "op",
+                         F.col("after").alias("before"), "after", "commit_ts", "seq")
+    net = last_events(flat, by=key).select(
+        *key,
         F.col("op").alias("_op"),
         F.col("seq").alias("_ev_seq"),
         *[F.col(f"after.{c}").alias(f"_a_{c}") for c in cols if c not in key],

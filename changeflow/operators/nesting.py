@@ -7,13 +7,9 @@ sum of its lines, in decimal arithmetic.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from changeflow.session import checkpoint_root
-
-DEFAULT_MAX_ITEMS = 10_000
-
 
 def _cents(amount: Column) -> Column:
     """A 2-decimal amount as exact integer cents (a long)."""
@@ -23,46 +19,25 @@ def _cents(amount: Column) -> Column:
 def _from_cents(cents: Column, precision: int) -> Column:
     """Integer cents back to DECIMAL(precision, 2), exactly."""
     return (cents.cast(f"decimal({precision},0)") / F.lit(100)).cast(f"decimal({precision},2)")
-# Hot keys are at most rows / max_items; up to this many are broadcast.
-DEFAULT_MAX_HOT_KEYS = 100_000
 
 
 def nest(df: DataFrame, key: list[str], item_cols: list[str], items: str = "items",
-         max_items: int = DEFAULT_MAX_ITEMS, max_hot_keys: int = DEFAULT_MAX_HOT_KEYS) -> DataFrame:
+         max_items: int | None = None) -> DataFrame:
     """DER-2: one document per key holding its items as a sorted array.
 
-    No array grows without bound: a key with more than ``max_items`` lines is
-    split into ``ceil(count / max_items)`` documents by a hash of the item, and
-    the output carries ``chunk`` (0 for every ordinary key).
-
-    Plan: per-key counts (partial aggregate over the key column only) keep
-    just the hot keys; that small frame is checkpointed to the shared folder
-    and counted, and it is broadcast only when it has at most
-    ``max_hot_keys`` rows (else it is joined with a shuffle). The data itself
-    is shuffled once, on (key, chunk), so a hot key's lines spread over as
-    many reducers as it has chunks.
+    By default a key is one document whatever its size (``chunk`` 0), as the
+    documents of the collection are. A caller whose keys can outgrow one
+    document sets ``max_items``: every key's sorted items are then cut into
+    documents of at most that many, numbered by ``chunk``, equal items included.
+    One pass and one shuffle by key either way.
     """
-    checkpoint_root(df.sparkSession)
-    hot = (
-        df.groupBy(*[F.col(k).alias(f"_h_{k}") for k in key])
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > F.lit(max_items))
-        .select(*[f"_h_{k}" for k in key], F.ceil(F.col("_n") / F.lit(max_items)).cast("int").alias("_chunks"))
-        .checkpoint(eager=True)
-    )
-    n_hot = hot.count()
-    side = F.broadcast(hot) if n_hot <= max_hot_keys else hot
-    tagged = df.join(side, [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in key], "left")
     item = F.struct(*[F.col(c) for c in item_cols])
-    chunk = F.when(F.coalesce(F.col("_chunks"), F.lit(1)) <= 1, F.lit(0)).otherwise(
-        F.pmod(F.xxhash64(item), F.col("_chunks").cast("bigint")).cast("int")
-    )
-    keyed = tagged.select(*key, chunk.alias("chunk"), item.alias("_item"))
-    return (
-        keyed.repartition(*[F.col(k) for k in key], F.col("chunk"))
-        .groupBy(*key, "chunk")
-        .agg(F.sort_array(F.collect_list("_item")).alias(items))
-    )
+    if max_items is None:
+        docs = df.select(*key, item.alias("_item")).groupBy(*key).agg(F.sort_array(F.collect_list("_item")).alias(items))
+        return docs.select(*key, F.lit(0).alias("chunk"), items)
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("_item")) - 1
+    cut = df.select(*key, item.alias("_item")).withColumn("chunk", F.floor(place / max_items).cast("int"))
+    return cut.groupBy(*key, "chunk").agg(F.sort_array(F.collect_list("_item")).alias(items))
 
 
 def unnest(docs: DataFrame, key: list[str], items: str = "items") -> DataFrame:

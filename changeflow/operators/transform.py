@@ -130,16 +130,18 @@ def strict_lookup(df: DataFrame, dim: DataFrame, on: list[tuple[str, str]], take
                   what: str = "reference") -> DataFrame:
     """JN-6: left join that fails the job when a reference does not resolve.
 
-    ``raise_error`` runs inside the projection, so the failure surfaces in the
-    task that meets the first unresolved row; nothing is collected to check.
+    ``raise_error`` runs inside a filter that no projection can prune, so the
+    failure surfaces in the task that meets the first unresolved row, whatever
+    columns are read; nothing is collected to check.
     """
     probe = "_dim_present"
     d = dim.select(*[F.col(dk).alias(f"_dim_{dk}") for _, dk in on], *take, F.lit(True).alias(probe))
     cond = [F.col(fk) == F.col(f"_dim_{dk}") for fk, dk in on]
     j = df.join(d, cond, "left")
     fail = F.raise_error(F.concat(F.lit(f"unresolved {what}: "), F.concat_ws(",", *[F.col(fk).cast("string") for fk, _ in on])))
-    guarded = [F.when(F.col(probe).isNull(), fail).otherwise(F.col(t)).alias(t) for t in take]
-    return j.select(*df.columns, *guarded)
+    # The row number (always >= 0) keeps the optimizer from judging the filter on a NULL probe beforehand.
+    missing = F.col(probe).isNull() & (F.monotonically_increasing_id() >= 0)
+    return j.filter(F.when(missing, fail.cast("boolean")).otherwise(F.lit(True))).select(*df.columns, *take)
 
 
 def to_mixed(events: DataFrame) -> DataFrame:

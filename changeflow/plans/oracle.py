@@ -7,12 +7,6 @@ match the Spark outputs one for one.
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import types as T
-
-from changeflow.sinks.records import connect_schema
-
 # --------------------------------------------------------------------------- versions and log
 
 _VERSIONS = """
@@ -21,11 +15,11 @@ v1 AS (SELECT o_orderkey AS k, o_orderstatus AS status, CAST(o_totalprice AS DEC
 v2 AS (SELECT k, CASE WHEN k % 10 IN (1, 2) THEN 'X' ELSE status END AS status, total, order_date
        FROM v1 WHERE k % 10 <> 0
        UNION ALL
-       SELECT k + 100000000, status, total, order_date FROM v1 WHERE k % 10 = 3),
+       SELECT -k, status, total, order_date FROM v1 WHERE k % 10 = 3),
 v3 AS (SELECT k, CASE WHEN k % 10 = 1 THEN 'Y' ELSE status END AS status, total, order_date
        FROM v1 WHERE k % 10 <> 5
        UNION ALL
-       SELECT k + 100000000, 'Z', total, order_date FROM v1 WHERE k % 20 = 3)
+       SELECT -k, 'Z', total, order_date FROM v1 WHERE k % 20 = 3)
 """
 
 
@@ -150,11 +144,19 @@ FROM (SELECT p_partkey + 1 AS n FROM part)"""
 _VALUE_LOG = ("CAST(json_object('op', op, 'seq', CAST(seq AS VARCHAR), 'status', after_status, "
               "'total', CAST(after_total AS VARCHAR), 'order_date', CAST(after_order_date AS VARCHAR)) AS VARCHAR)")
 
-_PAYLOAD_SCHEMA = json.dumps(
-    connect_schema(T.StructType([T.StructField(c, T.StringType(), True)
-                                 for c in ("k", "status", "total", "order_date")]),
-                   name="public.orders.Value", optional=False),
-    separators=(",", ":"),
+# Written out by hand: the converter's schema of four nullable strings.
+_PAYLOAD_SCHEMA = (
+    '{"type":"struct","fields":[{"type":"string","optional":true,"field":"k"},{"type":"string","optional":true,"field":"status"},'
+    '{"type":"string","optional":true,"field":"total"},{"type":"string","optional":true,"field":"order_date"}],'
+    '"optional":false,"name":"public.orders.Value"}'
+)
+
+
+_TYPED_SCHEMA = (
+    '{"type":"struct","fields":[{"type":"int64","optional":true,"field":"k"},'
+    '{"type":"bytes","optional":true,"name":"org.apache.kafka.connect.data.Decimal","version":1,"parameters":{"scale":"2"},"field":"total"},'
+    '{"type":"int64","optional":true,"name":"org.apache.kafka.connect.data.Timestamp","version":1,"field":"at"}],'
+    '"optional":false,"name":"public.orders.Value"}'
 )
 
 
@@ -180,8 +182,7 @@ SELECT DISTINCT "table", 'removed' AS change FROM mixed WHERE "table" NOT IN (SE
     q["route_topics"] = _with(_MIXED) + (
         f"SELECT \"table\", key, 'ecomm-postgres.' || \"table\" AS topic FROM mixed WHERE \"table\" IN {_SCENARIO}")
 
-    q["absent_keys"] = ("SELECT p_partkey, p_name FROM part WHERE NOT EXISTS "
-                        "(SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity >= 45)")
+    q["absent_keys"] = "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"
     q["exists_flag"] = ("SELECT EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'F') AS has_f, "
                         "EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'Z') AS has_z")
     q["fk_lookup"] = ("SELECT o.o_orderkey, c.c_name, n.n_name FROM orders o "
@@ -227,7 +228,7 @@ FROM cat_tables t JOIN cat_schemas s ON t.schema_id = s.schema_id WHERE s.schema
                            "WHERE COALESCE(NULLIF(o_orderstatus, 'P'), '') = ''")
     q["fill_defaults"] = f"SELECT p_partkey, p_name, CAST(0 AS INTEGER) AS p_size, {_AS_OF} AS updated_at FROM part"
 
-    src = "src AS (SELECT k, status, total FROM v2 WHERE k % 10 IN (1, 2) OR k >= 100000000)"
+    src = "src AS (SELECT k, status, total FROM v2 WHERE k % 10 IN (1, 2) OR k < 0)"
     upsert_cols = f"""
 SELECT COALESCE(t.k, s.k) AS k,
        CASE WHEN t.k IS NOT NULL AND s.k IS NOT NULL THEN s.status WHEN t.k IS NOT NULL THEN t.status
@@ -244,15 +245,16 @@ SELECT p_partkey AS _id, CASE WHEN p_partkey % 10 = 1 THEN p_name || ' v2' ELSE
        CASE WHEN p_partkey % 10 = 1 THEN p_brand || '|' || p_type END AS tags, {_AS_OF} AS created_at
 FROM part
 UNION ALL
-SELECT p_partkey + 100000000, p_name || ' v2', NULL, NULL, p_brand || '|' || p_type, {_AS_OF_2}
+SELECT -p_partkey, p_name || ' v2', NULL, NULL, p_brand || '|' || p_type, {_AS_OF_2}
 FROM part WHERE p_partkey % 10 = 1"""
     q["insert_if_absent"] = W_V + ("SELECT * FROM v1 UNION ALL SELECT * FROM v2 "
                                    "WHERE NOT EXISTS (SELECT 1 FROM v1 WHERE v1.k = v2.k)")
     q["delete_keys"] = W_V + "SELECT * FROM v1 WHERE k % 10 <> 0"
     q["cascade_delete"] = ("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE NOT EXISTS "
                            "(SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderkey % 10 = 0)")
-    q["assign_ids"] = ("SELECT n_nationkey, n_name, CAST((SELECT COALESCE(MAX(n_nationkey + 1), 1) FROM nation) "
-                       "+ row_number() OVER (ORDER BY n_nationkey) AS BIGINT) AS id FROM nation")
+    q["assign_ids"] = ("SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, CAST((SELECT COALESCE(MAX(o_custkey), 1) FROM orders) "
+                       "+ row_number() OVER (ORDER BY o_orderkey) AS BIGINT) AS id FROM orders")
+    q["bucketed_delete"] = W_V + "SELECT * FROM v1 WHERE k % 10 = 5"
 
     q["find_or_create_brands"] = """
 WITH t AS (SELECT name, CAST(row_number() OVER (ORDER BY name) AS BIGINT) AS id
@@ -329,6 +331,19 @@ SELECT user_id, op, seq, CASE WHEN op <> 'd' THEN l_type END AS last_type FROM n
     q["kafka_records"] = W_LOG + (
         "SELECT 'ecomm-postgres.public.orders' AS topic, '{\"k\":' || CAST(k AS VARCHAR) || '}' AS key, "
         + _VALUE_LOG + " AS value FROM log")
+    q["kafka_tombstones"] = q["kafka_records"] + "\nUNION ALL SELECT 'ecomm-postgres.public.orders' AS topic, '{\"k\":' || k || '}' AS key, NULL AS value FROM log WHERE op = 'd'"
+    q["json_schema_typed"] = f"""
+WITH h0 AS (SELECT o_orderkey AS k, epoch_ms(o_orderdate) AS ms, to_hex(CAST(CAST(o_totalprice AS DECIMAL(12,2)) * 100 AS BIGINT)) AS h FROM orders),
+h1 AS (SELECT k, ms, CASE WHEN length(h) % 2 = 1 THEN '0' || h ELSE h END AS h FROM h0),
+h2 AS (SELECT k, ms, CASE WHEN substr(h, 1, 1) >= '8' THEN '00' || h ELSE h END AS h FROM h1)
+SELECT k, '{{"schema":{_TYPED_SCHEMA},"payload":{{"k":' || k || ',"total":"' || to_base64(from_hex(h)) || '","at":' || ms || '}}}}' AS value FROM h2"""
+    q["avro_names"] = 'SELECT o_orderkey AS order_key, o_custkey AS "_2nd_key" FROM orders'
+    q["unwrap_rewrite"] = W_LOG + (
+        "SELECT k, CASE WHEN op = 'd' THEN before_status ELSE after_status END AS status, CASE WHEN op = 'd' THEN before_total ELSE after_total END AS total, "
+        "CASE WHEN op = 'd' THEN before_order_date ELSE after_order_date END AS order_date, CASE WHEN op = 'd' THEN 'true' ELSE 'false' END AS is_deleted, op, seq FROM log")
+    q["unwrap_null"] = W_LOG + "SELECT k, after_status AS status, after_total AS total, after_order_date AS order_date, op, seq FROM log"
+    q["replay_snapshot_log"] = W_V + "SELECT k, status, total, order_date FROM v3"
+    q["chained_flow"] = W_LOG + "SELECT 'ecomm-postgres.public.orders' AS topic, '{\"k\":' || k || '}' AS key_json, op, seq FROM log"
     q["stream_feed"] = q["kafka_records"]
     q["json_schema_payload"] = W_V + (
         "SELECT CAST(k AS VARCHAR) AS k, '{\"schema\":" + _PAYLOAD_SCHEMA.replace("'", "''") + ",\"payload\":' || "

@@ -18,8 +18,8 @@ from changeflow.operators import seed
 from changeflow.plans import mixed, versions
 from changeflow.plans.versions import KEY, TABLE, change_log, flat_event, v1, v2_from
 from changeflow.schemas import ALL_TABLES, TABLES
-from changeflow.session import shared_dir
-from changeflow.sinks.records import json_with_schema, to_kafka_string
+from changeflow.session import settle, shared_dir
+from changeflow.sinks.records import avro_safe_names, json_with_schema, to_kafka_string
 from changeflow.sources import catalog
 from changeflow.sources.tables import scan_table
 from changeflow.streaming import changes as streams
@@ -51,10 +51,11 @@ def orders_in_range(spark, d):
 
 
 def nested_field_filter(spark, d):
+    """FLT-7 over stored nested documents: the filter is on a field of the struct column."""
     o, c = _t(spark, d, "orders"), _t(spark, d, "customer")
-    docs = o.join(c, o.o_custkey == c.c_custkey, "left").select(
+    docs = settle(o.join(c, o.o_custkey == c.c_custkey, "left").select(
         "o_orderkey", F.struct(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name")).alias("user")
-    )
+    ), "order_documents")
     return docs.filter(F.col("user.user_id") == 7).select(
         "o_orderkey", F.col("user.user_id").alias("user_id"), F.col("user.name").alias("user_name")
     )
@@ -95,9 +96,9 @@ def route_topics(spark, d):
 
 
 def absent_keys(spark, d):
-    p, li = _t(spark, d, "part"), _t(spark, d, "lineitem")
-    big = li.filter(F.col("l_quantity") >= 45).select(F.col("l_partkey").alias("p_partkey"))
-    return op.absent_in(p.select("p_partkey", "p_name"), big, ["p_partkey"])
+    """JN-3: customers without an order."""
+    c, o = _t(spark, d, "customer"), _t(spark, d, "orders")
+    return op.absent_in(c.select("c_custkey", "c_name"), o.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
 def exists_flag(spark, d):
@@ -207,7 +208,7 @@ def fill_defaults(spark, d):
 
 
 def _changed_and_new(b):
-    return b.filter((F.col("k") % 10).isin(1, 2) | (F.col("k") >= versions.NEW_KEY_OFFSET)).select("k", "status", "total")
+    return b.filter((F.col("k") % 10).isin(1, 2) | (F.col("k") < 0)).select("k", "status", "total")
 
 
 def upsert_partial(spark, d):
@@ -228,7 +229,7 @@ def doc_upsert(spark, d):
     hit = p.filter(F.col("p_partkey") % 10 == 1)
     upd = hit.select(F.col("p_partkey").alias("_id"), F.concat("p_name", F.lit(" v2")).alias("name"),
                      F.array("p_brand", "p_type").alias("tags"))
-    new = upd.withColumn("_id", F.col("_id") + F.lit(versions.NEW_KEY_OFFSET))
+    new = upd.withColumn("_id", -F.col("_id"))
     out = op.doc_upsert(docs, upd.unionByName(new), ["_id"], ["name", "tags"], {"created_at": ts_ntz(AS_OF_2)})
     return out.select("_id", "name", "brand", "size", F.array_join("tags", "|").alias("tags"), "created_at")
 
@@ -272,10 +273,21 @@ def bucketed_upsert(spark, d):
 
 
 def assign_ids(spark, d):
-    n = _t(spark, d, "nation")
-    existing = n.select((F.col("n_nationkey") + 1).alias("id"))
-    start = op.next_id(existing, "id")
-    return op.assign_ids(n.select("n_nationkey", "n_name"), start, ["n_nationkey"], "id")
+    """MUT-8 over every order, payload columns kept."""
+    o = _t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    return op.assign_ids(o, op.next_id(o.select(F.col("o_custkey").alias("id")), "id"), ["o_orderkey"], "id")
+
+
+def bucketed_delete(spark, d):
+    """DER-1 on the bucket layout: a log that deletes the keys = 0 mod 10, then all others of the buckets it touches last."""
+    a = v1(spark, d)
+    path = shared_dir(spark, "bucketed_delete")
+    op.write_buckets(a, path, ["k"], 16)
+    log = op.capture(a, a.filter(F.col("k") % 10 != 0), TABLE, KEY, 1, versions.TS_1)
+    op.apply_buckets(spark, path, log, KEY, 16)
+    rest = op.read_buckets(spark, path).filter(F.col("k") % 10 != 5).drop("_bucket")
+    op.apply_buckets(spark, path, op.capture(rest, rest.filter(F.lit(False)), TABLE, KEY, 2, versions.TS_2), KEY, 16)
+    return op.read_buckets(spark, path).select(*a.columns)
 
 
 # --------------------------------------------------------------------------- seeds
@@ -411,6 +423,51 @@ def kafka_records(spark, d):
     return to_kafka_string(ev, F.col("topic"), F.col("key"), _value_struct())
 
 
+def kafka_tombstones(spark, d):
+    """CAP-6 with SNK-4: a delete's record is followed by one with the key and no value."""
+    ev = op.route(op.tombstones(change_log(spark, d), on=True), mixed.TOPIC_PREFIX)
+    return to_kafka_string(ev, F.col("topic"), F.col("key"), _value_struct())
+
+
+def json_schema_typed(spark, d):
+    """SNK-6 with typed values: decimals, timestamps and integers in the converter's encodings."""
+    o = _t(spark, d, "orders").select(
+        F.col("o_orderkey").alias("k"), F.col("o_totalprice").cast("decimal(12,2)").alias("total"),
+        F.col("o_orderdate").cast("timestamp_ntz").alias("at"))
+    return o.select("k", json_with_schema(o, ["k", "total", "at"], "public.orders.Value").alias("value"))
+
+
+def avro_names(spark, d):
+    """SNK-7 on every order."""
+    o = _t(spark, d, "orders").select(F.col("o_orderkey").alias("order-key"), F.col("o_custkey").alias("2nd key"))
+    return avro_safe_names(o)
+
+
+def unwrap_rewrite(spark, d):
+    """CAP-5, ``rewrite``: deletes keep their last row and are marked."""
+    return op.unwrap(change_log(spark, d), deletes="rewrite").withColumnRenamed("__deleted", "is_deleted")
+
+
+def unwrap_null(spark, d):
+    """CAP-5, ``null``: deletes keep their key alone."""
+    return op.unwrap(change_log(spark, d), deletes="null")
+
+
+def replay_snapshot_log(spark, d):
+    """DER-1 from nothing: a snapshot of V1 and the log, each delivered twice, into an empty table give V3."""
+    a = v1(spark, d)
+    log = op.snapshot(a, TABLE, KEY, 0, versions.TS_1).unionByName(change_log(spark, d))
+    empty = a.filter(F.lit(False)).withColumn("_seq", F.lit(None).cast("bigint"))
+    once = op.apply_changes(empty, log.unionByName(log), KEY, keep_markers=True)
+    return op.apply_changes(once, log, KEY).select(*a.columns)
+
+
+def chained_flow(spark, d):
+    """FLT-9: include list, then routing, then keys, as one transform list."""
+    steps = [lambda x: op.include_tables(x, [TABLE]), lambda x: op.route(x, mixed.TOPIC_PREFIX), op.event_key]
+    return op.chain(change_log(spark, d), steps).select("topic", "key_json", "op", "seq")
+
+
 def json_schema_payload(spark, d):
     a = v1(spark, d).select(
         F.col("k").cast("string").alias("k"), "status", F.col("total").cast("string").alias("total"),
@@ -508,12 +565,13 @@ QUERIES: dict[str, Query] = {
         catalog_capture_candidates, catalog_tracked, catalog_capture_status,
         check_not_null, check_unique, check_foreign_key, check_length, check_required, fill_defaults,
         upsert_partial, upsert_touch, doc_upsert, insert_if_absent, delete_keys, cascade_delete, assign_ids,
-        find_or_create_brands, bucketed_upsert,
+        find_or_create_brands, bucketed_upsert, bucketed_delete,
         seed_categories, seed_products, seed_users, seed_orders, seed_order_items, seed_payments,
         seed_inventory_logs,
         snapshot_events, capture_diff, snapshot_then_log, net_changes, net_changes_events, signal_snapshot,
         route_mixed, unwrap_after, tombstones_on,
-        tombstones_off, event_keys, kafka_records, json_schema_payload, apply_changes, change_feed,
+        tombstones_off, event_keys, kafka_records, kafka_tombstones, json_schema_payload, json_schema_typed, avro_names,
+        unwrap_rewrite, unwrap_null, apply_changes, replay_snapshot_log, chained_flow, change_feed,
         nest_items, unnest_items, reconcile_totals, parse_props,
         stream_changes, stream_dedup, stream_feed,
     ]

@@ -5,9 +5,9 @@ from the driver's ``orders`` table by fixed key rules, over every row:
 
 * V1: orders as stored, row = (k, status, total DECIMAL(12,2), order_date);
 * V2: keys = 0 mod 10 deleted, status 'X' for keys = 1, 2 mod 10, and a copy
-  of each key = 3 mod 10 inserted as key + 100000000;
+  of each key = 3 mod 10 inserted under the negated key (stored keys are positive);
 * V3 (from V1): keys = 5 mod 10 deleted, status 'Y' for keys = 1 mod 10, and
-  key + 100000000 with status 'Z' for keys = 3 mod 20.
+  the negated key with status 'Z' for keys = 3 mod 20.
 
 LOG = capture(V1, V2) at seq 1 followed by capture(V2, V3) at seq 2.
 """
@@ -22,7 +22,6 @@ from changeflow.sources.tables import scan_table
 
 TABLE = "public.orders"
 KEY = ["k"]
-NEW_KEY_OFFSET = 100_000_000
 TS_1 = "2026-01-01 00:00:00"
 TS_2 = "2026-01-02 00:00:00"
 
@@ -42,7 +41,7 @@ def v2_from(base: DataFrame) -> DataFrame:
     kept = base.filter(m != 0).withColumn(
         "status", F.when(m.isin(1, 2), F.lit("X")).otherwise(F.col("status"))
     )
-    added = base.filter(m == 3).withColumn("k", F.col("k") + F.lit(NEW_KEY_OFFSET))
+    added = base.filter(m == 3).withColumn("k", -F.col("k"))
     return kept.unionByName(added)
 
 
@@ -50,7 +49,7 @@ def v3_from(base: DataFrame) -> DataFrame:
     m = F.col("k") % 10
     kept = base.filter(m != 5).withColumn("status", F.when(m == 1, F.lit("Y")).otherwise(F.col("status")))
     added = base.filter(F.col("k") % 20 == 3).select(
-        (F.col("k") + F.lit(NEW_KEY_OFFSET)).alias("k"), F.lit("Z").alias("status"), "total", "order_date"
+        (-F.col("k")).alias("k"), F.lit("Z").alias("status"), "total", "order_date"
     )
     return kept.unionByName(added)
 

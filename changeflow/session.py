@@ -65,8 +65,10 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The cluster's shared folder from ``spark.checkpoint.dir``.
 
     On a cluster this setting names shared storage and is always used as is.
-    Only when it is unset (local tests, the driver's smoke session) a folder of
-    our own is created and registered, so later calls agree on one place.
+    Only when it is unset on a local master (tests, smoke sessions) a folder of
+    our own is created and registered, so later calls agree on one place; any
+    other master without the setting is an error, because executors would not
+    see a folder of the driver's.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
@@ -75,6 +77,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if jdir.isDefined():
         return jdir.get().rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     local = tempfile.mkdtemp(prefix="changeflow-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
@@ -95,6 +100,13 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` below the shared folder and read it back: computed once, safe to re-read."""
+    path = f"{checkpoint_root(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of the optimized plan (an upper bound for scans)."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())

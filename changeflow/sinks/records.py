@@ -15,13 +15,18 @@ _JSON_OPTS = {"ignoreNullFields": "false"}
 def to_kafka_string(events: DataFrame, topic: Column, key: Column, value: Column) -> DataFrame:
     """SNK-4: ``StringConverter`` records: (topic, key, value) as JSON text.
 
+    Rows flagged ``is_tombstone`` (``operators.tombstones``) get a NULL value.
+
     Writing is ``records.writeStream.format("kafka")`` when the Kafka jar is on
     the classpath, or any file sink offline; the frame is the same.
     """
+    text = F.to_json(value, _JSON_OPTS)
+    if "is_tombstone" in events.columns:
+        text = F.when(~F.col("is_tombstone"), text)
     return events.select(
         topic.alias("topic"),
         F.to_json(key, _JSON_OPTS).alias("key"),
-        F.to_json(value, _JSON_OPTS).alias("value"),
+        text.alias("value"),
     )
 
 
@@ -63,15 +68,42 @@ def connect_schema(dt: T.DataType, name: str | None = None, optional: bool = Tru
     raise TypeError(f"no converter type for {dt}")
 
 
+def _connect_value(c: Column, dt: T.DataType) -> Column:
+    """A value as the JSON converter writes its schema's type: decimals as base64 of the
+    unscaled big-endian integer, timestamps as epoch milliseconds, dates as epoch days."""
+    if isinstance(dt, T.DecimalType):
+        if dt.precision > 18:
+            raise TypeError("decimals of more than 18 digits have no encoding here")
+        unscaled = (c * F.lit(10**dt.scale).cast("decimal(19,0)")).cast("bigint")
+        digits = F.lpad(F.hex(unscaled), 16, "0")
+        # The shortest two's-complement form: leading 00 (FF) bytes go while the sign bit stays.
+        short = F.when(unscaled < 0, F.regexp_replace(digits, "^(?:FF)+(?=[89A-F][0-9A-F])", "")).otherwise(F.regexp_replace(digits, "^(?:00)+(?=[0-7][0-9A-F])", ""))
+        return F.base64(F.unhex(short))
+    if isinstance(dt, T.TimestampNTZType):
+        return F.unix_millis(c.cast("timestamp"))
+    if isinstance(dt, T.TimestampType):
+        return F.unix_millis(c)
+    if isinstance(dt, T.DateType):
+        return F.unix_date(c)
+    if isinstance(dt, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[_connect_value(c.getField(f.name), f.dataType).alias(f.name) for f in dt.fields]))
+    if isinstance(dt, T.ArrayType):
+        return F.transform(c, lambda x: _connect_value(x, dt.elementType))
+    if isinstance(dt, T.MapType):
+        return F.transform_values(c, lambda k, x: _connect_value(x, dt.valueType))
+    return c
+
+
 def json_with_schema(df: DataFrame, payload: list[str], name: str) -> Column:
     """SNK-6: value text ``{"schema": ..., "payload": ...}``.
 
     The schema part is derived once on the driver from the frame's type and
-    enters the plan as a literal; only the payload is serialized per row.
+    enters the plan as a literal; only the payload is serialized per row, each
+    value in the form that its schema entry names.
     """
     sub = df.select(*payload).schema
     schema_json = json.dumps(connect_schema(sub, name=name, optional=False), separators=(",", ":"))
-    body = F.to_json(F.struct(*[F.col(c) for c in payload]), _JSON_OPTS)
+    body = F.to_json(F.struct(*[_connect_value(F.col(f.name), f.dataType).alias(f.name) for f in sub.fields]), _JSON_OPTS)
     return F.concat(F.lit('{"schema":' + schema_json + ',"payload":'), body, F.lit("}"))
 
 
@@ -84,6 +116,27 @@ def avro_name(name: str) -> str:
     return "_" + out if not out or out[0].isdigit() else out
 
 
+def _avro_type(dt: T.DataType) -> T.DataType:
+    if isinstance(dt, T.StructType):
+        return T.StructType([T.StructField(n, _avro_type(f.dataType), f.nullable) for n, f in zip(_avro_names(dt.fieldNames()), dt.fields)])
+    if isinstance(dt, T.ArrayType):
+        return T.ArrayType(_avro_type(dt.elementType), dt.containsNull)
+    if isinstance(dt, T.MapType):
+        return T.MapType(dt.keyType, _avro_type(dt.valueType), dt.valueContainsNull)
+    return dt
+
+
+def _avro_names(names: list[str]) -> list[str]:
+    out = [avro_name(n) for n in names]
+    if len({n.lower() for n in out}) < len(out):
+        raise ValueError(f"names collide as Avro names: {names}")
+    return out
+
+
 def avro_safe_names(df: DataFrame) -> DataFrame:
-    """SNK-7: rename top-level columns to Avro-valid names (a projection)."""
-    return df.select(*[F.col(f"`{c}`").alias(avro_name(c)) for c in df.columns])
+    """SNK-7: rename columns and nested fields to Avro-valid names (a projection).
+
+    Two names that become one are an error.
+    """
+    cols = [F.col(f"`{f.name}`").cast(_avro_type(f.dataType)).alias(n) for n, f in zip(_avro_names(df.columns), df.schema.fields)]
+    return df.select(*cols)

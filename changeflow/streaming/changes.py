@@ -3,7 +3,7 @@
 * ``read_changes`` / ``table_stream``: a file-backed change stream (SRC-5).
   The same frames come from ``format("kafka")`` when that jar is present.
 * ``apply_stream``: DER-1 in ``foreachBatch``, merge-on-read: each
-  micro-batch's net changes are written under its run and batch id (a replayed batch
+  micro-batch's last events are written under its run and batch id (a replayed batch
   overwrites its own folder, so replays are harmless); readers fold base +
   log with ``apply_changes``; ``compact`` publishes a new base.
 * ``dedup_stream``: DER-4, at-least-once input made unique per event id.
@@ -20,21 +20,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from changeflow.operators.capture import net_changes
+from changeflow.operators.capture import last_events
 from changeflow.operators.mutate import apply_changes
 from changeflow.schemas import conform, evolve
 from changeflow.sinks.tables import current_version, load_all, read_current, read_text, write_text
+from changeflow.sources.tables import table_path
 
 FLUSH_INTERVAL = "10 seconds"  # CAP-12: offset flush interval of the source connector
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, schema: T.StructType,
                  max_files_per_trigger: int | None = None) -> DataFrame:
-    """One driver table as a file stream (new files in the folder are new data)."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    """One stored table as a file stream: a single file, or a folder of part files (new files are new data).
+
+    ``max_files_per_trigger`` limits a micro-batch, also of ``availableNow`` runs.
+    """
+    reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return reader.parquet(sf_dir.rstrip("/"))
+    path = spark._jvm.org.apache.hadoop.fs.Path(table_path(sf_dir, name))
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return reader.parquet(path.toString())
+    return reader.option("pathGlobFilter", path.getName()).parquet(sf_dir.rstrip("/"))
 
 
 def read_changes(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
@@ -61,12 +68,17 @@ def events_as_changes(events: DataFrame, table: str = "public.inventory_logs") -
     )
 
 
-def dedup_stream(stream: DataFrame, ids: list[str], ts_col: str, delay: str = "1 hour") -> DataFrame:
-    """DER-4: drop repeated deliveries of one event within the watermark delay.
+def dedup_stream(stream: DataFrame, ids: list[str], ts_col: str, delay: str | None = None) -> DataFrame:
+    """DER-4: drop repeated deliveries of one event.
 
-    ``withWatermark`` needs a TIMESTAMP (with zone) column, so an NTZ event time
-    is cast first. State holds each id until the watermark passes it.
+    Without ``delay`` every id is kept in the state store (RocksDB, on disk), so
+    each event's first delivery comes out however late it is. With ``delay``
+    state is bounded by the watermark, and a first delivery later than it is
+    dropped: only for feeds whose delay is known. ``withWatermark`` needs a
+    TIMESTAMP (with zone) column, so an NTZ event time is cast first.
     """
+    if delay is None:
+        return stream.dropDuplicates(ids)
     s = stream.withColumn(ts_col, F.col(ts_col).cast("timestamp"))
     return s.withWatermark(ts_col, delay).dropDuplicatesWithinWatermark(ids)
 
@@ -94,10 +106,10 @@ def run_available(stream: DataFrame, out_path: str, checkpoint: str, fmt: str =
 
 
 def apply_stream(events: DataFrame, root: str, checkpoint: str, available_now: bool = True):
-    """DER-1 stream form: land each micro-batch's net changes under ``root/log``.
+    """DER-1 stream form: land each micro-batch's last events under ``root/log``.
 
-    ``net_changes`` reduces the batch before it is written (one row per key
-    per batch); the batch id names the folder, so a batch replayed after a
+    ``last_events`` reduces the batch before it is written (one row per key per
+    batch, deletes and snapshot rows included); the batch id names the folder, so a batch replayed after a
     failure replaces its own output instead of adding to it.
 
     Schema changes are checked on the driver once per batch against
@@ -115,7 +127,7 @@ def apply_stream(events: DataFrame, root: str, checkpoint: str, available_now: b
         schema = batch.schema if stored is None else evolve(stored, batch.schema)
         if stored is None or schema != stored:
             write_text(batch.sparkSession, f"{root}/_schema.json", schema.json())
-        conform(net_changes(batch), schema).write.mode("overwrite").parquet(f"{root}/log/run={run}/batch_id={batch_id}")
+        conform(last_events(batch), schema).write.mode("overwrite").parquet(f"{root}/log/run={run}/batch_id={batch_id}")
 
     w = events.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=FLUSH_INTERVAL)
