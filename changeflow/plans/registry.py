@@ -68,27 +68,32 @@ def conditional_transform(spark, d):
                            predicate=F.col("event_type") == "error", negate=True)
 
 
+def _landed(spark, d, *names):
+    """The mixed stream as it lands: stored rows in which the table name is data."""
+    return settle(mixed.mixed_keys(spark, d, *names), "mixed")
+
+
 def include_tables(spark, d):
-    return op.include_tables(mixed.mixed_keys(spark, d), mixed.SCENARIO_TABLES)
+    return op.include_tables(_landed(spark, d), mixed.SCENARIO_TABLES)
 
 
 def include_schemas(spark, d):
-    return op.include_schemas(mixed.mixed_keys(spark, d, mixed.SQLSERVER_NAMES), ["data"])
+    return op.include_schemas(_landed(spark, d, mixed.SQLSERVER_NAMES), ["data"])
 
 
 def capture_list_filter(spark, d):
     lst = spark.createDataFrame([(t,) for t in mixed.SCENARIO_TABLES], "table string")
-    return op.capture_list_filter(mixed.mixed_keys(spark, d), lst)
+    return op.capture_list_filter(_landed(spark, d), lst)
 
 
 def capture_list_delta(spark, d):
-    current = mixed.mixed_keys(spark, d).select("table")
+    current = _landed(spark, d).select("table")
     new = spark.createDataFrame([(t,) for t in mixed.CONNECTOR_TABLES], "table string")
     return op.set_delta(current, new, "table")
 
 
 def route_topics(spark, d):
-    ev = op.include_tables(mixed.mixed_keys(spark, d), mixed.SCENARIO_TABLES)
+    ev = op.include_tables(_landed(spark, d), mixed.SCENARIO_TABLES)
     return op.route(ev, mixed.TOPIC_PREFIX)
 
 

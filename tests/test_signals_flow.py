@@ -143,8 +143,9 @@ def test_bucket_layout_spreads_each_bucket_over_writers(spark, scratch):
     a, _, _ = V.versions(spark, SF_SMALL)
     path = f"{scratch}/orders"
     op.write_buckets(a, path, ["k"], 4, writers_per_bucket=3)
-    per_bucket = [len([f for f in os.listdir(f"{path}/{d}") if f.endswith(".parquet")])
-                  for d in os.listdir(path) if d.startswith("_bucket=")]
+    (run,) = [f"{path}/{d}" for d in os.listdir(path) if d.startswith("_run=")]
+    per_bucket = [len([f for f in os.listdir(f"{run}/{d}") if f.endswith(".parquet")])
+                  for d in os.listdir(run) if d.startswith("_bucket=")]
     assert len(per_bucket) == 4 and all(1 < n <= 3 for n in per_bucket)
     assert rows(op.read_buckets(spark, path).drop("_bucket")) == rows(a)
 
