@@ -30,10 +30,21 @@ def save(df: DataFrame, name: str) -> DataFrame:
     This cuts the lineage: what follows reads shared files, so a lost executor
     costs a re-read and never a recomputation of what came before.
     """
+    return save_at(df, name)[0]
+
+
+def save_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As ``save``, with the path written to, for tables that can be removed before the job ends."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a table of ``save_at`` that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
