@@ -22,6 +22,18 @@ def unique(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
 
 
+def uniques(frames: dict, keys: list[tuple[str, list[str]]]) -> DataFrame:
+    """CHK-2 over a whole model: the repeated values of every declared key and unique index, one frame.
+
+    Rows are (index, value, n): ``table(columns)``, the columns as JSON text and
+    how often they occur. NULLs are compared as values, as a unique index does
+    where it admits one.
+    """
+    parts = [unique(frames[t], cols).select(
+        F.lit(f"{t}({','.join(cols)})").alias("index"), F.to_json(F.struct(*cols)).alias("value"), "n") for t, cols in keys]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def foreign_key(child: DataFrame, parent: DataFrame, on: list[tuple[str, str]]) -> DataFrame:
     """CHK-3: child rows whose non-NULL reference has no parent (orphans).
 

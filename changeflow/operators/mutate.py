@@ -177,6 +177,23 @@ def delete_keys(target: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame
     return target.join(keys.select(*key), key, "left_anti")
 
 
+def restrict_delete(parent: DataFrame, keys: DataFrame, key: list[str], children: list[tuple[DataFrame, list[str]]]) -> DataFrame:
+    """MUT-6 without a cascade: remove the rows of ``keys`` unless a child refers to one of them, which fails the job.
+
+    ``children`` pairs each referring table with its reference columns. Each is
+    reduced to the deleted keys it uses before it meets the parent, so rows that
+    matter to no deletion are dropped where they are read.
+    """
+    gone = keys.select(*key)
+    for child, fk in children:
+        used = child.select(*[F.col(c).alias(k) for c, k in zip(fk, key)]).join(gone, key, "left_semi").groupBy(*key).agg(F.lit(True).alias("_used"))
+        fail = F.raise_error(F.concat(F.lit("row is still referenced: "), F.concat_ws(",", *[F.col(k).cast("string") for k in key])))
+        # The row number (always >= 0) keeps the optimizer from judging the filter on a NULL beforehand.
+        held = F.col("_used").isNotNull() & (F.monotonically_increasing_id() >= 0)
+        parent = parent.join(used, key, "left").filter(F.when(held, fail.cast("boolean")).otherwise(F.lit(True))).drop("_used")
+    return parent.join(gone, key, "left_anti")
+
+
 def cascade_delete(child: DataFrame, deleted_parent_keys: DataFrame, fk: list[str], parent_key: list[str]) -> DataFrame:
     """MUT-6: ``ON DELETE CASCADE``: child rows of deleted parents go too."""
     keys = deleted_parent_keys.select(*[F.col(p).alias(f) for p, f in zip(parent_key, fk)])

@@ -163,6 +163,12 @@ _TYPED_SCHEMA = (
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["scan_orders"] = "SELECT * FROM orders"
+    q["stored_documents"] = "SELECT o_orderkey AS _id, o_custkey AS user_id, o_orderstatus AS status FROM orders"
+    q["key_gaps"] = ("SELECT n AS o_orderkey FROM (SELECT unnest(generate_series((SELECT MIN(o_orderkey) FROM orders), "
+                     "(SELECT MAX(o_orderkey) FROM orders))) AS n) WHERE n NOT IN (SELECT o_orderkey FROM orders)")
+    q["written_tables"] = W_V + "SELECT * FROM v1"
+    q["loaded_together"] = "SELECT COUNT(*) AS n, 'orders' AS name FROM orders UNION ALL SELECT COUNT(*), 'users' FROM customer"
+    q["stream_resumed"] = "SELECT event_id, user_id, event_type FROM events"
     q["orders_by_status"] = "SELECT * FROM orders WHERE o_orderstatus = 'F'"
     q["orders_in_range"] = ("SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01 00:00:00' "
                             "AND o_orderdate < TIMESTAMP '1996-04-01 00:00:00'")

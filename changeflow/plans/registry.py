@@ -21,7 +21,8 @@ from changeflow.schemas import ALL_TABLES, TABLES
 from changeflow.session import settle, shared_dir
 from changeflow.sinks.records import avro_safe_names, json_with_schema, to_kafka_string
 from changeflow.sources import catalog
-from changeflow.sources.tables import scan_table
+from changeflow.sinks import tables as sinks
+from changeflow.sources.tables import scan_documents, scan_table, series
 from changeflow.streaming import changes as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +41,42 @@ def scan_orders(spark, d):
     return _t(spark, d, "orders")
 
 
+def stored_documents(spark, d):
+    """SRC-4: orders written as nested JSON documents and read back with the declared schema."""
+    docs = _t(spark, d, "orders").select(
+        F.col("o_orderkey").alias("_id"), F.struct(F.col("o_custkey").alias("user_id"), F.col("o_orderstatus").alias("status")).alias("order"))
+    path = f"{shared_dir(spark, 'documents')}/orders"
+    docs.write.json(path)
+    back = scan_documents(spark, path, docs.schema)
+    return back.select("_id", F.col("order.user_id").alias("user_id"), F.col("order.status").alias("status"))
+
+
+def key_gaps(spark, d):
+    """SRC-6: keys between the smallest and the largest order key that no order has."""
+    o = _t(spark, d, "orders")
+    lo, hi = o.agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
+    return series(spark, lo, hi, "o_orderkey").join(o.select("o_orderkey"), "o_orderkey", "left_anti")
+
+
+def written_tables(spark, d):
+    """SNK-1, 2, 3: a table reset, appended to, and left alone by create-if-absent."""
+    o = v1(spark, d)
+    path = f"{shared_dir(spark, 'written')}/orders"
+    sinks.reset(o.filter(F.col("k") % 2 == 0), path)
+    sinks.append(o.filter(F.col("k") % 2 != 0), path)
+    sinks.create_if_absent(o.filter(F.lit(False)), path)
+    return spark.read.parquet(path)
+
+
+def loaded_together(spark, d):
+    """MUT-7: orders and customers published as one version, then read as it stands."""
+    root = shared_dir(spark, "loaded")
+    sinks.load_all(spark, root, {"orders": v1(spark, d), "users": _t(spark, d, "customer")})
+    o, c = sinks.read_current(spark, root, "orders"), sinks.read_current(spark, root, "users")
+    return o.agg(F.count("*").alias("n")).withColumn("name", F.lit("orders")).unionByName(
+        c.agg(F.count("*").alias("n")).withColumn("name", F.lit("users")))
+
+
 def orders_by_status(spark, d):
     return _t(spark, d, "orders").filter(F.col("o_orderstatus") == "F")
 
@@ -535,6 +572,17 @@ def stream_changes(spark, d):
     return spark.read.parquet(out).select("table", "op", "seq", "user_id", "event_type")
 
 
+def stream_resumed(spark, d):
+    """CAP-11: a stream stopped after its first half and started again from its checkpoint delivers every event once."""
+    root = shared_dir(spark, "stream_resumed")
+    ev = _t(spark, d, "events").select("event_id", "user_id", "event_type")
+    for half in (0, 1):
+        ev.filter(F.col("event_id") % 2 == half).write.parquet(f"{root}/in/{half}")
+        stream = spark.readStream.schema(ev.schema).option("recursiveFileLookup", "true").parquet(f"{root}/in")
+        streams.run_available(stream, f"{root}/out", f"{root}/_checkpoint")
+    return spark.read.parquet(f"{root}/out")
+
+
 def stream_dedup(spark, d):
     root = shared_dir(spark, "stream_dedup")
     a = streams.table_stream(spark, d, "events", TABLES["events"])
@@ -563,7 +611,7 @@ def stream_feed(spark, d):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in [
-        scan_orders, orders_by_status, orders_in_range, nested_field_filter, conditional_transform,
+        scan_orders, stored_documents, key_gaps, written_tables, loaded_together, orders_by_status, orders_in_range, nested_field_filter, conditional_transform,
         include_tables, include_schemas, capture_list_filter, capture_list_delta, route_topics,
         absent_keys, exists_flag, fk_lookup, strict_lookup,
         max_or_one, table_counts, capture_counters, first_by_name,
@@ -578,6 +626,6 @@ QUERIES: dict[str, Query] = {
         tombstones_off, event_keys, kafka_records, kafka_tombstones, json_schema_payload, json_schema_typed, avro_names,
         unwrap_rewrite, unwrap_null, apply_changes, replay_snapshot_log, chained_flow, change_feed,
         nest_items, unnest_items, reconcile_totals, parse_props,
-        stream_changes, stream_dedup, stream_feed,
+        stream_changes, stream_resumed, stream_dedup, stream_feed,
     ]
 }

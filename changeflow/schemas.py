@@ -14,7 +14,7 @@ def _struct(*fields: tuple[str, T.DataType, bool]) -> T.StructType:
     return T.StructType([T.StructField(n, t, nullable) for n, t, nullable in fields])
 
 
-# Relational shape (PostgreSQL dialect): table -> schema, key columns.
+# The relational shape (PostgreSQL dialect): table -> schema, key columns.
 RELATIONAL = {
     "categories": (_struct(("category_id", I, False), ("name", S, False), ("description", S, True)), ["category_id"]),
     "products": (
@@ -59,6 +59,33 @@ RELATIONAL_FKS = [
     ("inventory_logs", "product_id", "products", "product_id"),
 ]
 
+# The relational shape of the SQL Server dialect, string keys throughout.
+SQLSERVER = {
+    "categories": (_struct(("id", S, False), ("name", S, False), ("description", S, True), ("created_at", NTZ, False), ("updated_at", NTZ, False)), ["id"]),
+    "products": (
+        _struct(("id", S, False), ("name", S, False), ("category_id", S, True), ("price", MONEY12, False), ("stock_quantity", I, False),
+                ("tags", S, True), ("created_at", NTZ, False), ("updated_at", NTZ, False)),
+        ["id"],
+    ),
+    "users": (_struct(("id", S, False), ("username", S, False), ("email", S, False)), ["id"]),
+    "orders": (
+        _struct(("id", S, False), ("user_id", S, False), ("status", S, False), ("total_amount", MONEY12, False),
+                ("created_at", NTZ, False), ("updated_at", NTZ, False)),
+        ["id"],
+    ),
+    "order_items": (
+        _struct(("order_id", S, False), ("product_id", S, False), ("name", S, False), ("quantity", I, False), ("unit_price", MONEY12, False)),
+        ["order_id", "product_id"],
+    ),
+}
+SQLSERVER_FKS = [
+    ("products", "category_id", "categories", "id"),
+    ("orders", "user_id", "users", "id"),
+    ("order_items", "order_id", "orders", "id"),
+]
+# Unique columns besides the keys: (table, columns).
+SQLSERVER_UNIQUE = [("users", ["username"]), ("users", ["email"])]
+
 # Document shape: one order with its user embedded and its items as an array.
 USER_DOC = _struct(("user_id", S, True), ("name", S, True), ("username", S, True), ("email", S, True))
 ITEM_DOC = _struct(("product_id", S, True), ("name", S, True), ("quantity", I, True), ("unit_price", MONEY12, True))

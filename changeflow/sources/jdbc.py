@@ -66,6 +66,39 @@ def scan_jdbc_auto(spark: SparkSession, url: str, table: str, key: str, partitio
     return scan_jdbc(spark, url, table, key, int(lo), int(hi) + 1, partitions, properties)
 
 
+def _quoted(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
+
+
+def string_cuts(spark: SparkSession, url: str, table: str, key: str, partitions: int, properties: dict | None = None) -> list[str]:
+    """Up to ``partitions - 1`` keys that cut ``table`` into ranges of like size, found by the database.
+
+    One count, then one key per cut by its place in key order; only these rows come back.
+    """
+    props, col = dict(properties or {}), _quoted(key)
+    n = spark.read.jdbc(url=url, table=f"(SELECT COUNT(*) AS n FROM {table}) counted", properties=props).first()[0]
+    places = sorted({n * i // partitions for i in range(1, partitions)} - {0, n})
+    cuts = [spark.read.jdbc(url=url, table=f"(SELECT {col} AS k FROM {table} ORDER BY {col} OFFSET {p} ROWS FETCH NEXT 1 ROWS ONLY) cut", properties=props).first()[0]
+            for p in places]
+    return [c for c in dict.fromkeys(cuts) if c is not None]
+
+
+def scan_jdbc_strings(spark: SparkSession, url: str, table: str, key: str, cuts: list[str],
+                      properties: dict | None = None, fetch_size: int = 10_000) -> DataFrame:
+    """SRC-3: read a table with a string key in parallel ranges between ``cuts``.
+
+    The comparisons run in the database, so its collation decides the order and
+    every row (a NULL key in the first range) is in exactly one range.
+    """
+    props = dict(properties or {})
+    props.setdefault("fetchsize", str(fetch_size))
+    col, text = _quoted(key), ["'" + c.replace("'", "''") + "'" for c in cuts]
+    if not text:
+        return spark.read.jdbc(url=url, table=table, properties=props)
+    ranges = [f"{col} < {text[0]} OR {col} IS NULL", *[f"{col} >= {a} AND {col} < {b}" for a, b in zip(text, text[1:])], f"{col} >= {text[-1]}"]
+    return spark.read.jdbc(url=url, table=table, predicates=ranges, properties=props)
+
+
 def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", properties: dict | None = None,
                batch_size: int = 10_000) -> None:
     """SNK-1 against a relational target: batched INSERTs, one connection per task."""

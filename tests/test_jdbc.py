@@ -23,3 +23,16 @@ def test_jdbc_bounds_from_the_database(spark):
     assert key_bounds(spark, URL, "inventory_logs", "log_id", PROPS) == (10, 509)
     back = scan_jdbc_auto(spark, URL, "inventory_logs", "log_id", 3, properties=PROPS)
     assert back.rdd.getNumPartitions() == 3 and back.count() == 500
+
+
+def test_string_keys_in_ranges(spark):
+    from changeflow.sources.jdbc import scan_jdbc_strings, string_cuts
+
+    df = spark.range(0, 300).selectExpr("concat('o''rder-', cast(id * 7919 % 300 as string)) as id", "cast(id as int) as quantity")
+    write_jdbc(df, URL, "string_orders", mode="overwrite", properties=PROPS | {"createTableColumnTypes": "id VARCHAR(255)"})
+    cuts = string_cuts(spark, URL, "string_orders", "id", 4, PROPS)
+    back = scan_jdbc_strings(spark, URL, "string_orders", "id", cuts, PROPS)
+    assert len(cuts) == 3 and back.rdd.getNumPartitions() == 4
+    assert sorted(back.rdd.glom().map(len).collect()) == [75, 75, 75, 75]
+    assert {tuple(r) for r in back.collect()} == {tuple(r) for r in df.collect()}
+    assert scan_jdbc_strings(spark, URL, "string_orders", "id", [], PROPS).count() == 300

@@ -163,3 +163,36 @@ def test_checkpoint_root_needs_a_shared_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         checkpoint_root(Session)
+
+
+def test_model_of_the_second_relational_source(spark):
+    from changeflow.operators.checks import foreign_keys, uniques
+    from changeflow.schemas import SQLSERVER, SQLSERVER_FKS, SQLSERVER_UNIQUE
+
+    def rows_of(table, *rows):
+        schema = SQLSERVER[table][0]
+        full = [tuple({**dict.fromkeys(schema.names), **r}[c] for c in schema.names) for r in rows]
+        return spark.createDataFrame(full, T.StructType([T.StructField(f.name, f.dataType) for f in schema.fields]))
+
+    frames = {
+        "categories": rows_of("categories", {"id": "c1"}),
+        "products": rows_of("products", {"id": "p1", "category_id": None}, {"id": "p2", "category_id": "c9"}),
+        "users": rows_of("users", {"id": "u1", "username": "a", "email": "e"}, {"id": "u2", "username": "a", "email": "f"}),
+        "orders": rows_of("orders", {"id": "o1", "user_id": "u1"}),
+        "order_items": rows_of("order_items", {"order_id": "o1", "product_id": "p1"}, {"order_id": "o1", "product_id": "p1"}),
+    }
+    orphans = [(r.fk, r.ref) for r in foreign_keys(frames, SQLSERVER_FKS).collect()]
+    assert orphans == [("products.category_id->categories", "c9")]
+    keys = [(t, key) for t, (_, key) in SQLSERVER.items()] + SQLSERVER_UNIQUE
+    assert sorted((r["index"], r.n) for r in uniques(frames, keys).collect()) == [("order_items(order_id,product_id)", 2), ("users(username)", 2)]
+
+
+def test_restricted_delete(spark):
+    from changeflow.operators.mutate import restrict_delete
+
+    users, orders = spark.createDataFrame([(1,), (2,), (3,)], "id int"), spark.createDataFrame([(10, 1), (11, None)], "o int, user_id int")
+    free = spark.createDataFrame([(2,), (9,)], "id int")
+    assert sorted(r.id for r in restrict_delete(users, free, ["id"], [(orders, ["user_id"])]).collect()) == [1, 3]
+    for run in ("count", "collect"):
+        with pytest.raises(Exception, match="still referenced"):
+            getattr(restrict_delete(users, spark.createDataFrame([(1,)], "id int"), ["id"], [(orders, ["user_id"])]), run)()
