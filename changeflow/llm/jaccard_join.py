@@ -210,7 +210,7 @@ def _near_size(a: Column, b: Column, percent: int) -> Column:
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, text) of the rows of ``docs`` with these ids. The ids are broadcast only if they are few enough."""
     own = docs.select(F.col("doc_id").alias("id"), "text")
-    return own.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+    return own.join(_small(ids), "id", "left_semi")
 
 
 def _links(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -224,6 +224,26 @@ def _links(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame
     return rows.mapInPandas(_verify(n, percent), "a long, b long")
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` (a saved table of ids), broadcast if it has few enough rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
+def _enough_in_common(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose prefixes share enough tokens for a link.
+
+    Tokens in common outside the prefixes number at most ceil(percent * n / 100) - 1
+    of the larger set; the rest of the required overlap must be in both prefixes.
+    """
+    ids = save(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "list-ids")
+    own = nodes.join(_small(ids), "node", "left_semi")
+    side = lambda x: own.select(F.col("node").alias(x), F.col("n").alias("n" + x), F.col("prefix").alias("p" + x))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    outside = F.ceil(F.greatest("na", "nb") * percent / 100) - 1
+    enough = (F.size(F.array_intersect("pa", "pb")) + outside) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    return both.where(enough).select("a", "b")
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id must be an integer).
 
@@ -236,8 +256,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     common = common_tokens(docs, n)
-    sketch = docs.mapInPandas(_sketch(n, percent, common), "doc_id long, n long, s1 long, s2 long, hub_keys array<long>, prefix array<long>")
-    sketch = save(sketch, "sketches")
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # null ids would turn integers into floats in pandas
+    sketch = rows.mapInPandas(_sketch(n, percent, common), "doc_id string, n long, s1 long, s2 long, hub_keys array<long>, prefix array<long>")
+    sketch = save(sketch.withColumn("doc_id", F.col("doc_id").cast("long")), "sketches")
     known = sketch.where("doc_id IS NOT NULL AND n > 0")
     node_of = save(known.groupBy("s1", "s2").agg(F.min("doc_id").alias("node")), "nodes")
     # One row per node: the row that carries its smallest doc_id.
@@ -250,16 +271,17 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     links = save(_links(docs, stars, n, percent), "hub-links")
     first = components(links)
 
-    posting = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    posting = posting.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    posting = save(posting.select("token", "node", F.col("n").cast("int"), F.col("pos").cast("int"), "component"), "postings")
+    # Nodes of no hub link are components of their own.
+    placed = nodes.select("node", "n", "prefix").join(_small(first), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    posting = placed.select("node", F.col("n").cast("int").alias("n"), "component", F.posexplode("prefix").alias("pos", "token"))
     shared = save(posting.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token"), "shared-tokens")
-    active = save(posting.join(F.broadcast(shared) if shared.count() <= BROADCAST_IDS else shared, "token", "left_semi"), "lists")
+    active = save(posting.join(_small(shared), "token", "left_semi"), "lists")
     a, b = active.alias("a"), active.alias("b")
-    # After the first common token at least this many tokens must still follow on both sides.
-    room = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent
     met = (F.col("a.component") != F.col("b.component")) & (F.col("a.node") < F.col("b.node")) & _near_size(F.col("a.n"), F.col("b.n"), percent)
+    # The first common token of a link leaves room for the required overlap on both sides.
+    room = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent
     pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & met & room).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    pairs = _enough_in_common(save(pairs, "list-pairs"), nodes, percent)
     # Nodes of one doc_id belong together.
     same = known.select("doc_id", "s1", "s2").join(node_of, ["s1", "s2"]).groupBy("doc_id").agg(F.collect_set("node").alias("of")).where(F.size("of") > 1)
     same = same.select(F.array_min("of").alias("a"), F.explode("of").alias("b")).where("a < b")
@@ -280,7 +302,7 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """
     groups = jaccard_components(docs, n, percent).where("component_id <> doc_id").select("doc_id").distinct()
     gone = save(groups.select(F.col("doc_id").alias("gone_id")), "near-copies")
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    side = _small(gone)
     return docs.join(side, docs["doc_id"] == side["gone_id"], "left_anti")
 
 
