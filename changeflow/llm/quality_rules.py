@@ -25,6 +25,8 @@ MAX_CONDITIONS = 3
 # A rule is accepted when, of the pruning rows it covers, at least MIN_COVER are bad
 # and at most one in ten is good.
 MIN_COVER = 3
+# Ids of labelled documents are broadcast when they number fewer.
+BROADCAST_IDS = 2_000_000
 MIN_PRECISION = 0.9
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_digits", "n_distinct_words"]
@@ -199,9 +201,17 @@ def _labelled(stats: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> list[list[tuple[str, str, int]]]:
-    """Rules learned from all labelled documents of ``docs``."""
-    known = docs.select("doc_id", "text").join(labels.where("quality IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_semi")
-    return learn_rules(save(_labelled(known.select("doc_id", statistics(F.col("text")).alias("s")), labels), "rule-rows"))
+    """Rules learned from all labelled documents of ``docs``.
+
+    The labelled ids select the documents by broadcast when they are few enough;
+    otherwise the statistics of all documents are joined. Texts are not shuffled.
+    """
+    ids = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id").distinct()
+    known = docs.select("doc_id", "text")
+    if ids.count() <= BROADCAST_IDS:
+        known = known.join(F.broadcast(ids), "doc_id", "left_semi")
+    stats = save(known.select("doc_id", statistics(F.col("text")).alias("s")), "rule-stats")
+    return learn_rules(save(_labelled(stats, labels), "rule-rows"))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
