@@ -5,7 +5,7 @@ import pytest
 import tokenizers
 
 from changeflow.llm import bpe as B
-from llm_fixtures import SF_SMALL
+from .llm_fixtures import SF_SMALL
 
 
 @pytest.fixture(scope="module")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from changeflow.llm import decontaminate as D
 from changeflow.llm.common import read
-from llm_fixtures import SF_MID
+from .llm_fixtures import SF_MID
 
 QUESTION = "A farmer named Alice has 12 apples and 30 pears in a basket of 45 kg, and gives Alice 12 of the fruits to a friend."
 

@@ -7,7 +7,7 @@ import pytest
 from changeflow.llm import html_extract as H
 from changeflow.llm.common import read
 from changeflow.llm.html_blocks import blocks
-from llm_fixtures import SF_MID
+from .llm_fixtures import SF_MID
 
 
 @pytest.fixture(scope="module")

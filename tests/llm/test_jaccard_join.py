@@ -6,7 +6,7 @@ import pytest
 
 from changeflow.llm import jaccard_join as J
 from changeflow.llm.components import components
-from llm_fixtures import SF_SMALL
+from .llm_fixtures import SF_SMALL
 
 
 def sets_of(rows, n):

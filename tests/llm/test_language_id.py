@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from changeflow.llm import language_id as L
 from changeflow.llm.common import read
-from llm_fixtures import SF_MID
+from .llm_fixtures import SF_MID
 
 
 def test_held_out_accuracy(spark):

@@ -3,7 +3,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from changeflow.llm import line_dedup as L
-from llm_fixtures import SF_SMALL
+from .llm_fixtures import SF_SMALL
 
 STRIP = " \t\n\x0b\x0c\r"
 

@@ -9,9 +9,9 @@ import tokenizers
 import corpus_pipeline as P
 from changeflow.llm.bpe import vocabulary_path
 from changeflow.llm.common import save
-from test_jaccard_join import brute as components
-from test_line_dedup import brute as without_lines
-from test_quality_rules import counts
+from .test_jaccard_join import brute as components
+from .test_line_dedup import brute as without_lines
+from .test_quality_rules import counts
 
 
 @pytest.fixture(scope="module")

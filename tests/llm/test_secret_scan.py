@@ -5,7 +5,7 @@ import pytest
 
 from changeflow.llm import secret_scan as S
 from changeflow.llm.common import read
-from llm_fixtures import SF_MID
+from .llm_fixtures import SF_MID
 
 
 @pytest.fixture(scope="module")
