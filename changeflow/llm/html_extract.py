@@ -28,7 +28,7 @@ HIDDEN = 20
 MAX_PAGES = 120
 MAX_PAGE_CHARS = 12_000
 COMPOSED = 450
-EPOCHS, BATCH, RATE = 6, 12, 0.01
+EPOCHS, BATCH, RATE = 9, 12, 0.01
 # Blocks labelled in one numpy step, padding included.
 STEP_BLOCKS = 4096
 
@@ -229,9 +229,9 @@ def compose(rng: np.random.Generator, sentences: list[str]) -> tuple[str, list[i
             leaf("p", " ".join(pick(sentences) for _ in range(int(rng.integers(1, 6)))), 1)
         elif kind < 0.8:
             leaf(pick(["h2", "h3"]), words(int(rng.integers(2, 9))), 1)
-        elif kind < 0.86:
+        elif kind < 0.84:
             leaf(pick(["blockquote", "li", "pre", "td"]), words(int(rng.integers(3, 20))), 1)
-        elif kind < 0.93:
+        elif kind < 0.88:
             leaf("p", words(int(rng.integers(1, 4))), 1)
         else:
             other(pick(["ad", "related", "share", "newsletter", "promo", "sponsored", "subscribe"]))
