@@ -2,10 +2,11 @@
 
 Texts become token lists in which numbers, names inside a sentence and units
 after numbers are typed slots that keep their value. Windows of tokens are
-hashed with the slots' types in place of their values and hash-joined with the
-benchmark's windows; where values differ, the slots of an aligned passage must
-map one to one, so that a question with other numbers or names is found and a
-chance meeting of templates is not. DataFrame expressions only.
+hashed with the slots' types in place of their values (mostly slots: with their
+values) and hash-joined with the benchmark's windows; where values differ, the
+slots of an aligned passage must map one to one, so that a question with other
+numbers or names is found and a chance meeting of templates is not. DataFrame
+expressions only.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from changeflow.llm.common import let, read, save
 
 WINDOW = 8
+# Tokens in the runs by which documents and items meet.
+SEED = 8
 # Share of an item's windows that a document must hold.
 MIN_SHARE = 0.5
 # Benchmark windows, and ids of matched rows, are broadcast only when they number fewer.
@@ -54,38 +57,48 @@ def _template(token: Column, names: bool) -> Column:
     return typed if names else F.when(F.startswith(token, F.lit(NAME)), _plain(token)).otherwise(typed)
 
 
-def windows(toks: Column, n: int, names: bool = True) -> Column:
-    """The template hash of every run of ``n`` tokens, in order; without ``names``, names stand for themselves."""
+def _marked(toks: Column, mark: str = MARK) -> Column:
+    return F.size(F.filter(toks, lambda x: F.startswith(x, F.lit(mark))))
 
-    def of(h: Column) -> Column:
-        size = F.size(h)
-        shifted = F.arrays_zip(*[F.slice(h, i + 1, F.greatest(size, F.lit(1))) for i in range(n)])
-        return F.transform(F.slice(shifted, 1, F.greatest(size - n + 1, F.lit(0))), lambda x: F.xxhash64(x))
 
-    return let(F.transform(toks, lambda x: F.xxhash64(_template(x, names))), of)
+def seeds(toks: Column, n: int, own_names: bool) -> Column:
+    """For every run of ``n`` tokens, in order, the hashes under which it meets its like.
 
+    A run of which at most half are slots has its template's hash and, with
+    ``own_names``, the hash in which names stand for themselves, so that copies
+    in which no names can be told (all capitals, all small) are met. Of a run
+    with more slots the template says too little: its plain values are hashed.
+    """
+
+    def forms(w: Column) -> Column:
+        slots, names = _marked(w), _marked(w, NAME)
+        hashed = lambda part: F.xxhash64(F.transform(w, part))
+        found = [F.when(slots * 2 <= n, hashed(lambda x: _template(x, True))), F.when(slots * 2 > n, hashed(_plain))]
+        if own_names:
+            found.append(F.when((slots - names) * 2 <= n, hashed(lambda x: _template(x, False))))
+        return F.when(slots == 0, F.array(F.xxhash64(w))).otherwise(F.array_distinct(F.array_compact(F.array(*found))))
+
+    size = F.size(toks)
+    return F.when(size >= n, F.transform(F.sequence(F.lit(0), F.greatest(size - n, F.lit(0))), lambda p: let(F.slice(toks, p + 1, n), forms)))
 
-def item_windows(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """(item_id, item_hash, toks, n, pos, h) of the benchmark's windows in which at least half the tokens are no slots.
 
-    A window with names has a second hash in which they stand for themselves, so
-    that copies in which no names can be told (all capitals, all small) are met.
+def benchmark_items(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
+    """(item_id, item_hash, toks, size, n, light, soft), one row per item; ``n`` is the item's window length.
+
     An item of fewer than ``n`` tokens is one window of its own length; items
-    without tokens have none.
+    without tokens are left out. ``light`` tells of each window whether at most
+    half of it are slots, ``soft`` of each token whether such a window holds it.
     """
     items = benchmark.select("item_id", F.xxhash64("text").alias("item_hash"), tokens(F.col("text")).alias("toks")).dropDuplicates(["item_id", "item_hash"])
-    items = save(items.where(F.size("toks") > 0).withColumn("n", F.least(F.size("toks"), F.lit(n))), "benchmark")
-    parts = []
-    for size in sorted(r["n"] for r in items.select("n").distinct().collect()):
-        plain = F.size(F.filter(F.slice("toks", F.col("pos") + 1, size), lambda x: ~F.startswith(x, F.lit(MARK))))
-        own = items.where(F.col("n") == size)
-        parts += [own.select("*", F.posexplode(windows(F.col("toks"), size, names)).alias("pos", "h")).where(plain * 2 >= size) for names in (True, False)]
-    if not parts:
-        return items.select("*", F.lit(0).alias("pos"), F.lit(0).cast("long").alias("h")).limit(0)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return save(out.dropDuplicates(["item_id", "item_hash", "pos", "h"]), "benchmark-windows")
+    items = items.withColumn("size", F.size("toks")).where("size > 0").withColumn("n", F.least("size", F.lit(n)))
+    last = F.col("size") - F.col("n")
+    items = items.withColumn("light", F.transform(F.sequence(F.lit(0), last), lambda p: _marked(F.slice("toks", p + 1, F.col("n"))) * 2 <= F.col("n")))
+
+    def held(p: Column) -> Column:
+        first = F.greatest(p - F.col("n") + 1, F.lit(0))
+        return F.exists(F.slice("light", first + 1, F.least(p, last) - first + 1), lambda x: x)
+
+    return save(items.withColumn("soft", F.transform(F.sequence(F.lit(0), F.col("size") - 1), held)), "benchmark")
 
 
 def _bounded(df: DataFrame) -> DataFrame:
@@ -93,43 +106,69 @@ def _bounded(df: DataFrame) -> DataFrame:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """(doc_id, row_hash, item_id, item_hash, n_windows, n_exact, item_windows) of every row and item that share a window.
+    """(doc_id, row_hash, item_id, item_hash, n_windows, n_exact, item_windows) of every row and item that share a seed.
 
     n_windows counts the item's windows found, once each: those found word for
-    word, and those of passages whose slots map one to one onto the item's.
+    word, and those with at most half slots of passages whose slots map one to
+    one onto the item's. item_windows counts all windows of the item.
     """
-    index = item_windows(benchmark, n)
-    keys = index.select(F.col("h"), F.col("n"), F.col("pos").alias("item_pos"), "item_id", "item_hash")
+    items = benchmark_items(benchmark, n)
     rows = docs.select("doc_id", F.xxhash64("text").alias("row_hash"), tokens(F.col("text")).alias("toks"))
-    sizes = sorted(r["n"] for r in index.select("n").distinct().collect()) or [n]
+    length = F.least(F.col("size"), F.lit(min(SEED, n)))
     found = None
-    for size in sizes:
-        at = rows.select("doc_id", "row_hash", F.posexplode(windows(F.col("toks"), size)).alias("doc_pos", "h"))
-        hit = at.join(_bounded(keys.where(F.col("n") == size)), "h").select("doc_id", "row_hash", "item_id", "item_hash", "item_pos", (F.col("doc_pos") - F.col("item_pos")).alias("offset"))
+    for size in sorted(r["s"] for r in items.select(length.alias("s")).distinct().collect()) or [n]:
+        keys = items.where(length == size).select("item_id", "item_hash", "size", F.posexplode(seeds(F.col("toks"), size, True)).alias("item_pos", "hs"))
+        keys = save(keys.withColumn("h", F.explode("hs")).drop("hs"), "benchmark-seeds")
+        at = rows.select("doc_id", "row_hash", F.posexplode(seeds(F.col("toks"), size, False)).alias("doc_pos", "hs")).withColumn("h", F.explode("hs"))
+        hit = at.join(_bounded(keys), "h").select("doc_id", "row_hash", "item_id", "item_hash", "size", (F.col("doc_pos") - F.col("item_pos")).alias("offset"))
         found = hit if found is None else found.unionByName(hit)
-    found = save(found, "window-hits")
-    group = ["doc_id", "row_hash", "item_id", "item_hash"]
-    aligned = found.groupBy(*group, "offset").agg(F.sort_array(F.collect_set("item_pos")).alias("at"))
+    found = save(found, "seed-hits")
+    at = found.groupBy("doc_id", "row_hash").agg(F.collect_set(F.struct("item_id", "item_hash", "size", "offset")).alias("at"))
     ids = save(found.select(F.col("doc_id").alias("d"), F.col("row_hash").alias("rh")).distinct(), "hit-rows")
     own = docs.select("doc_id", F.xxhash64("text").alias("row_hash"), "text")
     own = own.join(_bounded(ids), own["doc_id"].eqNullSafe(ids["d"]) & (own["row_hash"] == ids["rh"]), "left_semi").dropDuplicates(["doc_id", "row_hash"])
     own = own.select(F.col("doc_id").alias("d"), F.col("row_hash").alias("rh"), tokens(F.col("text")).alias("doc_toks"))
-    items = index.groupBy("item_id", "item_hash").agg(F.first("toks").alias("item_toks"), F.first("n").alias("n"), F.count_distinct("pos").alias("item_windows"))
-    items = save(items.withColumnsRenamed({"item_id": "i", "item_hash": "ih"}), "items")
-    both = aligned.join(_bounded(items), aligned["item_id"].eqNullSafe(items["i"]) & (aligned["item_hash"] == items["ih"]))
-    both = both.join(own, both["doc_id"].eqNullSafe(own["d"]) & (both["row_hash"] == own["rh"]))
-
-    def slots(covered: Column) -> Column:
-        marked = F.filter(covered, lambda p: F.startswith(F.get("item_toks", p), F.lit(MARK)))
-        return F.array_distinct(F.transform(marked, lambda p: F.struct(_plain(F.get("item_toks", p)).alias("was"), _plain(F.get("doc_toks", p + F.col("offset"))).alias("now"))))
-
-    covered = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + F.col("n") - 1))))
-    one_to_one = let(slots(covered), lambda s: (F.size(s) == F.size(F.array_distinct(s["was"]))) & (F.size(s) == F.size(F.array_distinct(s["now"]))))
-    same = lambda p: F.transform(F.slice("item_toks", p + 1, F.col("n")), _plain) == F.transform(F.slice("doc_toks", p + F.col("offset") + 1, F.col("n")), _plain)
-    exact = F.filter("at", same)
-    both = both.select(*group, "item_windows", exact.alias("exact"), F.when(one_to_one, F.col("at")).otherwise(exact).alias("kept"))
+    at = at.join(own, at["doc_id"].eqNullSafe(own["d"]) & (at["row_hash"] == own["rh"]))
+    # The document's tokens beside the item's, null where it has none.
+    beside = lambda c: F.transform(F.sequence(F.lit(0), c["size"] - 1), lambda p: F.get("doc_toks", p + c["offset"]))
+    at = at.select("doc_id", "row_hash", F.explode(F.transform("at", lambda c: F.struct(c["item_id"].alias("item_id"), c["item_hash"].alias("item_hash"), c["offset"].alias("offset"), beside(c).alias("passage")))).alias("c"))
+    items = items.withColumnsRenamed({"item_id": "i", "item_hash": "ih"})
+    at = at.select("doc_id", "row_hash", "c.*")
+    both = at.join(_bounded(items), at["item_id"].eqNullSafe(items["i"]) & (at["item_hash"] == items["ih"]))
+    return _counted(_compared(both))
+
+
+def _ones(marks: Column, p: Column) -> Column:
+    """Whether the window at ``p`` is all ones."""
+    return F.substr(marks, p + 1, F.col("n")) == F.repeat(F.lit("1"), F.col("n"))
+
+
+def _compared(both: DataFrame) -> DataFrame:
+    """Adds to each item beside a passage: the windows found (``windows``) and those found word for word (``exact``)."""
+
+    def token(p: Column) -> Column:
+        a, b = F.get("toks", p), F.get("passage", p)
+        typed = F.startswith(a, F.lit(MARK)) & (F.substring(a, 1, 2) == F.substring(b, 1, 2)) & F.get("soft", p)
+        return F.when(b.isNull(), "0").when(_plain(a) == _plain(b), "2").when(typed, "1").otherwise("0")
+
+    places = F.sequence(F.lit(0), F.col("size") - 1)
+    starts = F.sequence(F.lit(0), F.col("size") - F.col("n"))
+    both = both.withColumn("same", F.array_join(F.transform(places, token), ""))
+    both = both.withColumn("alike", F.translate("same", "2", "1")).withColumn("same", F.translate("same", "12", "01"))
+    inside = F.array_distinct(F.flatten(F.transform(F.filter(starts, lambda p: _ones(F.col("alike"), p)), lambda p: F.sequence(p, p + F.col("n") - 1))))
+    slots = F.filter(inside, lambda p: F.startswith(F.get("toks", p), F.lit(MARK)))
+    both = both.withColumn("slots", F.array_distinct(F.transform(slots, lambda p: F.struct(_plain(F.get("toks", p)).alias("was"), _plain(F.get("passage", p)).alias("now")))))
+    one_to_one = (F.size("slots") == F.size(F.array_distinct(F.col("slots")["was"]))) & (F.size("slots") == F.size(F.array_distinct(F.col("slots")["now"])))
+    both = both.withColumn("alike", F.when(one_to_one, F.col("alike")).otherwise(F.col("same")))
+    both = both.withColumn("exact", F.filter(starts, lambda p: _ones(F.col("same"), p)))
+    return both.withColumn("windows", F.filter(starts, lambda p: _ones(F.col("alike"), p) & (F.get("light", p) | _ones(F.col("same"), p))))
+
+
+def _counted(both: DataFrame) -> DataFrame:
+    both = both.withColumn("item_windows", (F.col("size") - F.col("n") + 1).cast("long"))
     count = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c)))).cast("long")
-    return both.groupBy(*group, "item_windows").agg(count("kept").alias("n_windows"), count("exact").alias("n_exact"))
+    out = both.groupBy("doc_id", "row_hash", "item_id", "item_hash", "item_windows").agg(count("windows").alias("n_windows"), count("exact").alias("n_exact"))
+    return out.where("n_windows > 0").select("doc_id", "row_hash", "item_id", "item_hash", "n_windows", "n_exact", "item_windows")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, min_share: float = MIN_SHARE) -> DataFrame:

@@ -70,6 +70,21 @@ def test_query_matches_brute_force(spark):
     assert got.keys() == want.keys() and got and all(want[k] - 1 <= got[k] <= want[k] for k in got)
 
 
+def test_items_of_slots_are_found_by_their_values(spark):
+    sums = "Compute 12 + 35 * 7 and 4 - 18 / 3 with 250 * 16"
+    bench = spark.createDataFrame([(1, sums), (2, "12 7 1984 33 60 5 41 9 100 28"), (3, "one generic phrase of eight words is here 12 44 9 31 77 58 6 21 35 64 8 93")], "item_id long, text string")
+    docs = spark.createDataFrame([
+        (10, "Before it. " + sums + " And after."),
+        (11, "Others: Compute 99 + 15 * 8 and 5 - 28 / 6 with 150 * 11"),
+        (12, "a list 12 7 1984 33 60 5 41 9 100 28 of figures"),
+        (13, "here one generic phrase of eight words is here and no figures follow"),
+        (14, "COPY " + sums.upper()),
+    ], "doc_id long, text string")
+    got = found(docs, bench)
+    assert set(got) == {(10, 1), (14, 1), (12, 2)}
+    assert all(w == e == whole for w, e, whole in got.values())
+
+
 def test_no_python_in_plan(spark, odd):
     bench = spark.createDataFrame([(1, QUESTION)], "item_id long, text string")
     plan = D.matches(odd, bench)._jdf.queryExecution().toString()
