@@ -1,11 +1,11 @@
 """Operator 5: benchmark decontamination by template canonicalisation.
 
-Texts become token lists in which numbers, names inside a sentence and units
-after numbers are typed slots that keep their value. Windows of tokens are
+Texts become token lists in which numbers, capitalised words and units after
+numbers are typed slots that keep their value. Windows of tokens are
 hashed with the slots' types in place of their values (mostly slots: with their
-values) and hash-joined with the benchmark's windows; where values differ, the
-slots of an aligned passage must map one to one, so that a question with other
-numbers or names is found and a chance meeting of templates is not. DataFrame
+values) and hash-joined with the benchmark's windows; where values differ, each
+value of the item must have one value in the aligned passage, so that a question
+with other numbers or names is found and a chance meeting of templates is not. DataFrame
 expressions only.
 """
 
@@ -26,6 +26,8 @@ BROADCAST_ROWS = 500_000
 
 # Marks a slot; the next character is its type, the rest its value.
 MARK = "\x01"
+# Stands for the decimal points of whole numbers.
+POINT = "\x02"
 NAME, NUMBER, UNIT = MARK + "a", MARK + "n", MARK + "u"
 # Unit words recognised after a number.
 UNITS = [
@@ -35,14 +37,29 @@ UNITS = [
     "cents", "dollars", "euros", "usd", "eur", "kb", "mb", "gb", "watts", "kw", "volts", "hz",
 ]
 
+# Capitalised words that are no names.
+NO_NAMES = [
+    "The", "An", "And", "As", "At", "But", "By", "For", "From", "If", "In", "Into", "Is", "It", "Its", "Not", "Of", "On", "Or", "So", "Than", "That", "Then", "There",
+    "These", "They", "This", "Those", "To", "With", "He", "Her", "Him", "His", "She", "We", "You", "Your", "My", "Our", "Their", "Are", "Was", "Were", "Be", "Been",
+    "Can", "Could", "Do", "Does", "Did", "Has", "Have", "Had", "Will", "Would", "Should", "How", "What", "When", "Where", "Which", "Who", "Whose", "Why", "After",
+    "Before", "Each", "Every", "All", "Some", "Any", "No", "Both", "Because", "While", "During", "Since", "Until",
+]
+
 
-def tokens(text: Column) -> Column:
-    """Lower-case words of letters and digits; slots are MARK + type + value (null text: none)."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), MARK, " ")
-    t = F.regexp_replace(t, r"(?=\p{Lu}\p{Ll})(?<=[\p{Ll},;:]\s{1,8})", NAME)
-    t = F.regexp_replace(F.lower(t), rf"[^\p{{L}}\p{{N}}{MARK}]+", " ")
-    digits = F.regexp_replace(F.regexp_replace(t, r"([0-9]+)", rf" {NUMBER}$1 "), " +", " ")
-    units = F.regexp_replace(digits, rf"(?<={NUMBER}[0-9]{{1,40}} )(?=(?:{'|'.join(UNITS)})(?: |$))", UNIT)
+def tokens(text: Column, whole: bool = False) -> Column:
+    """Lower-case words of letters and digits; slots are MARK + type + value (null text: none).
+
+    A capitalised word is a name wherever it stands, NO_NAMES excepted. With
+    ``whole``, thousands separators and decimal points belong to their number.
+    """
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{MARK}{POINT}]", " ")
+    t = F.regexp_replace(t, rf"(?=\p{{Lu}}\p{{Ll}})(?<![\p{{L}}\p{{N}}]['’\-]?)(?!(?:{'|'.join(NO_NAMES)})(?![\p{{L}}\p{{N}}]))", NAME)
+    if whole:
+        t = F.regexp_replace(t, r"(?<=[0-9]),(?=[0-9]{3}(?![0-9]))", "")
+        t = F.regexp_replace(t, r"(?<=[0-9])\.(?=[0-9])", POINT)
+    t = F.regexp_replace(F.lower(t), rf"[^\p{{L}}\p{{N}}{MARK}{POINT}]+", " ")
+    digits = F.regexp_replace(F.regexp_replace(t, rf"([0-9]+(?:{POINT}[0-9]+)*)", rf" {NUMBER}$1 "), " +", " ")
+    units = F.regexp_replace(digits, rf"(?<={NUMBER}[0-9{POINT}]{{1,40}} )(?=(?:{'|'.join(UNITS)})(?: |$))", UNIT)
     t = F.when(t.rlike("[0-9]"), units).otherwise(t)
     return F.array_remove(F.split(F.trim(t), " +"), "")
 
@@ -61,21 +78,20 @@ def _marked(toks: Column, mark: str = MARK) -> Column:
     return F.size(F.filter(toks, lambda x: F.startswith(x, F.lit(mark))))
 
 
-def seeds(toks: Column, n: int, own_names: bool) -> Column:
+def seeds(toks: Column, n: int) -> Column:
     """For every run of ``n`` tokens, in order, the hashes under which it meets its like.
 
-    A run of which at most half are slots has its template's hash and, with
-    ``own_names``, the hash in which names stand for themselves, so that copies
-    in which no names can be told (all capitals, all small) are met. Of a run
-    with more slots the template says too little: its plain values are hashed.
+    A run of which at most half are slots has its template's hash, and the hash
+    in which names stand for themselves, so that copies in which other words or
+    none look like names (all capitals, all small, other punctuation) are met. Of
+    a run with more slots the template says too little: its plain values are hashed.
     """
 
     def forms(w: Column) -> Column:
         slots, names = _marked(w), _marked(w, NAME)
         hashed = lambda part: F.xxhash64(F.transform(w, part))
         found = [F.when(slots * 2 <= n, hashed(lambda x: _template(x, True))), F.when(slots * 2 > n, hashed(_plain))]
-        if own_names:
-            found.append(F.when((slots - names) * 2 <= n, hashed(lambda x: _template(x, False))))
+        found.append(F.when((slots - names) * 2 <= n, hashed(lambda x: _template(x, False))))
         return F.when(slots == 0, F.array(F.xxhash64(w))).otherwise(F.array_distinct(F.array_compact(F.array(*found))))
 
     size = F.size(toks)
@@ -89,7 +105,7 @@ def benchmark_items(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     without tokens are left out. ``light`` tells of each window whether at most
     half of it are slots, ``soft`` of each token whether such a window holds it.
     """
-    items = benchmark.select("item_id", F.xxhash64("text").alias("item_hash"), tokens(F.col("text")).alias("toks")).dropDuplicates(["item_id", "item_hash"])
+    items = benchmark.select("item_id", F.xxhash64("text").alias("item_hash"), tokens(F.col("text"), whole=True).alias("toks")).dropDuplicates(["item_id", "item_hash"])
     items = items.withColumn("size", F.size("toks")).where("size > 0").withColumn("n", F.least("size", F.lit(n)))
     last = F.col("size") - F.col("n")
     items = items.withColumn("light", F.transform(F.sequence(F.lit(0), last), lambda p: _marked(F.slice("toks", p + 1, F.col("n"))) * 2 <= F.col("n")))
@@ -109,17 +125,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame
     """(doc_id, row_hash, item_id, item_hash, n_windows, n_exact, item_windows) of every row and item that share a seed.
 
     n_windows counts the item's windows found, once each: those found word for
-    word, and those with at most half slots of passages whose slots map one to
-    one onto the item's. item_windows counts all windows of the item.
+    word, and those with at most half slots of passages in which each of the
+    item's slot values has one value. item_windows counts all windows of the item.
     """
     items = benchmark_items(benchmark, n)
-    rows = docs.select("doc_id", F.xxhash64("text").alias("row_hash"), tokens(F.col("text")).alias("toks"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("row_hash"), tokens(F.col("text"), whole=True).alias("toks"))
     length = F.least(F.col("size"), F.lit(min(SEED, n)))
     found = None
     for size in sorted(r["s"] for r in items.select(length.alias("s")).distinct().collect()) or [n]:
-        keys = items.where(length == size).select("item_id", "item_hash", "size", F.posexplode(seeds(F.col("toks"), size, True)).alias("item_pos", "hs"))
+        keys = items.where(length == size).select("item_id", "item_hash", "size", F.posexplode(seeds(F.col("toks"), size)).alias("item_pos", "hs"))
         keys = save(keys.withColumn("h", F.explode("hs")).drop("hs"), "benchmark-seeds")
-        at = rows.select("doc_id", "row_hash", F.posexplode(seeds(F.col("toks"), size, False)).alias("doc_pos", "hs")).withColumn("h", F.explode("hs"))
+        at = rows.select("doc_id", "row_hash", F.posexplode(seeds(F.col("toks"), size)).alias("doc_pos", "hs")).withColumn("h", F.explode("hs"))
         hit = at.join(_bounded(keys), "h").select("doc_id", "row_hash", "item_id", "item_hash", "size", (F.col("doc_pos") - F.col("item_pos")).alias("offset"))
         found = hit if found is None else found.unionByName(hit)
     found = save(found, "seed-hits")
@@ -127,7 +143,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame
     ids = save(found.select(F.col("doc_id").alias("d"), F.col("row_hash").alias("rh")).distinct(), "hit-rows")
     own = docs.select("doc_id", F.xxhash64("text").alias("row_hash"), "text")
     own = own.join(_bounded(ids), own["doc_id"].eqNullSafe(ids["d"]) & (own["row_hash"] == ids["rh"]), "left_semi").dropDuplicates(["doc_id", "row_hash"])
-    own = own.select(F.col("doc_id").alias("d"), F.col("row_hash").alias("rh"), tokens(F.col("text")).alias("doc_toks"))
+    own = own.select(F.col("doc_id").alias("d"), F.col("row_hash").alias("rh"), tokens(F.col("text"), whole=True).alias("doc_toks"))
     at = at.join(own, at["doc_id"].eqNullSafe(own["d"]) & (at["row_hash"] == own["rh"]))
     # The document's tokens beside the item's, null where it has none.
     beside = lambda c: F.transform(F.sequence(F.lit(0), c["size"] - 1), lambda p: F.get("doc_toks", p + c["offset"]))
@@ -158,8 +174,8 @@ def _compared(both: DataFrame) -> DataFrame:
     inside = F.array_distinct(F.flatten(F.transform(F.filter(starts, lambda p: _ones(F.col("alike"), p)), lambda p: F.sequence(p, p + F.col("n") - 1))))
     slots = F.filter(inside, lambda p: F.startswith(F.get("toks", p), F.lit(MARK)))
     both = both.withColumn("slots", F.array_distinct(F.transform(slots, lambda p: F.struct(_plain(F.get("toks", p)).alias("was"), _plain(F.get("passage", p)).alias("now")))))
-    one_to_one = (F.size("slots") == F.size(F.array_distinct(F.col("slots")["was"]))) & (F.size("slots") == F.size(F.array_distinct(F.col("slots")["now"])))
-    both = both.withColumn("alike", F.when(one_to_one, F.col("alike")).otherwise(F.col("same")))
+    one_each = F.size("slots") == F.size(F.array_distinct(F.col("slots")["was"]))
+    both = both.withColumn("alike", F.when(one_each, F.col("alike")).otherwise(F.col("same")))
     both = both.withColumn("exact", F.filter(starts, lambda p: _ones(F.col("same"), p)))
     return both.withColumn("windows", F.filter(starts, lambda p: _ones(F.col("alike"), p) & (F.get("light", p) | _ones(F.col("same"), p))))
 

@@ -85,6 +85,24 @@ def test_items_of_slots_are_found_by_their_values(spark):
     assert all(w == e == whole for w, e, whole in got.values())
 
 
+def test_names_and_numbers_of_any_place_and_shape(spark):
+    story = "Tom has 1,200 apples in a box. Tom gives 30 of them to a friend. \"Mary eats 12 of the apples\" he says. How many are left?"
+    bench = spark.createDataFrame([(1, story)], "item_id long, text string")
+    other = story.replace("Tom", "Robert").replace("Mary", "Carla")
+    docs = spark.createDataFrame([
+        (10, other),
+        (11, other.replace("1,200", "3.5")),
+        (12, story.replace(". ", " ").replace("?", "").replace('"', "")),
+        (13, story.replace("12", "7").replace("30", "7").replace("1,7", "1,2")),
+    ], "doc_id long, text string")
+    got = found(docs, bench)
+    whole = got[10, 1][2]
+    assert {k[0] for k, v in got.items() if v[0] == whole} >= {10, 11, 12, 13}
+    assert got[12, 1] == (whole, whole, whole)
+    (a,) = (r.x for r in docs.limit(1).select(D.tokens(F.lit("Paid 1,200.50 km, 3.5 and 1,2 in 2024."), whole=True).alias("x")).collect())
+    assert a == [D.NAME + "paid", D.NUMBER + f"1200{D.POINT}50", D.UNIT + "km", D.NUMBER + f"3{D.POINT}5", "and", D.NUMBER + "1", D.NUMBER + "2", "in", D.NUMBER + "2024"]
+
+
 def test_no_python_in_plan(spark, odd):
     bench = spark.createDataFrame([(1, QUESTION)], "item_id long, text string")
     plan = D.matches(odd, bench)._jdf.queryExecution().toString()
