@@ -18,9 +18,16 @@ from changeflow.llm.common import let, read, save
 
 WINDOW = 8
 # Tokens in the runs by which documents and items meet.
-SEED = 8
-# Share of an item's windows that a document must hold.
+SEED = 4
+# Share of an item's windows that a document must hold; or, for items of WINDOW tokens and more,
+# share of the tokens of one alignment; or an unbroken passage of so many tokens.
 MIN_SHARE = 0.5
+MIN_COVER = 0.75
+PASSAGE = 20
+# Tokens of an alignment count in runs of RUN, or at the item's ends; tokens put in or
+# left out may shift it by up to SHIFT.
+RUN = 3
+SHIFT = 16
 # Benchmark windows, and ids of matched rows, are broadcast only when they number fewer.
 BROADCAST_ROWS = 500_000
 
@@ -122,11 +129,13 @@ def _bounded(df: DataFrame) -> DataFrame:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """(doc_id, row_hash, item_id, item_hash, n_windows, n_exact, item_windows) of every row and item that share a seed.
+    """(doc_id, row_hash, item_id, item_hash, item_windows, item_tokens, n_windows, n_exact, covered, passage_tokens) of every row and item that share a seed.
 
     n_windows counts the item's windows found, once each: those found word for
     word, and those with at most half slots of passages in which each of the
-    item's slot values has one value. item_windows counts all windows of the item.
+    item's slot values has one value. item_windows counts all windows of the
+    item. covered counts the tokens found along the best alignment in the same
+    way, passage_tokens those of the longest unbroken passage.
     """
     items = benchmark_items(benchmark, n)
     rows = docs.select("doc_id", F.xxhash64("text").alias("row_hash"), tokens(F.col("text"), whole=True).alias("toks"))
@@ -159,8 +168,16 @@ def _ones(marks: Column, p: Column) -> Column:
     return F.substr(marks, p + 1, F.col("n")) == F.repeat(F.lit("1"), F.col("n"))
 
 
+def _runs(marks: Column) -> Column:
+    """``marks`` without inner runs of fewer than RUN ones."""
+    for k in range(RUN - 1, 0, -1):
+        marks = F.regexp_replace(marks, f"(?<=0)1{{{k}}}(?=0)", "0" * k)
+    return marks
+
+
 def _compared(both: DataFrame) -> DataFrame:
-    """Adds to each item beside a passage: the windows found (``windows``) and those found word for word (``exact``)."""
+    """Adds to each item beside a passage: windows found (``windows``) and found word for word (``exact``), tokens found
+    in runs (``cover``), and the length of the longest unbroken run (``passage_tokens``)."""
 
     def token(p: Column) -> Column:
         a, b = F.get("toks", p), F.get("passage", p)
@@ -171,31 +188,43 @@ def _compared(both: DataFrame) -> DataFrame:
     starts = F.sequence(F.lit(0), F.col("size") - F.col("n"))
     both = both.withColumn("same", F.array_join(F.transform(places, token), ""))
     both = both.withColumn("alike", F.translate("same", "2", "1")).withColumn("same", F.translate("same", "12", "01"))
-    inside = F.array_distinct(F.flatten(F.transform(F.filter(starts, lambda p: _ones(F.col("alike"), p)), lambda p: F.sequence(p, p + F.col("n") - 1))))
-    slots = F.filter(inside, lambda p: F.startswith(F.get("toks", p), F.lit(MARK)))
+    both = both.withColumn("run", _runs(F.col("alike")))
+    slots = F.filter(places, lambda p: (F.substr("run", p + 1, F.lit(1)) == "1") & F.startswith(F.get("toks", p), F.lit(MARK)))
     both = both.withColumn("slots", F.array_distinct(F.transform(slots, lambda p: F.struct(_plain(F.get("toks", p)).alias("was"), _plain(F.get("passage", p)).alias("now")))))
     one_each = F.size("slots") == F.size(F.array_distinct(F.col("slots")["was"]))
     both = both.withColumn("alike", F.when(one_each, F.col("alike")).otherwise(F.col("same")))
     both = both.withColumn("exact", F.filter(starts, lambda p: _ones(F.col("same"), p)))
-    return both.withColumn("windows", F.filter(starts, lambda p: _ones(F.col("alike"), p) & (F.get("light", p) | _ones(F.col("same"), p))))
+    both = both.withColumn("windows", F.filter(starts, lambda p: _ones(F.col("alike"), p) & (F.get("light", p) | _ones(F.col("same"), p))))
+    cover = _runs(F.col("alike"))
+    both = both.withColumn("cover", F.filter(places, lambda p: F.substr(cover, p + 1, F.lit(1)) == "1"))
+    return both.withColumn("passage_tokens", F.array_max(F.transform(F.split("alike", "0+"), F.length)))
 
 
 def _counted(both: DataFrame) -> DataFrame:
-    both = both.withColumn("item_windows", (F.col("size") - F.col("n") + 1).cast("long"))
-    count = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c)))).cast("long")
-    out = both.groupBy("doc_id", "row_hash", "item_id", "item_hash", "item_windows").agg(count("windows").alias("n_windows"), count("exact").alias("n_exact"))
-    return out.where("n_windows > 0").select("doc_id", "row_hash", "item_id", "item_hash", "n_windows", "n_exact", "item_windows")
+    """One row per document row and item. An alignment is what lies in one span of 2 * SHIFT offsets."""
+    group = ["doc_id", "row_hash", "item_id", "item_hash", "item_windows", "item_tokens"]
+    both = both.withColumn("item_windows", (F.col("size") - F.col("n") + 1).cast("long")).withColumn("item_tokens", F.col("size"))
+    span = F.floor(F.col("offset") / SHIFT)
+    both = both.withColumn("span", F.explode(F.array(span, span - 1)))
+    all_of = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
+    spans = both.groupBy(*group, "span").agg(all_of("windows"), all_of("exact"), F.size(all_of("cover")).alias("covered"), F.max("passage_tokens").alias("passage_tokens"))
+    count = lambda c, to: F.size(all_of(c)).cast("long").alias(to)
+    return spans.groupBy(*group).agg(count("windows", "n_windows"), count("exact", "n_exact"), F.max("covered").alias("covered"), F.max("passage_tokens").alias("passage_tokens"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, min_share: float = MIN_SHARE) -> DataFrame:
-    """The rows of ``matches`` that hold at least ``min_share`` of the item's windows.
-
-    Null and empty texts hold nothing. Rows are told apart by doc_id (null is an
-    id like any other) and text; exact repeated rows give one row. Items that
-    repeat an item_id with another text are items of their own. Only doc_id,
+    """The rows of ``matches`` that hold the item, whole or in part.
+
+    That is at least ``min_share`` of the item's windows; or, of an item of ``n``
+    tokens or more, MIN_COVER of its tokens along one alignment, so that single
+    words may be changed, put in or left out; or an unbroken passage of PASSAGE
+    tokens. Null and empty texts hold nothing. Rows are told apart by doc_id (null
+    is an id like any other) and text; exact repeated rows give one row. Items
+    that repeat an item_id with another text are items of their own. Only doc_id,
     text and item_id, text are read. Empty tables on either side give no rows.
     """
-    return matches(docs, benchmark, n).where(F.col("n_windows") >= F.col("item_windows") * min_share)
+    near = (F.col("item_tokens") >= n) & (F.col("covered") >= F.col("item_tokens") * MIN_COVER)
+    return matches(docs, benchmark, n).where((F.col("n_windows") >= F.col("item_windows") * min_share) | near | (F.col("passage_tokens") >= PASSAGE))
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, min_share: float = MIN_SHARE) -> DataFrame:

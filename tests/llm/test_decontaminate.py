@@ -103,6 +103,19 @@ def test_names_and_numbers_of_any_place_and_shape(spark):
     assert a == [D.NAME + "paid", D.NUMBER + f"1200{D.POINT}50", D.UNIT + "km", D.NUMBER + f"3{D.POINT}5", "and", D.NUMBER + "1", D.NUMBER + "2", "in", D.NUMBER + "2024"]
 
 
+def test_near_copies_and_part_passages(spark):
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(120)]
+    short, middle, long = words[:15], words[20:58], words[60:]
+    bench = spark.createDataFrame([(1, " ".join(short)), (2, " ".join(middle)), (3, " ".join(long)), (4, " ".join(words[:8]))], "item_id long, text string")
+    text = lambda w, edits=(): " ".join(["before", "it"] + [f"other{chr(97 + i)}" if i in edits else x for i, x in enumerate(w)] + ["after", "it"])
+    docs = spark.createDataFrame([
+        (10, text(short, {7})), (11, text(middle, {8, 19})), (12, text(middle, {4, 9, 14, 19, 24, 29})),
+        (13, text(middle[:12] + ["put", "in"] + middle[12:20] + middle[21:])), (14, text(long[:29])), (15, text(words[:8], {4})),
+        (20, text(middle[:14])), (21, text(long[:15] + ["x"] * 20 + long[40:55])), (22, text(middle, set(range(0, 38, 2)))), (23, text(words[:3])),
+    ], "doc_id long, text string")
+    assert set(found(docs, bench)) == {(10, 1), (10, 4), (11, 2), (12, 2), (13, 2), (14, 3), (15, 4)}
+
+
 def test_no_python_in_plan(spark, odd):
     bench = spark.createDataFrame([(1, QUESTION)], "item_id long, text string")
     plan = D.matches(odd, bench)._jdf.queryExecution().toString()
