@@ -174,19 +174,19 @@ def _tokens(n: int):
 
 
 def _verify(n: int, percent: int):
-    """Rows (a, b, a_text, b_text), equal a side by side: the pairs that reach the threshold."""
+    """Rows (a, b, a_text, b_text), equal a and a_text side by side: the pairs that reach the threshold."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for frame in frames:
-            a, b = frame["a"].tolist(), frame["b"].tolist()
+            a, b, texts = frame["a"].tolist(), frame["b"].tolist(), frame["a_text"].tolist()
             out: list[tuple[int, int]] = []
             start = 0
             while start < len(a):
                 end = start + 1
-                while end < len(a) and a[end] == a[start] and end - start < INDEX_ROWS:
+                while end < len(a) and a[end] == a[start] and texts[end] == texts[start] and end - start < INDEX_ROWS:
                     end += 1
-                query = shingles(frame["a_text"].iloc[start], n, hashes)
+                query = shingles(texts[start], n, hashes)
                 members = [shingles(x, n, hashes) for x in frame["b_text"].iloc[start:end]]
                 out += [(a[start], b[start + i]) for i in search(query, members, percent)]
                 start = end
@@ -220,7 +220,8 @@ def _links(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame
     texts = save(_texts(docs, ids).dropDuplicates(["id", "text"]), "pair-texts")
     rows = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("b_text")), "b")
     rows = rows.join(texts.select(F.col("id").alias("a"), F.col("text").alias("a_text")), "a")
-    rows = rows.select("a", "b", "a_text", "b_text").sortWithinPartitions("a")
+    # A doc_id that repeats with other texts has a run for each of them.
+    rows = rows.select("a", "b", "a_text", "b_text", F.xxhash64("a_text").alias("a_hash")).sortWithinPartitions("a", "a_hash").drop("a_hash")
     return rows.mapInPandas(_verify(n, percent), "a long, b long")
 
 

@@ -110,6 +110,15 @@ def test_rows_of_one_id_are_one_document(spark):
     assert {r.component_id for r in J.jaccard_components(df).collect()} == {1}
 
 
+def test_every_text_of_an_id_links(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcdefgh"]
+    for k in range(4):
+        # Whichever of its two texts comes first, document 5 links by both.
+        one, two = texts[2 * k], texts[2 * k + 1]
+        df = spark.createDataFrame([(5, one), (5, two), (9, two + " end"), (8, one + " end")], "doc_id long, text string")
+        assert {r.component_id for r in J.jaccard_components(df).collect()} == {5}
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 105), (105, 103), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
