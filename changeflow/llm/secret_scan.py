@@ -45,7 +45,9 @@ FORMATS = {
     "assigned": r"(?:(?<=[:=])|(?<=[:=]\s))[\"']?[A-Za-z0-9+/_\-.=!@#$%^&*]{8,}[\"']?",
     "run": r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{20,}={0,2}(?![A-Za-z0-9+/_\-])",
 }
-PATTERN = re.compile("|".join(f"(?P<{k}>{v})" for k, v in FORMATS.items()))
+PATTERNS = {k: re.compile(v) for k, v in FORMATS.items()}
+# Formats of no known issuer, and the fewest characters of each.
+GENERIC = {"assigned": 8, "run": 20}
 GOOD_WORDS = ["key", "apikey", "secret", "token", "password", "passwd", "pwd", "auth", "bearer", "credential", "credentials", "private", "access", "api", "client", "login"]
 BAD_WORDS = ["example", "sample", "test", "dummy", "placeholder", "sha1", "sha256", "sha", "md5", "hash", "checksum", "digest", "commit", "revision", "uuid", "guid", "id", "integrity", "etag", "version", "changeme", "your", "xxx", "fake", "image", "data", "base64"]
 PATH_WORDS = ["test", "tests", "example", "examples", "sample", "fixture", "fixtures", "doc", "docs", "mock", "lock", "env", "config", "conf", "settings", "secrets", "prod"]
@@ -53,19 +55,52 @@ WORD = re.compile(r"[A-Za-z0-9]+")
 LETTERS = re.compile(r"[A-Za-z]+")
 
 
+def _trimmed(text: str, start: int, end: int) -> tuple[int, int]:
+    while end - start > 1 and text[start] in "\"'":
+        start += 1
+    while end - start > 1 and text[end - 1] in "\"'.,;!#$%&*":
+        end -= 1
+    return start, end
+
+
+def _proposed(text: str, start: int, end: int) -> bool:
+    """Whether an assigned value or run is a candidate: short bare words of letters only where a credential's name comes before."""
+    if end - start < 8 or not text[start:end].isalpha() or end - start >= 20 or text[start - 1 : start] in ("'", '"'):
+        return end - start >= 8
+    before = WORD.findall(text[max(0, start - NEAR) : start].lower())
+    return bool(before) and any(w in before[-1] for w in GOOD_WORDS)
+
+
 def candidates(text: str | None) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of each candidate; quotes around a value are left out, and values of letters only too."""
-    out = []
-    for m in PATTERN.finditer(text or ""):
-        start, end = m.span()
-        while end - start > 1 and text[start] in "\"'":
-            start += 1
-        while end - start > 1 and text[end - 1] in "\"'.,;!#$%&*":
-            end -= 1
-        value = text[start:end]
-        if m.lastgroup not in ("assigned", "run") or (len(value) >= 8 and not value.isalpha()):
-            out.append((start, end, m.lastgroup))
-    return out
+    """(start, end, kind) of each candidate, without the quotes around it.
+
+    Each format is searched on its own. Where formats overlap, known ones come
+    before assigned values and these before runs, and of the known ones the
+    first and longest; what a run or value has left beside them is looked at alone.
+    """
+    text = text or ""
+    known = sorted(((*_trimmed(text, *m.span()), k) for k, x in PATTERNS.items() if k not in GENERIC for m in x.finditer(text)), key=lambda c: (c[0], -c[1]))
+    out: list[tuple[int, int, str]] = []
+    for c in known:
+        if not out or c[0] >= out[-1][1]:
+            out.append(c)
+    for kind, least in GENERIC.items():
+        taken, at, more = sorted(out), 0, []
+        for m in PATTERNS[kind].finditer(text):
+            start, end = m.span()
+            while at < len(taken) and taken[at][1] <= start:
+                at += 1
+            k = at
+            while start < end:
+                stop = min(end, taken[k][0]) if k < len(taken) else end
+                if stop - start >= least:
+                    piece = _trimmed(text, start, stop)
+                    if _proposed(text, *piece):
+                        more.append((*piece, kind))
+                start = max(stop, taken[k][1]) if k < len(taken) else end
+                k += 1
+        out += more
+    return sorted(out)
 
 
 def coverage(value: str, dictionary: frozenset[str]) -> float:
@@ -84,10 +119,10 @@ def coverage(value: str, dictionary: frozenset[str]) -> float:
 def describe(text: str, start: int, end: int, kind: str, path: str, dictionary: frozenset[str]) -> list[float]:
     """The forest's view of one candidate."""
     value = text[start:end]
-    classes = ["u" if c.isupper() else "l" if c.islower() else "d" if c.isdigit() else "o" for c in value[:4096]]
+    classes = ["u" if c.isupper() else "l" if c.islower() else "d" if c.isdigit() else "o" for c in value]
     n = len(classes)
     pairs = [a + b for a, b in zip(classes, classes[1:])]
-    counts = np.unique(list(value[:4096]), return_counts=True)[1] / n
+    counts = np.unique(list(value), return_counts=True)[1] / n
     before = WORD.findall(text[max(0, start - NEAR) : start].lower())
     after = WORD.findall(text[end : end + NEAR].lower())
     near = set(before[-6:] + after[:3])
@@ -99,7 +134,7 @@ def describe(text: str, start: int, end: int, kind: str, path: str, dictionary:
         sum(a != b for a, b in zip(classes, classes[1:])) / n,
         *[pairs.count(p) / n for p in ("ld", "dl", "lu", "ul", "ll", "dd", "do", "od")],
         float(all(c in string.hexdigits for c in value)), float(value.count("-")) / n,
-        coverage(value[:4096], dictionary),
+        coverage(value, dictionary),
         float(len(near & set(GOOD_WORDS))), float(len(near & set(BAD_WORDS))),
         float(bool(before) and before[-1] in GOOD_WORDS), float(bool(before) and before[-1] in BAD_WORDS),
         float("=" in head or ":" in head), float(head[-1:] in ("'", '"')),
@@ -182,6 +217,7 @@ def composed_findings(dictionary: list[str], n: int = COMPOSED, seed: int = 8) -
                 lambda: "AKIA" + chars(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + chars(mixed, 36), lambda: "xoxb-" + chars(string.digits, 11) + "-" + chars(mixed, 24),
                 lambda: "sk_live_" + chars(mixed, 24), lambda: chars(hex_digits, pick([32, 40, 64])), lambda: chars(hex_digits.upper(), pick([32, 40])), lambda: chars(mixed, size(20, 48)),
                 lambda: chars(mixed + "+/", pick([24, 44, 88])) + "=", lambda: chars(mixed + "!@#%", size(10, 20)), lambda: "AIza" + chars(mixed, 35), lambda: "eyJ" + chars(mixed, 30) + "." + chars(mixed, 40) + "." + chars(mixed, 43),
+                lambda: chars(string.ascii_letters, size(12, 40)), lambda: chars(string.ascii_lowercase, size(12, 30)),
             ])()
             lead = pick([f'{name} = "', f"{name}: ", f"{name}='", f"{name}=", f"export {name}=", "Authorization: Bearer "])
         else:
@@ -191,6 +227,8 @@ def composed_findings(dictionary: list[str], n: int = COMPOSED, seed: int = 8) -
                 lambda: (f'{name}: "', chars(hex_digits, pick([32, 40, 64]))), lambda: (f"{name} ", chars(hex_digits, pick([32, 40, 64]))), lambda: (f"{name}=", "-".join(chars(hex_digits, k) for k in (8, 4, 4, 4, 12))),
                 lambda: (pick(['api_key = "', "token: ", "password="]), pick(["xxxxxxxxxxxxxxxxxxxx", "your-api-key-here-0", "changeme-changeme-1", "example_key_1234567890", "<your_token_here_1>", "0000000000000000000000", "${SECRET_TOKEN_1}", "test_token_placeholder_1"])),
                 lambda: ("", "-".join(pick(vocabulary) for _ in range(size(3, 7))) + pick(["", "-2024", "_v2"])), lambda: ("= ", "/".join(pick(vocabulary) for _ in range(size(3, 6))) + "/" + chars(string.digits, 2)),
+                lambda: (pick(['title = "', 'name: "', 'label = "', "class: ", "type = ", 'heading: "']), "".join(pick(vocabulary) for _ in range(size(2, 5)))), lambda: ("", "".join(pick(vocabulary) for _ in range(size(4, 8)))),
+                lambda: (pick(["password: ", "token = ", 'secret = "']), pick(["required", "undefined", "placeholder", "changeme", "yourpassword"])),
                 lambda: ("data:image/png;base64,", chars(mixed + "+/", size(40, 120))), lambda: ("", chars(string.digits, size(20, 30))), lambda: ("version: ", ".".join(chars(string.digits, 2) for _ in range(4))),
                 lambda: ("= ", "".join(pick(vocabulary).capitalize() for _ in range(size(2, 5))) + chars(string.digits, 1)), lambda: ("", "_".join(pick(vocabulary).upper() for _ in range(size(3, 6))) + "_1"),
             ])()
