@@ -72,6 +72,19 @@ def test_stages(spark, tables):
         ((i, len(library.encode(t, add_special_tokens=False).ids), hashlib.sha256(t.encode()).hexdigest()) for i, t in got3), key=str)
 
 
+def test_near_copies_reach_the_third_stage(spark, tables):
+    """One-line copies with one changed word: line dedup keeps both, the third stage one of them."""
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(80)) for _ in range(12)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t.replace(t.split()[40], "changed")) for i, t in enumerate(texts[:6])]
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = save(P.STAGES[1][1](spark, docs, tables[0]), "near-lines")
+    known = {r.doc_id: r.text for r in docs.collect()}
+    keep = {i for i, (_, c) in components(sorted(known.items()), 5, 80).items() if c == i}
+    assert len(keep) < len(known) and keep == set(range(12))
+    assert {r.doc_id for r in P.STAGES[2][1](spark, docs, tables[0]).collect()} == keep
+
+
 def test_run_is_the_stages_in_order(spark, tables):
     docs = spark.read.parquet(f"{tables[0]}/documents.parquet")
     for name, stage in P.STAGES:
