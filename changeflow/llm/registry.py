@@ -14,6 +14,7 @@ from changeflow.llm.merkle_manifest import OP11_SQL, op11_merkle_manifest
 from changeflow.llm.quality_gam import op8_quality_gam
 from changeflow.llm.quality_rules import op9_quality_rules
 from changeflow.llm.secret_scan import op2_secret_scan
+from changeflow.llm.toxicity import op12_toxicity
 
 QUERIES = {
     "op1_html_extract": op1_html_extract,
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_line_dedup": op10_line_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_toxicity": op12_toxicity,
     "op13_importance_resampling": op13_importance_resampling,
 }
 
