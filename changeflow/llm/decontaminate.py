@@ -1,20 +1,26 @@
 """Operator 5: benchmark decontamination by template canonicalisation.
 
 Texts become token lists in which numbers, capitalised words and units after
-numbers are typed slots that keep their value. Windows of tokens are
+numbers are typed slots that keep their value; operators beside numbers are
+tokens, digits inside a word are part of it. Windows of tokens are
 hashed with the slots' types in place of their values (mostly slots: with their
 values) and hash-joined with the benchmark's windows; where values differ, each
-value of the item must have one value in the aligned passage, so that a question
+value of the item must have one value in the aligned passage, and enough
+different tokens must agree word for word, so that a question
 with other numbers or names is found and a chance meeting of templates is not. DataFrame
 expressions only.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changeflow.llm.common import let, read, save
+from changeflow.session import broadcast_if_bounded
 
 WINDOW = 8
 # Tokens in the runs by which documents and items meet.
@@ -28,13 +34,18 @@ PASSAGE = 20
 # left out may shift it by up to SHIFT.
 RUN = 3
 SHIFT = 16
-# Benchmark windows, and ids of matched rows, are broadcast only when they number fewer.
-BROADCAST_ROWS = 500_000
+# Different tokens that must agree word for word where slots differ.
+VARIETY = 3
+# An alignment is compared if it has at least one shared run for so many tokens of its item.
+TOKENS_A_RUN = 10
 
 # Marks a slot; the next character is its type, the rest its value.
 MARK = "\x01"
 # Stands for the decimal points of whole numbers.
 POINT = "\x02"
+# Stands before an operator.
+SIGN = "\x03"
+OPERATORS = "+*=/×÷"
 NAME, NUMBER, UNIT = MARK + "a", MARK + "n", MARK + "u"
 # Unit words recognised after a number.
 UNITS = [
@@ -56,18 +67,23 @@ NO_NAMES = [
 def tokens(text: Column, whole: bool = False) -> Column:
     """Lower-case words of letters and digits; slots are MARK + type + value (null text: none).
 
-    A capitalised word is a name wherever it stands, NO_NAMES excepted. With
+    Digits after a letter belong to its word. One operator beside a number is a
+    token, a hyphen only between spaces. A capitalised word is a name wherever it stands, NO_NAMES excepted. With
     ``whole``, thousands separators and decimal points belong to their number.
     """
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{MARK}{POINT}]", " ")
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{MARK}{POINT}{SIGN}]", " ")
     t = F.regexp_replace(t, rf"(?=\p{{Lu}}\p{{Ll}})(?<![\p{{L}}\p{{N}}]['’\-]?)(?!(?:{'|'.join(NO_NAMES)})(?![\p{{L}}\p{{N}}]))", NAME)
     if whole:
         t = F.regexp_replace(t, r"(?<=[0-9]),(?=[0-9]{3}(?![0-9]))", "")
         t = F.regexp_replace(t, r"(?<=[0-9])\.(?=[0-9])", POINT)
-    t = F.regexp_replace(F.lower(t), rf"[^\p{{L}}\p{{N}}{MARK}{POINT}]+", " ")
-    digits = F.regexp_replace(F.regexp_replace(t, rf"([0-9]+(?:{POINT}[0-9]+)*)", rf" {NUMBER}$1 "), " +", " ")
+    t = F.lower(t)
+    plain = F.regexp_replace(t, rf"[^\p{{L}}\p{{N}}{MARK}{POINT}]+", " ")
+    one = rf"(?<![{OPERATORS}])([{OPERATORS}])(?![{OPERATORS}])"
+    signs = F.regexp_replace(t, rf"(?<=[0-9] ?){one}|{one}(?= ?[0-9])|(?<=[0-9] )(-)(?= )|(?<= )(-)(?= [0-9])", f" {SIGN}$1$2$3$4 ")
+    signs = F.regexp_replace(signs, rf"(?:(?<!{SIGN})[^\p{{L}}\p{{N}}{MARK}{POINT}{SIGN}])+", " ")
+    digits = F.regexp_replace(F.regexp_replace(signs, rf"(?<![\p{{L}}0-9{POINT}])([0-9]+(?:{POINT}[0-9]+)*)", rf" {NUMBER}$1 "), " +", " ")
     units = F.regexp_replace(digits, rf"(?<={NUMBER}[0-9{POINT}]{{1,40}} )(?=(?:{'|'.join(UNITS)})(?: |$))", UNIT)
-    t = F.when(t.rlike("[0-9]"), units).otherwise(t)
+    t = F.when(t.rlike("[0-9]"), units).otherwise(plain)
     return F.array_remove(F.split(F.trim(t), " +"), "")
 
 
@@ -76,17 +92,14 @@ def _plain(token: Column) -> Column:
     return F.when(F.startswith(token, F.lit(MARK)), F.substr(token, F.lit(3))).otherwise(token)
 
 
-def _template(token: Column, names: bool) -> Column:
-    typed = F.when(F.startswith(token, F.lit(MARK)), F.substring(token, 1, 2)).otherwise(token)
-    return typed if names else F.when(F.startswith(token, F.lit(NAME)), _plain(token)).otherwise(typed)
-
+def _codes(toks: Column) -> Column:
+    """(v, k) of every token: the hash of its value, and 0 for a plain token, 1 for a name, 2 for a number, 3 for a unit."""
+    kind = lambda x: F.when(F.startswith(x, F.lit(NAME)), 1).when(F.startswith(x, F.lit(NUMBER)), 2).when(F.startswith(x, F.lit(MARK)), 3).otherwise(0)
+    return F.transform(toks, lambda x: F.struct(F.xxhash64(_plain(x)).alias("v"), kind(x).cast("long").alias("k")))
 
-def _marked(toks: Column, mark: str = MARK) -> Column:
-    return F.size(F.filter(toks, lambda x: F.startswith(x, F.lit(mark))))
 
-
-def seeds(toks: Column, n: int) -> Column:
-    """For every run of ``n`` tokens, in order, the hashes under which it meets its like.
+def seeds(codes: Column, n: int) -> Column:
+    """(pos, hs) of every run of ``n`` tokens, in order: the hashes under which it meets its like.
 
     A run of which at most half are slots has its template's hash, and the hash
     in which names stand for themselves, so that copies in which other words or
@@ -94,80 +107,69 @@ def seeds(toks: Column, n: int) -> Column:
     a run with more slots the template says too little: its plain values are hashed.
     """
 
-    def forms(w: Column) -> Column:
-        slots, names = _marked(w), _marked(w, NAME)
-        hashed = lambda part: F.xxhash64(F.transform(w, part))
-        found = [F.when(slots * 2 <= n, hashed(lambda x: _template(x, True))), F.when(slots * 2 > n, hashed(_plain))]
-        found.append(F.when((slots - names) * 2 <= n, hashed(lambda x: _template(x, False))))
-        return F.when(slots == 0, F.array(F.xxhash64(w))).otherwise(F.array_distinct(F.array_compact(F.array(*found))))
+    def forms(p: Column) -> Column:
+        run = [F.get(codes, p + k) for k in range(n)]
+        total = lambda cols: functools.reduce(operator.add, [c.cast("int") for c in cols])
+        slots, values = total(c["k"] > 0 for c in run), total(c["k"] > 1 for c in run)
+        hashed = lambda least: F.xxhash64(F.lit(n), *[F.when(c["k"] > least, c["k"]).otherwise(c["v"]) for c in run])
+        found = [F.when(slots * 2 <= n, hashed(0)), F.when(slots * 2 > n, hashed(3)), F.when(values * 2 <= n, hashed(1))]
+        return F.struct(p.alias("pos"), F.when(slots == 0, F.array(hashed(3))).otherwise(F.array_distinct(F.array_compact(F.array(*found)))).alias("hs"))
 
-    size = F.size(toks)
-    return F.when(size >= n, F.transform(F.sequence(F.lit(0), F.greatest(size - n, F.lit(0))), lambda p: let(F.slice(toks, p + 1, n), forms)))
+    none = F.array().cast("array<struct<pos:int,hs:array<bigint>>>")
+    return F.when(F.size(codes) >= n, F.transform(F.sequence(F.lit(0), F.greatest(F.size(codes) - n, F.lit(0))), forms)).otherwise(none)
 
 
 def benchmark_items(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """(item_id, item_hash, toks, size, n, light, soft), one row per item; ``n`` is the item's window length.
+    """(item_id, item_hash, toks, size, n), one row per item; ``n`` is the item's window length.
 
     An item of fewer than ``n`` tokens is one window of its own length; items
-    without tokens are left out. ``light`` tells of each window whether at most
-    half of it are slots, ``soft`` of each token whether such a window holds it.
+    without tokens are left out.
     """
     items = benchmark.select("item_id", F.xxhash64("text").alias("item_hash"), tokens(F.col("text"), whole=True).alias("toks")).dropDuplicates(["item_id", "item_hash"])
-    items = items.withColumn("size", F.size("toks")).where("size > 0").withColumn("n", F.least("size", F.lit(n)))
-    last = F.col("size") - F.col("n")
-    items = items.withColumn("light", F.transform(F.sequence(F.lit(0), last), lambda p: _marked(F.slice("toks", p + 1, F.col("n"))) * 2 <= F.col("n")))
-
-    def held(p: Column) -> Column:
-        first = F.greatest(p - F.col("n") + 1, F.lit(0))
-        return F.exists(F.slice("light", first + 1, F.least(p, last) - first + 1), lambda x: x)
+    return save(items.withColumn("size", F.size("toks")).where("size > 0").withColumn("n", F.least("size", F.lit(n))), "benchmark")
 
-    return save(items.withColumn("soft", F.transform(F.sequence(F.lit(0), F.col("size") - 1), held)), "benchmark")
 
-
-def _bounded(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _seeded(df: DataFrame, sizes: list[int], *cols: str) -> DataFrame:
+    """``cols``, pos and h of every run of each of ``sizes`` of the rows' ``toks``; the tokens are coded once."""
+    runs = let(_codes(F.col("toks")), lambda codes: F.concat(*[seeds(codes, n) for n in sizes]))
+    return df.select(*cols, F.explode(runs).alias("run")).select(*cols, F.col("run.pos").alias("pos"), F.explode("run.hs").alias("h"))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """(doc_id, row_hash, item_id, item_hash, item_windows, item_tokens, n_windows, n_exact, covered, passage_tokens) of every row and item that share a seed.
+    """(doc_id, row_hash, item_id, item_hash, item_windows, item_tokens, n_windows, n_exact, covered, passage_tokens) of every row and item that share enough runs.
 
-    n_windows counts the item's windows found, once each: those found word for
-    word, and those with at most half slots of passages in which each of the
-    item's slot values has one value. item_windows counts all windows of the
+    That is one run of SEED tokens, and one more for every TOKENS_A_RUN tokens of
+    the item beyond the first. n_windows counts the item's windows found, once
+    each: those found word for word, and those of passages in which each of the
+    item's slot values has one value, at most half of the window's values differ
+    and VARIETY different tokens agree. item_windows counts all windows of the
     item. covered counts the tokens found along the best alignment in the same
     way, passage_tokens those of the longest unbroken passage.
     """
     items = benchmark_items(benchmark, n)
-    rows = docs.select("doc_id", F.xxhash64("text").alias("row_hash"), tokens(F.col("text"), whole=True).alias("toks"))
     length = F.least(F.col("size"), F.lit(min(SEED, n)))
-    found = None
-    for size in sorted(r["s"] for r in items.select(length.alias("s")).distinct().collect()) or [n]:
-        keys = items.where(length == size).select("item_id", "item_hash", "size", F.posexplode(seeds(F.col("toks"), size)).alias("item_pos", "hs"))
-        keys = save(keys.withColumn("h", F.explode("hs")).drop("hs"), "benchmark-seeds")
-        at = rows.select("doc_id", "row_hash", F.posexplode(seeds(F.col("toks"), size)).alias("doc_pos", "hs")).withColumn("h", F.explode("hs"))
-        hit = at.join(_bounded(keys), "h").select("doc_id", "row_hash", "item_id", "item_hash", "size", (F.col("doc_pos") - F.col("item_pos")).alias("offset"))
-        found = hit if found is None else found.unionByName(hit)
-    found = save(found, "seed-hits")
-    at = found.groupBy("doc_id", "row_hash").agg(F.collect_set(F.struct("item_id", "item_hash", "size", "offset")).alias("at"))
+    sizes = sorted(r["s"] for r in items.select(length.alias("s")).distinct().collect()) or [n]
+    keys = [_seeded(items.where(length == size), [size], "item_id", "item_hash", "size") for size in sizes]
+    keys = save(functools.reduce(DataFrame.unionByName, keys).withColumnRenamed("pos", "item_pos"), "benchmark-seeds")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("row_hash"), tokens(F.col("text"), whole=True).alias("toks"))
+    hit = _seeded(rows, sizes, "doc_id", "row_hash").join(broadcast_if_bounded(keys), "h")
+    pair = ["doc_id", "row_hash", "item_id", "item_hash", "size"]
+    found = hit.groupBy(*pair).agg(F.collect_set(F.col("pos") - F.col("item_pos")).alias("offsets"), F.size(F.collect_set("item_pos")).alias("shared"))
+    found = save(found.where(F.col("shared") >= F.greatest(F.lit(1), F.floor(F.col("size") / TOKENS_A_RUN))).drop("shared"), "seed-hits")
     ids = save(found.select(F.col("doc_id").alias("d"), F.col("row_hash").alias("rh")).distinct(), "hit-rows")
     own = docs.select("doc_id", F.xxhash64("text").alias("row_hash"), "text")
-    own = own.join(_bounded(ids), own["doc_id"].eqNullSafe(ids["d"]) & (own["row_hash"] == ids["rh"]), "left_semi").dropDuplicates(["doc_id", "row_hash"])
+    own = own.join(broadcast_if_bounded(ids), own["doc_id"].eqNullSafe(ids["d"]) & (own["row_hash"] == ids["rh"]), "left_semi").dropDuplicates(["doc_id", "row_hash"])
     own = own.select(F.col("doc_id").alias("d"), F.col("row_hash").alias("rh"), tokens(F.col("text"), whole=True).alias("doc_toks"))
-    at = at.join(own, at["doc_id"].eqNullSafe(own["d"]) & (at["row_hash"] == own["rh"]))
+    at = found.join(own, found["doc_id"].eqNullSafe(own["d"]) & (found["row_hash"] == own["rh"]))
     # The document's tokens beside the item's, null where it has none.
-    beside = lambda c: F.transform(F.sequence(F.lit(0), c["size"] - 1), lambda p: F.get("doc_toks", p + c["offset"]))
-    at = at.select("doc_id", "row_hash", F.explode(F.transform("at", lambda c: F.struct(c["item_id"].alias("item_id"), c["item_hash"].alias("item_hash"), c["offset"].alias("offset"), beside(c).alias("passage")))).alias("c"))
+    beside = lambda offset: F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda p: F.get("doc_toks", p + offset))
+    each = F.transform("offsets", lambda o: F.struct(o.alias("offset"), beside(o).alias("passage")))
+    at = at.select("doc_id", "row_hash", "item_id", "item_hash", F.explode(each).alias("c")).select("doc_id", "row_hash", "item_id", "item_hash", "c.*")
     items = items.withColumnsRenamed({"item_id": "i", "item_hash": "ih"})
-    at = at.select("doc_id", "row_hash", "c.*")
-    both = at.join(_bounded(items), at["item_id"].eqNullSafe(items["i"]) & (at["item_hash"] == items["ih"]))
+    both = at.join(broadcast_if_bounded(items), at["item_id"].eqNullSafe(items["i"]) & (at["item_hash"] == items["ih"]))
     return _counted(_compared(both))
 
 
-def _ones(marks: Column, p: Column) -> Column:
-    """Whether the window at ``p`` is all ones."""
-    return F.substr(marks, p + 1, F.col("n")) == F.repeat(F.lit("1"), F.col("n"))
-
-
 def _runs(marks: Column) -> Column:
     """``marks`` without inner runs of fewer than RUN ones."""
     for k in range(RUN - 1, 0, -1):
@@ -175,29 +177,43 @@ def _runs(marks: Column) -> Column:
     return marks
 
 
+def _agreeing(marks: Column, at: Column) -> Column:
+    """Different tokens of the item that agree word for word at the places ``at``."""
+    return F.size(F.array_distinct(F.transform(F.filter(at, lambda p: F.substr(marks, p + 1, F.lit(1)) == "2"), lambda p: F.get("toks", p))))
+
+
+def _at_most_half_differ(marks: Column) -> Column:
+    return F.length(F.replace(marks, F.lit("1"))) * 2 >= F.length(marks)
+
+
 def _compared(both: DataFrame) -> DataFrame:
     """Adds to each item beside a passage: windows found (``windows``) and found word for word (``exact``), tokens found
     in runs (``cover``), and the length of the longest unbroken run (``passage_tokens``)."""
 
     def token(p: Column) -> Column:
         a, b = F.get("toks", p), F.get("passage", p)
-        typed = F.startswith(a, F.lit(MARK)) & (F.substring(a, 1, 2) == F.substring(b, 1, 2)) & F.get("soft", p)
+        typed = F.startswith(a, F.lit(MARK)) & (F.substring(a, 1, 2) == F.substring(b, 1, 2))
         return F.when(b.isNull(), "0").when(_plain(a) == _plain(b), "2").when(typed, "1").otherwise("0")
 
     places = F.sequence(F.lit(0), F.col("size") - 1)
     starts = F.sequence(F.lit(0), F.col("size") - F.col("n"))
-    both = both.withColumn("same", F.array_join(F.transform(places, token), ""))
-    both = both.withColumn("alike", F.translate("same", "2", "1")).withColumn("same", F.translate("same", "12", "01"))
-    both = both.withColumn("run", _runs(F.col("alike")))
-    slots = F.filter(places, lambda p: (F.substr("run", p + 1, F.lit(1)) == "1") & F.startswith(F.get("toks", p), F.lit(MARK)))
+    part = lambda p: F.substr("marks", p + 1, F.col("n"))
+    held = lambda marks: F.filter(places, lambda p: F.substr(marks, p + 1, F.lit(1)) == "1")
+    both = both.withColumn("marks", F.array_join(F.transform(places, token), ""))
+    both = both.withColumn("run", _runs(F.translate("marks", "2", "1")))
+    slots = F.filter(held(F.col("run")), lambda p: F.startswith(F.get("toks", p), F.lit(MARK)))
     both = both.withColumn("slots", F.array_distinct(F.transform(slots, lambda p: F.struct(_plain(F.get("toks", p)).alias("was"), _plain(F.get("passage", p)).alias("now")))))
     one_each = F.size("slots") == F.size(F.array_distinct(F.col("slots")["was"]))
-    both = both.withColumn("alike", F.when(one_each, F.col("alike")).otherwise(F.col("same")))
-    both = both.withColumn("exact", F.filter(starts, lambda p: _ones(F.col("same"), p)))
-    both = both.withColumn("windows", F.filter(starts, lambda p: _ones(F.col("alike"), p) & (F.get("light", p) | _ones(F.col("same"), p))))
-    cover = _runs(F.col("alike"))
-    both = both.withColumn("cover", F.filter(places, lambda p: F.substr(cover, p + 1, F.lit(1)) == "1"))
-    return both.withColumn("passage_tokens", F.array_max(F.transform(F.split("alike", "0+"), F.length)))
+    both = both.withColumn("marks", F.when(one_each, F.col("marks")).otherwise(F.translate("marks", "1", "0")))
+    both = both.withColumn("exact", F.filter(starts, lambda p: part(p) == F.repeat(F.lit("2"), F.col("n"))))
+    other = lambda p: ~F.contains(part(p), F.lit("0")) & _at_most_half_differ(part(p)) & (_agreeing(F.col("marks"), F.sequence(p, p + F.col("n") - 1)) >= VARIETY)
+    both = both.withColumn("windows", F.filter(starts, lambda p: (part(p) == F.repeat(F.lit("2"), F.col("n"))) | other(p)))
+    both = both.withColumn("run", _runs(F.translate("marks", "2", "1"))).withColumn("cover", held(F.col("run")))
+    agree = F.size(F.filter("cover", lambda p: F.substr("marks", p + 1, F.lit(1)) == "2")) * 2 >= F.size("cover")
+    both = both.withColumn("marks", F.when(agree & (_agreeing(F.col("marks"), F.col("cover")) >= VARIETY), F.col("marks")).otherwise(F.translate("marks", "1", "0")))
+    both = both.withColumn("run", _runs(F.translate("marks", "2", "1"))).withColumn("cover", held(F.col("run")))
+    passages = F.filter(F.split("marks", "0+"), _at_most_half_differ)
+    return both.withColumn("passage_tokens", F.coalesce(F.array_max(F.transform(passages, F.length)), F.lit(0)))
 
 
 def _counted(both: DataFrame) -> DataFrame:
@@ -230,7 +246,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, min_sha
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, min_share: float = MIN_SHARE) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, all columns unchanged."""
     bad = save(contaminated(docs, benchmark, n, min_share).select(F.col("doc_id").alias("bad_id"), F.col("row_hash").alias("bad_hash")).distinct(), "contaminated")
-    side = _bounded(bad)
+    side = broadcast_if_bounded(bad)
     return docs.join(side, docs["doc_id"].eqNullSafe(side["bad_id"]) & (F.xxhash64(docs["text"]) == side["bad_hash"]), "left_anti")
 
 

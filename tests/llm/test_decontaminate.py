@@ -1,4 +1,5 @@
 import collections
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -81,8 +82,42 @@ def test_items_of_slots_are_found_by_their_values(spark):
         (14, "COPY " + sums.upper()),
     ], "doc_id long, text string")
     got = found(docs, bench)
-    assert set(got) == {(10, 1), (14, 1), (12, 2)}
-    assert all(w == e == whole for w, e, whole in got.values())
+    # The same sums with other numbers are the question re-parameterised: their operators and words agree.
+    assert set(got) == {(10, 1), (11, 1), (14, 1), (12, 2)}
+    assert all(w == e == whole for k, (w, e, whole) in got.items() if k[0] != 11) and got[11, 1][1] == 0
+
+
+def test_sums_with_other_numbers_are_found_and_tables_are_not(spark):
+    items = ["Compute 12 + 35 * 7 - 4 and then 9 * 3 + 8", "Solve 3x + 5 = 20 for x", "w100 w101 w102 w103 w104 w105 w106 w107 w108 w109",
+             "Version v1 v2 v3 v4 v5 v6 v7 v8 v9 v10", "row 1 2 3 4 5 6 7 8 9 10 11 12", "a 1 a 2 a 3 a 4 a 5 a 6 a 7 a 8"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame([
+        (10, "First: Compute 15 + 21 * 6 - 2 and then 8 * 5 + 11, please."), (11, "Now solve 7x + 2 = 16 for x"), (12, "solve 7x+2=16 for x"),
+        (20, " ".join(f"w{500 + 37 * i}" for i in range(60))), (21, "Changes: " + " ".join(f"v{3 * i + 3}" for i in range(40))),
+        (22, "row " + " ".join(str(7 * i) for i in range(40))), (23, " ".join(f"a {50 + i}" for i in range(30))),
+        (24, "On 3 + 4 days in 2024 we saw 5 - 6 birds, and 7 * 8 is 56 while 9 / 3 = 3"),
+    ], "doc_id long, text string")
+    assert set(found(docs, bench)) == {(10, 0), (11, 1), (12, 1)}
+
+
+def test_recall_of_other_values_on_arithmetic_and_stories(spark):
+    rng = random.Random(4)
+    stories = ["{a} buys {x} pens at {y} cents each and sells {z} of them to {b}; how many cents does {a} have left?",
+               "Compute {x} + {y} * {z} - {w} and write the result as one whole number", "What is {x} * {y} + {z} / {w} = ?",
+               "A train leaves {a} at {x} kmh and a car leaves {b} at {y} kmh; after {z} hours how far apart are they?"]
+    names = ["Alice", "Robert", "Carla", "Dmitri", "Erin", "Farid"]
+    def filled(s):
+        a, b = rng.sample(names, 2)
+        x, y, z, w = rng.sample(range(2, 4000), 4)
+        return s.format(a=a, b=b, x=x, y=y, z=z, w=w)
+    bench = spark.createDataFrame([(i, filled(s)) for i, s in enumerate(stories)], "item_id long, text string")
+    plain = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(400)]
+    noise = lambda n: " ".join(rng.choice([*plain, str(rng.randrange(3000))]) for _ in range(n))
+    rows = [(k * 10 + i, noise(40) + " " + filled(s) + " " + noise(40)) for k in range(50) for i, s in enumerate(stories)]
+    rows += [(10_000 + k, noise(120)) for k in range(200)]
+    got = found(spark.createDataFrame(rows, "doc_id long, text string"), bench)
+    right = [k for k in got if k[0] < 10_000 and k[0] % 10 == k[1]]
+    assert len(right) >= 0.9 * 200 and not any(k[0] >= 10_000 for k in got)
 
 
 def test_names_and_numbers_of_any_place_and_shape(spark):
