@@ -10,6 +10,7 @@ together, one tree a row of a numpy array; long pieces get a tree of their own.
 from __future__ import annotations
 
 import functools
+import hashlib
 import itertools
 import json
 import re
@@ -20,7 +21,6 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from changeflow.llm.common import read
 
@@ -39,8 +39,10 @@ LATIN_PIECES = re.compile(
 # Pieces of up to this many bytes share a forest; longer ones get their own tree.
 FOREST_BYTES = 64
 FOREST_ROWS = 4096
-# Bounds of a worker's memory: remembered pieces, and pieces of text in hand.
-CACHE_PIECES = 300_000
+# Bounds of a worker's memory: bytes of remembered pieces (each with its ids and some overhead; longer ones
+# than FOREST_BYTES are not remembered), and pieces of text in hand.
+CACHE_BYTES = 32_000_000
+PIECE_OVERHEAD = 250
 BLOCK_PIECES = 200_000
 BATCH_ROWS = 256
 FREE = np.int64(2**62)
@@ -76,7 +78,13 @@ class Vocabulary:
         self.token_bytes.update((i, t.encode()) for t, i in self.special.items())
         names = sorted(self.special, key=len, reverse=True)
         self.split = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
+        self.id_texts = [str(i) for i in range(max(self.token_bytes) + 1)]
+        self.forget()
+
+    def forget(self) -> None:
+        """Forget the remembered pieces."""
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.cached_bytes = 0
 
     def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The merge rank of each pair of ids, FREE where there is none."""
@@ -241,17 +249,23 @@ def encode_texts(vocab: Vocabulary, texts: list[str | None]) -> Iterator[list[in
     held = turn = 0
 
     def flush() -> None:
+        if vocab.cached_bytes > CACHE_BYTES:
+            vocab.forget()
         cache = vocab.cache
-        if len(cache) > CACHE_PIECES:
-            cache.clear()
         new = {p for _, run in block for p in run if p.__class__ is str and p not in cache}
-        cache.update(merge_pieces(vocab, list(new)))
+        merged = merge_pieces(vocab, list(new))
+        cache.update(merged)
         for i, run in block:
             if run and run[0].__class__ is int:
                 done[i].extend(run)
             else:
                 done[i].extend(itertools.chain.from_iterable(map(cache.__getitem__, run)))
         block.clear()
+        for piece, ids in merged.items():
+            if len(piece) > FOREST_BYTES:
+                del cache[piece]
+            else:
+                vocab.cached_bytes += PIECE_OVERHEAD + len(piece) + 8 * len(ids)
 
     for i, text in enumerate(texts):
         done[i] = []
@@ -273,7 +287,11 @@ def encode_texts(vocab: Vocabulary, texts: list[str | None]) -> Iterator[list[in
 def decode_ids(vocab: Vocabulary, ids: list[int]) -> str:
     """The text of ids: their bytes joined and read as UTF-8; ids outside the vocabulary give nothing."""
     known = vocab.token_bytes
-    return b"".join([known.get(i, b"") for i in ids]).decode("utf-8", "replace")
+    try:
+        found = list(map(known.__getitem__, ids))
+    except KeyError:
+        found = [known.get(i, b"") for i in ids]
+    return b"".join(found).decode("utf-8", "replace")
 
 
 def _encode_batches(path: str):
@@ -300,6 +318,24 @@ def _decode_batches(path: str):
     return run
 
 
+def _digest_batches(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = load(path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(at, BATCH_ROWS)
+                sizes, shas, decoded = [], [], []
+                for ids in encode_texts(vocab, part.column(1).to_pylist()):
+                    sizes.append(len(ids))
+                    shas.append(hashlib.sha256(",".join(map(vocab.id_texts.__getitem__, ids)).encode()).hexdigest())
+                    decoded.append(hashlib.sha256(decode_ids(vocab, ids).encode()).hexdigest())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())],
+                                                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        vocab.forget()
+
+    return run
+
+
 def vocabulary_path() -> str:
     import public_tokenizers
 
@@ -324,14 +360,16 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row."""
-    both = decode(encode(docs, path), path)
-    return both.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row; rows as in ``encode``.
+
+    One pass: a task encodes its texts, decodes the ids and keeps only digests,
+    so neither ids nor decoded texts leave the worker.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return docs.select("doc_id", "text").mapInArrow(_digest_batches(path or vocabulary_path()), schema)
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count and digests of the ids and of the decoded text of every document."""
     return digests(read(spark, sf_dir, "documents"))

@@ -43,8 +43,10 @@ def test_one_tree_and_the_forest_agree(vocab):
 
 def test_blocks_smaller_than_a_text(vocab, library, monkeypatch):
     monkeypatch.setattr(B, "BLOCK_PIECES", 7)
-    monkeypatch.setattr(B, "CACHE_PIECES", 5)
+    monkeypatch.setattr(B, "CACHE_BYTES", 1000)
     texts = ["one two three four five six seven eight nine ten", "", "<|endoftext|> a b c d e f g h i j", "last"]
+    texts.append("one" * 50 + " one" * 3)
+    vocab.forget()
     assert list(B.encode_texts(vocab, texts)) == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
@@ -65,3 +67,16 @@ def test_query(spark, library):
         assert got[r.doc_id].n_tokens == len(ids)
         assert got[r.doc_id].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert got[r.doc_id].decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest()
+
+
+def test_remembered_pieces_are_bounded_by_bytes(vocab):
+    vocab.forget()
+    list(B.encode_texts(vocab, ["x" * 5000, "short words here"]))
+    assert vocab.cache and max(map(len, vocab.cache)) <= B.FOREST_BYTES and vocab.cached_bytes > 0
+    vocab.forget()
+    assert not vocab.cache and vocab.cached_bytes == 0
+
+
+def test_one_pass_has_one_python_stage(spark):
+    plan = B.op3_bpe(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
