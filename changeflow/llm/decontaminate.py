@@ -94,8 +94,9 @@ def _plain(token: Column) -> Column:
 
 def _codes(toks: Column) -> Column:
     """(v, k) of every token: the hash of its value, and 0 for a plain token, 1 for a name, 2 for a number, 3 for a unit."""
-    kind = lambda x: F.when(F.startswith(x, F.lit(NAME)), 1).when(F.startswith(x, F.lit(NUMBER)), 2).when(F.startswith(x, F.lit(MARK)), 3).otherwise(0)
-    return F.transform(toks, lambda x: F.struct(F.xxhash64(_plain(x)).alias("v"), kind(x).cast("long").alias("k")))
+    code = lambda value, kind: F.struct(F.xxhash64(value).alias("v"), kind.cast("long").alias("k"))
+    kind = lambda x: F.when(F.startswith(x, F.lit(NAME)), 1).when(F.startswith(x, F.lit(NUMBER)), 2).otherwise(3)
+    return F.transform(toks, lambda x: F.when(F.startswith(x, F.lit(MARK)), code(_plain(x), kind(x))).otherwise(code(x, F.lit(0))))
 
 
 def seeds(codes: Column, n: int) -> Column:
@@ -113,7 +114,8 @@ def seeds(codes: Column, n: int) -> Column:
         slots, values = total(c["k"] > 0 for c in run), total(c["k"] > 1 for c in run)
         hashed = lambda least: F.xxhash64(F.lit(n), *[F.when(c["k"] > least, c["k"]).otherwise(c["v"]) for c in run])
         found = [F.when(slots * 2 <= n, hashed(0)), F.when(slots * 2 > n, hashed(3)), F.when(values * 2 <= n, hashed(1))]
-        return F.struct(p.alias("pos"), F.when(slots == 0, F.array(hashed(3))).otherwise(F.array_distinct(F.array_compact(F.array(*found)))).alias("hs"))
+        plain = functools.reduce(Column.bitwiseOR, [c["k"] for c in run]) == 0
+        return F.struct(p.alias("pos"), F.when(plain, F.array(hashed(3))).otherwise(F.array_distinct(F.array_compact(F.array(*found)))).alias("hs"))
 
     none = F.array().cast("array<struct<pos:int,hs:array<bigint>>>")
     return F.when(F.size(codes) >= n, F.transform(F.sequence(F.lit(0), F.greatest(F.size(codes) - n, F.lit(0))), forms)).otherwise(none)
