@@ -5,12 +5,15 @@ from changeflow.operators.buckets import apply_buckets, read_buckets, upsert_buc
 from changeflow.operators.capture import (
     capture,
     capture_candidates,
+    capture_list_asof,
     capture_list_filter,
     handoff,
     net_changes,
+    replace_capture_list,
     require_ordered,
     snapshot,
 )
+from changeflow.operators.cascade import Reference, delete_cascading, deleted_keys
 from changeflow.operators.checks import (
     fill_defaults,
     foreign_key,
@@ -20,7 +23,9 @@ from changeflow.operators.checks import (
     required,
     unique,
 )
+from changeflow.operators.digests import capture_by_digest, changed_ranges, range_digests
 from changeflow.operators.joins import absent_in, exists_in, lookup
+from changeflow.operators.maintain import aggregate_rows, fold_changes
 from changeflow.operators.mutate import (
     apply_changes,
     assign_ids,
@@ -32,7 +37,7 @@ from changeflow.operators.mutate import (
     next_id,
     upsert,
 )
-from changeflow.operators.signals import chunked_snapshot, snapshot_requests
+from changeflow.operators.signals import chunked_snapshot, snapshot_requests, windowed_snapshot
 from changeflow.operators.nesting import doc_summary, nest, reconcile_documents, reconcile_totals, unnest
 from changeflow.operators.transform import (
     chain,

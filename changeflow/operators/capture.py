@@ -7,7 +7,7 @@ table's own column types.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -217,3 +217,30 @@ def capture_list_filter(events: DataFrame, capture_list: DataFrame, column: str
     its estimated size is bounded.
     """
     return events.join(broadcast_if_bounded(capture_list.select(column).distinct()), column, "left_semi")
+
+
+def replace_capture_list(lists: DataFrame | None, tables: DataFrame, seq: int, column: str = "table") -> DataFrame:
+    """CAP-10: the stored list (from_seq, table) with ``tables`` as the whole list from position ``seq`` on.
+
+    None as ``lists`` creates it. A NULL table marks each version, so that an
+    empty list is a list too.
+    """
+    spark = tables.sparkSession
+    names = tables.select(F.lit(seq).cast("bigint").alias("from_seq"), F.col(column).cast("string").alias(column)).distinct()
+    version = names.unionByName(spark.range(1).select(F.lit(seq).cast("bigint").alias("from_seq"), F.lit(None).cast("string").alias(column)))
+    return version if lists is None else lists.unionByName(version)
+
+
+def capture_list_asof(events: DataFrame, lists: DataFrame, column: str = "table") -> DataFrame:
+    """CAP-10 while the list changes: events of tables on the list in force at their own ``seq``.
+
+    In force is the last version at or before the position; before the first
+    version nothing is captured. Versions are control data (a row a table and
+    replacement): each member gets the interval in which it holds, and events
+    meet them in one equi-join on the table with the interval as its condition.
+    """
+    starts = lists.select("from_seq").distinct()
+    starts = starts.withColumn("to_seq", F.lead("from_seq").over(Window.orderBy("from_seq")))
+    members = lists.filter(F.col(column).isNotNull()).distinct().join(starts, "from_seq").withColumnRenamed(column, "_member")
+    holds = (F.col(column) == F.col("_member")) & (F.col("seq") >= F.col("from_seq")) & (F.col("to_seq").isNull() | (F.col("seq") < F.col("to_seq")))
+    return events.join(broadcast_if_bounded(members), holds, "left_semi")

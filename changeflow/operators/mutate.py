@@ -8,6 +8,8 @@ per-column choice between the old and the new value.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,7 +115,7 @@ def doc_upsert(
     their value; ``$setOnInsert`` applies only to new keys, with either fixed
     expressions (dict) or the source's own values (list of field names). A
     field the target does not have yet widens the output (NULL on untouched
-    documents).
+    documents). Two source documents of one key fail the job.
     """
     if isinstance(set_on_insert, (list, tuple)):
         set_on_insert = {c: _c("s", c) for c in set_on_insert}
@@ -125,7 +127,7 @@ def doc_upsert(
         if c not in out_cols:
             out_cols.append(c)
     src_sel = src.select(*key, *[c for c in list(set_fields) + from_src if c not in key])
-    j = _keyed_full_join(target, src_sel, key)
+    j = _keyed_full_join(target, _unique_source(src_sel, key), key)
     in_t, in_s = _present("t"), _present("s")
     exprs = []
     for c in out_cols:
@@ -160,9 +162,12 @@ def find_or_create(target: DataFrame, src: DataFrame, match: list[str], id_col:
     the created rows. New rows get SERIAL-style ids after the current maximum
     (``next_id``), in ``match`` order, one per distinct match value, so
     repeated source rows share one id; of those the least by its other columns
-    becomes the created row.
+    becomes the created row. A NULL match value names no row: it fails the job.
     """
     start = next_id(target, id_col) if start is None else start
+    nameless = reduce(Column.__or__, [F.col(c).isNull() for c in match])
+    fail = F.raise_error(F.lit(f"NULL match value in {','.join(match)}")).cast("boolean")
+    src = src.filter(F.when(nameless, fail).otherwise(F.lit(True)))
     fresh = src.select(*match).distinct().join(target.select(*match), match, "left_anti")
     created_ids = assign_ids(fresh, start, match, id_col)
     ids = target.select(*match, id_col).unionByName(created_ids)

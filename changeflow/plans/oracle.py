@@ -164,10 +164,12 @@ def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["scan_orders"] = "SELECT * FROM orders"
     q["stored_documents"] = "SELECT o_orderkey AS _id, o_custkey AS user_id, o_orderstatus AS status FROM orders"
-    q["key_gaps"] = ("SELECT n AS o_orderkey FROM (SELECT unnest(generate_series((SELECT MIN(o_orderkey) FROM orders), "
-                     "(SELECT MAX(o_orderkey) FROM orders))) AS n) WHERE n NOT IN (SELECT o_orderkey FROM orders)")
+    q["key_gaps"] = ("WITH f AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') SELECT n AS o_orderkey FROM "
+                     "(SELECT unnest(generate_series((SELECT MIN(o_orderkey) FROM f), (SELECT MAX(o_orderkey) FROM f))) AS n) "
+                     "WHERE n NOT IN (SELECT o_orderkey FROM f)")
     q["written_tables"] = W_V + "SELECT * FROM v1"
-    q["loaded_together"] = "SELECT COUNT(*) AS n, 'orders' AS name FROM orders UNION ALL SELECT COUNT(*), 'users' FROM customer"
+    q["loaded_together"] = W_V + ("SELECT 'orders' AS name, k, status AS value FROM v2 "
+                                  "UNION ALL SELECT 'users', c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0")
     q["stream_resumed"] = "SELECT event_id, user_id, event_type FROM events"
     q["orders_by_status"] = "SELECT * FROM orders WHERE o_orderstatus = 'F'"
     q["orders_in_range"] = ("SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01 00:00:00' "
@@ -188,7 +190,7 @@ SELECT DISTINCT "table", 'removed' AS change FROM mixed WHERE "table" NOT IN (SE
     q["route_topics"] = _with(_MIXED) + (
         f"SELECT \"table\", key, 'ecomm-postgres.' || \"table\" AS topic FROM mixed WHERE \"table\" IN {_SCENARIO}")
 
-    q["absent_keys"] = "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"
+    q["absent_keys"] = "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')"
     q["exists_flag"] = ("SELECT EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'F') AS has_f, "
                         "EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'Z') AS has_z")
     q["fk_lookup"] = ("SELECT o.o_orderkey, c.c_name, n.n_name FROM orders o "
@@ -227,8 +229,8 @@ FROM cat_tables t JOIN cat_schemas s ON t.schema_id = s.schema_id WHERE s.schema
                            "WHERE NULLIF(o_orderpriority, '5-LOW') IS NULL")
     q["check_unique"] = ("SELECT l_orderkey, l_linenumber, COUNT(*) AS n FROM lineitem "
                          "GROUP BY l_orderkey, l_linenumber HAVING COUNT(*) > 1")
-    q["check_foreign_key"] = ("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IS NOT NULL AND NOT EXISTS "
-                              "(SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_custkey % 10 <> 0)")
+    q["check_foreign_key"] = ("SELECT * FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 3 THEN -o_custkey - 1 WHEN o_orderkey % 10 <> 4 THEN o_custkey END "
+                              "AS o_custkey FROM orders) o WHERE o_custkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o.o_custkey)")
     q["check_length"] = "SELECT p_partkey, p_name FROM part WHERE length(p_name) > 11"
     q["check_required"] = ("SELECT o_orderkey, NULLIF(o_orderstatus, 'P') AS status FROM orders "
                            "WHERE COALESCE(NULLIF(o_orderstatus, 'P'), '') = ''")
@@ -381,4 +383,12 @@ FROM orders o LEFT JOIN
         "SELECT 'public.inventory_logs' AS \"table\", CASE WHEN event_type = 'signup' THEN 'c' "
         "WHEN event_type = 'error' THEN 'd' ELSE 'u' END AS op, event_id AS seq, user_id, event_type FROM events")
     q["stream_dedup"] = "SELECT DISTINCT event_id, user_id, event_type FROM events"
-    return q
+    q["include_databases"] = "WITH " + _MIXED_SQLSERVER + "SELECT * FROM mixed WHERE split_part(\"table\", '.', 1) = 'ecommerce'"
+    q["parse_tags"] = ("SELECT p_partkey, CAST(i AS INTEGER) AS place, [p_brand, p_type, p_name][i + 1] AS tag FROM part, range(3) r(i) WHERE p_partkey % 10 > 2")
+    q["nested_arrays"] = """
+WITH placed AS (SELECT *, CAST(l_extendedprice AS DECIMAL(12,2)) AS price,
+                       row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice) - 1 AS n FROM lineitem)
+SELECT l_orderkey, CAST(n // 4 AS INTEGER) AS chunk, CAST(n % 4 AS INTEGER) AS place, l_linenumber AS line, l_partkey AS part, price FROM placed"""
+    from changeflow.plans.incremental import ORACLE
+
+    return q | ORACLE

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from changeflow import operators as op
 from changeflow.functions.expressions import ts_ntz
 from changeflow.operators import seed
-from changeflow.plans import mixed, versions
+from changeflow.plans import incremental, mixed, versions
 from changeflow.plans.versions import KEY, TABLE, change_log, flat_event, v1, v2_from
 from changeflow.schemas import ALL_TABLES, TABLES
 from changeflow.session import settle, shared_dir
@@ -52,29 +52,32 @@ def stored_documents(spark, d):
 
 
 def key_gaps(spark, d):
-    """SRC-6: keys between the smallest and the largest order key that no order has."""
-    o = _t(spark, d, "orders")
+    """SRC-6: keys between the smallest and the largest filled order that no filled order has."""
+    o = _t(spark, d, "orders").filter(F.col("o_orderstatus") == "F")
     lo, hi = o.agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
     return series(spark, lo, hi, "o_orderkey").join(o.select("o_orderkey"), "o_orderkey", "left_anti")
 
 
 def written_tables(spark, d):
-    """SNK-1, 2, 3: a table reset, appended to, and left alone by create-if-absent."""
+    """SNK-1, 2, 3: V2 written, replaced by the even keys of V1, the odd ones appended, and V2 offered to the table that is there."""
     o = v1(spark, d)
     path = f"{shared_dir(spark, 'written')}/orders"
+    sinks.reset(v2_from(o), path)
     sinks.reset(o.filter(F.col("k") % 2 == 0), path)
     sinks.append(o.filter(F.col("k") % 2 != 0), path)
-    sinks.create_if_absent(o.filter(F.lit(False)), path)
+    sinks.create_if_absent(v2_from(o), path)
     return spark.read.parquet(path)
 
 
 def loaded_together(spark, d):
-    """MUT-7: orders and customers published as one version, then read as it stands."""
+    """MUT-7: orders and customers published as one version, then V2 and the customers of even keys as the next; what stands is read row by row."""
     root = shared_dir(spark, "loaded")
-    sinks.load_all(spark, root, {"orders": v1(spark, d), "users": _t(spark, d, "customer")})
-    o, c = sinks.read_current(spark, root, "orders"), sinks.read_current(spark, root, "users")
-    return o.agg(F.count("*").alias("n")).withColumn("name", F.lit("orders")).unionByName(
-        c.agg(F.count("*").alias("n")).withColumn("name", F.lit("users")))
+    o, c = v1(spark, d), _t(spark, d, "customer")
+    first = sinks.load_all(spark, root, {"orders": o, "users": c})
+    sinks.load_all(spark, root, {"orders": v2_from(o), "users": c.filter(F.col("c_custkey") % 2 == 0)}, version=first + 1)
+    orders, users = sinks.read_current(spark, root, "orders"), sinks.read_current(spark, root, "users")
+    return orders.select(F.lit("orders").alias("name"), "k", F.col("status").alias("value")).unionByName(
+        users.select(F.lit("users").alias("name"), F.col("c_custkey").alias("k"), F.col("c_name").alias("value")))
 
 
 def orders_by_status(spark, d):
@@ -118,6 +121,11 @@ def include_schemas(spark, d):
     return op.include_schemas(_landed(spark, d, mixed.SQLSERVER_NAMES), ["data"])
 
 
+def include_databases(spark, d):
+    """FLT-2: events of one database; the two-part names belong to none of that name."""
+    return op.include_databases(_landed(spark, d, mixed.SQLSERVER_NAMES), ["ecommerce"])
+
+
 def capture_list_filter(spark, d):
     lst = spark.createDataFrame([(t,) for t in mixed.SCENARIO_TABLES], "table string")
     return op.capture_list_filter(_landed(spark, d), lst)
@@ -138,8 +146,8 @@ def route_topics(spark, d):
 
 
 def absent_keys(spark, d):
-    """JN-3: customers without an order."""
-    c, o = _t(spark, d, "customer"), _t(spark, d, "orders")
+    """JN-3: customers without a pending order."""
+    c, o = _t(spark, d, "customer"), _t(spark, d, "orders").filter(F.col("o_orderstatus") == "P")
     return op.absent_in(c.select("c_custkey", "c_name"), o.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
@@ -227,9 +235,10 @@ def check_unique(spark, d):
 
 
 def check_foreign_key(spark, d):
-    o = _t(spark, d, "orders").select("o_orderkey", "o_custkey")
-    c = _t(spark, d, "customer").filter(F.col("c_custkey") % 10 != 0)
-    return op.foreign_key(o, c, [("o_custkey", "c_custkey")])
+    """CHK-3: orders, some of them pointed at customers that do not exist or at none, against the whole customer table."""
+    k, c = F.col("o_orderkey") % 10, F.col("o_custkey")
+    o = _t(spark, d, "orders").select("o_orderkey", F.when(k == 3, -c - 1).when(k != 4, c).alias("o_custkey"))
+    return op.foreign_key(o, _t(spark, d, "customer"), [("o_custkey", "c_custkey")])
 
 
 def check_length(spark, d):
@@ -564,6 +573,22 @@ def parse_props(spark, d):
     return ev.select("event_id", F.col("props.k").alias("k"))
 
 
+def parse_tags(spark, d):
+    """DER-5: stored JSON array texts parsed into arrays, one row an element with its place; NULL and broken texts give none."""
+    p = _t(spark, d, "part")
+    k = F.col("p_partkey") % 10
+    text = F.when(k == 0, F.lit(None)).when(k == 1, F.lit("[not json")).when(k == 2, F.lit("[]")).otherwise(F.to_json(F.array("p_brand", "p_type", "p_name")))
+    docs = settle(p.select("p_partkey", text.alias("tags")), "tags")
+    return op.parse_json_array(docs, "tags").select("p_partkey", F.posexplode("tags").alias("place", "tag"))
+
+
+def nested_arrays(spark, d):
+    """DER-2: the items of every order document element by element, with their place in the array; at most 4 a document."""
+    docs = op.nest(_line_items(spark, d), ["l_orderkey"], ["l_linenumber", "l_partkey", "quantity", "price"], max_items=4)
+    each = docs.select("l_orderkey", "chunk", F.posexplode("items").alias("place", "item"))
+    return each.select("l_orderkey", "chunk", "place", F.col("item.l_linenumber").alias("line"), F.col("item.l_partkey").alias("part"), F.col("item.price").alias("price"))
+
+
 # --------------------------------------------------------------------------- streams
 
 
@@ -612,7 +637,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in [
         scan_orders, stored_documents, key_gaps, written_tables, loaded_together, orders_by_status, orders_in_range, nested_field_filter, conditional_transform,
-        include_tables, include_schemas, capture_list_filter, capture_list_delta, route_topics,
+        include_tables, include_schemas, include_databases, capture_list_filter, capture_list_delta, route_topics,
         absent_keys, exists_flag, fk_lookup, strict_lookup,
         max_or_one, table_counts, capture_counters, first_by_name,
         catalog_capture_candidates, catalog_tracked, catalog_capture_status,
@@ -625,7 +650,7 @@ QUERIES: dict[str, Query] = {
         route_mixed, unwrap_after, tombstones_on,
         tombstones_off, event_keys, kafka_records, kafka_tombstones, json_schema_payload, json_schema_typed, avro_names,
         unwrap_rewrite, unwrap_null, apply_changes, replay_snapshot_log, chained_flow, change_feed,
-        nest_items, unnest_items, reconcile_totals, parse_props,
+        nest_items, unnest_items, nested_arrays, reconcile_totals, parse_props, parse_tags,
         stream_changes, stream_resumed, stream_dedup, stream_feed,
     ]
-}
+} | incremental.QUERIES
