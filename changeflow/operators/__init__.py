@@ -9,6 +9,7 @@ from changeflow.operators.capture import (
     capture_list_filter,
     handoff,
     net_changes,
+    net_changes_intervals,
     replace_capture_list,
     require_ordered,
     snapshot,
@@ -17,9 +18,11 @@ from changeflow.operators.cascade import Reference, delete_cascading, deleted_ke
 from changeflow.operators.checks import (
     fill_defaults,
     foreign_key,
+    foreign_key_batch,
     foreign_keys,
     max_length,
     not_null,
+    referenced,
     required,
     unique,
 )
@@ -35,6 +38,7 @@ from changeflow.operators.mutate import (
     find_or_create,
     insert_if_absent,
     next_id,
+    number_within,
     upsert,
 )
 from changeflow.operators.signals import chunked_snapshot, snapshot_requests, windowed_snapshot

@@ -132,12 +132,30 @@ def net_changes(events: DataFrame, drop_noop: bool = False) -> DataFrame:
     (changed and changed back) is removed as well.
     """
     ev = _ranked(events.filter(F.col("op") != F.lit("r")))
-    agg = ev.groupBy("table", "key").agg(
+    return _net(_summary(ev, "table", "key"), [], drop_noop)
+
+
+def _summary(ranked: DataFrame, *by: str) -> DataFrame:
+    """What a stretch of a log amounts to for each group: first op and row before, last op and row after, and the ends' positions.
+
+    Summaries of neighbouring stretches merge into the summary of both (``_merged``).
+    """
+    return ranked.groupBy(*by).agg(
         F.min_by(F.struct("op", "before"), F.col("_at")).alias("_first"),
         F.max_by(F.struct("op", "after", "commit_ts"), F.col("_at")).alias("_last"),
-        F.max("seq").alias("seq"),
         F.max("_at").alias("_hi"), F.max("_ta").alias("_lo"), F.min("_at").alias("_hi0"), F.min("_ta").alias("_lo0"),
     )
+
+
+def _merged(parts: DataFrame, *by: str) -> DataFrame:
+    return parts.groupBy(*by).agg(
+        F.min_by("_first", "_hi0").alias("_first"), F.max_by("_last", "_hi").alias("_last"),
+        F.max("_hi").alias("_hi"), F.max("_lo").alias("_lo"), F.min("_hi0").alias("_hi0"), F.min("_lo0").alias("_lo0"),
+    )
+
+
+def _net(agg: DataFrame, extra: list[str], drop_noop: bool) -> DataFrame:
+    """At most one event a summary, with the columns ``extra``."""
     first_op = _one(F.col("_first.op"), F.col("_hi0.h"), F.col("_lo0.h"))
     last_op = _one(F.col("_last.op"), F.col("_hi.h"), F.col("_lo.h"))
     agg = agg.withColumn("_fo", first_op).withColumn("_lo_op", last_op)
@@ -148,19 +166,40 @@ def net_changes(events: DataFrame, drop_noop: bool = False) -> DataFrame:
         .when((first_op != "c") & (last_op == "d"), F.lit("d"))
     )
     out = agg.select(
+        *extra,
         "table",
         op.alias("op"),
         "key",
         F.when(op != "c", F.col("_first.before")).alias("before"),
         F.when(op != "d", F.col("_last.after")).alias("after"),
         F.col("_last.commit_ts").alias("commit_ts"),
-        "seq",
+        F.col("_hi.seq").alias("seq"),
     ).filter(F.col("op").isNotNull())
     if drop_noop:
         out = out.filter(~((F.col("op") == "u") & F.col("before").eqNullSafe(F.col("after"))))
     return out
 
 
+def net_changes_intervals(events: DataFrame, intervals: list[tuple[int, int]], drop_noop: bool = False) -> DataFrame:
+    """CAP-4 for several intervals (after low, up to high) in one pass over the log, with the columns ``low`` and ``high``.
+
+    The intervals' ends cut the log into stretches; each event goes into the
+    summary of its stretch, once, and an interval merges the summaries of its
+    stretches. So intervals may overlap, the log is read once, and what is
+    exchanged does not grow with their number. Every interval's rows are those
+    of ``net_changes`` over its events alone.
+    """
+    cuts = sorted({end for interval in intervals for end in interval})
+    stretch = sum((F.when(F.col("seq") > cut, 1).otherwise(0) for cut in cuts), F.lit(0))
+    ev = _ranked(events.filter((F.col("op") != F.lit("r")) & (F.col("seq") > cuts[0]) & (F.col("seq") <= cuts[-1])))
+    parts = _summary(ev.withColumn("_stretch", stretch), "table", "key", "_stretch")
+    own = F.array(*[F.struct(F.lit(lo).cast("bigint").alias("low"), F.lit(hi).cast("bigint").alias("high"),
+                             F.lit(cuts.index(lo)).alias("a"), F.lit(cuts.index(hi)).alias("b")) for lo, hi in intervals])
+    held = F.filter(own, lambda i: (F.col("_stretch") > i["a"]) & (F.col("_stretch") <= i["b"]))
+    parts = parts.withColumn("_i", F.explode(held)).withColumn("low", F.col("_i.low")).withColumn("high", F.col("_i.high"))
+    return _net(_merged(parts, "table", "key", "low", "high"), ["low", "high"], drop_noop)
+
+
 def last_events(events: DataFrame, by: list[str] | None = None) -> DataFrame:
     """The last event of each (table, key), unchanged: what a replay has to apply.
 

@@ -46,6 +46,44 @@ def foreign_key(child: DataFrame, parent: DataFrame, on: list[tuple[str, str]])
     return child.filter(has_ref).join(refs, fks, "left_anti")
 
 
+# Words of a reference filter: 64 bits each, so the filter is at most 1 MiB whatever the batch.
+FILTER_WORDS = 65_536
+FILTER_BITS = 4
+
+
+def _filter_place(cols: list[str]) -> tuple[Column, Column]:
+    """The word of a filter that a key falls into, and its bits there."""
+    bits = F.xxhash64(F.lit(1), *cols)
+    one = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(bits, 6 * k).bitwiseAND(F.lit(63)).cast("int"))
+    return F.pmod(F.xxhash64(*cols), F.lit(FILTER_WORDS)), reduce(Column.bitwiseOR, [one(k) for k in range(FILTER_BITS)])
+
+
+def referenced(parent: DataFrame, batch: DataFrame, on: list[tuple[str, str]]) -> DataFrame:
+    """The keys of ``parent`` that rows of ``batch`` may refer to, named as the references: all that are, and few others.
+
+    The batch's references are summed up in a Bloom filter of one 64-bit word a
+    hash bucket, built by an aggregate of at most FILTER_WORDS rows, and probed
+    in the parent's scan. References of the same value need the same type on both sides.
+    """
+    fks = [fk for fk, _ in on]
+    word, bits = _filter_place(fks)
+    words = batch.dropna(subset=fks).select(word.alias("_w"), bits.alias("_b")).groupBy("_w").agg(F.bit_or("_b").alias("_held"))
+    keys = parent.select(*[F.col(pk).cast(batch.schema[fk].dataType).alias(fk) for fk, pk in on])
+    word, bits = _filter_place(fks)
+    probed = keys.withColumns({"_w": word, "_b": bits}).join(F.broadcast(words), "_w")
+    return probed.filter(F.col("_held").bitwiseAND(F.col("_b")) == F.col("_b")).select(*fks)
+
+
+def foreign_key_batch(batch: DataFrame, parent: DataFrame, on: list[tuple[str, str]]) -> DataFrame:
+    """CHK-3 for a batch against a parent of any size: the orphans that ``foreign_key`` finds.
+
+    Only parent keys that pass the filter of the batch's references reach the
+    join, so what is exchanged follows the batch and not the parent. A key that
+    passes by chance costs a row in the join and changes nothing.
+    """
+    return foreign_key(batch, referenced(parent, batch, on), [(fk, fk) for fk, _ in on])
+
+
 def foreign_keys(frames: dict, fks: list[tuple[str, str, str, str]]) -> DataFrame:
     """CHK-3 over a whole model: orphans of every declared foreign key, one frame.
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from changeflow.operators.capture import last_events, require_ordered
-from changeflow.session import settle
+from changeflow.session import broadcast_if_bounded, settle
 
 
 def _present(side: str) -> Column:
@@ -245,6 +245,25 @@ def assign_ids(df: DataFrame, start: int, order_by: list[str], id_col: str = "id
     )
 
 
+def number_within(df: DataFrame, group: list[str], order_by: list[str], name: str, start: int = 0) -> DataFrame:
+    """``df`` with ``name``: consecutive numbers from ``start`` within each group, following ``order_by``.
+
+    As ``assign_ids``, for many groups at once: one range exchange on (group,
+    order), written with each row's place; the places where a group begins in
+    each partition, a row a group and partition, turn these into numbers of the
+    group. A group that holds most rows is spread like any other. ``order_by``
+    must be unique within a group.
+    """
+    keys = [*group, *order_by]
+    spread = settle(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()), "number_within")
+    spread = spread.withColumn("_part", F.shiftright("_at", 33))
+    spans = spread.groupBy(*group, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    before = F.sum("_rows").over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    spans = settle(spans.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_rows"), "number_spans")
+    out = spread.alias("t").join(broadcast_if_bounded(spans).alias("s"), [F.col(f"t.{c}").eqNullSafe(F.col(f"s.{c}")) for c in [*group, "_part"]])
+    return out.select(*[F.col(f"t.{c}") for c in df.columns], (F.lit(start) + F.col("_at") - F.col("_first") + F.col("_before")).cast("bigint").alias(name))
+
+
 def apply_changes(
     target: DataFrame,
     events: DataFrame,

@@ -12,13 +12,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changeflow import operators as op
+from changeflow.functions.partitioner import MULTIPLIER, SEED, partition_of
 from changeflow.operators.cascade import CASCADE, RESTRICT, Reference
 from changeflow.plans import mixed, versions
 from changeflow.plans.oracle import W_LOG, W_V, _cap, _with, _VERSIONS
 from changeflow.plans.versions import KEY, TABLE, change_log, flat_event, v1
-from changeflow.schemas import SIGNAL_DOC
-from changeflow.session import settle
+from changeflow.schemas import SIGNAL_DOC, TABLES
+from changeflow.session import settle, shared_dir
 from changeflow.sources.tables import scan_table
+from changeflow.streaming import changes as streams
+from changeflow.streaming.position import run_feed
+from changeflow.streaming.ranges import dedup_numbered
 
 ORACLE: dict[str, str] = {}
 
@@ -177,4 +181,99 @@ e AS (SELECT *, key % 30 AS seq FROM mixed), lists AS (SELECT * FROM (VALUES """
 starts AS (SELECT * FROM (VALUES """ + ", ".join(f"({seq})" for seq, _ in _LISTS) + """) t(from_seq))
 SELECT "table", key, seq FROM e WHERE "table" IN (SELECT name FROM lists WHERE lists.from_seq = (SELECT MAX(from_seq) FROM starts WHERE starts.from_seq <= e.seq))"""
 
-QUERIES = {f.__name__: f for f in [signal_windows, capture_digests, maintained_counts, maintained_order_totals, cascade_graph, capture_list_versions]}
+# --------------------------------------------------------------------------- CAP-4 over several intervals
+
+_INTERVALS = [(0, 6), (3, 14), (0, 20)]
+
+
+def net_changes_windows(spark, d):
+    """CAP-4: net changes of three overlapping intervals of the log's positions, by one pass over it."""
+    net = op.net_changes_intervals(_positioned(change_log(spark, d)), _INTERVALS)
+    return net.select("low", "high", F.col("key.k").alias("k"), "op", "seq", F.col("before.status").alias("before_status"), F.col("after.status").alias("after_status"))
+
+
+ORACLE["net_changes_windows"] = W_LOG + f"""
+, pos AS (SELECT *, (seq - 1) * {STEP} + ((k % {STEP}) + {STEP}) % {STEP} + 1 AS p FROM log),
+i AS (SELECT CAST(a AS BIGINT) AS low, CAST(b AS BIGINT) AS high FROM (VALUES {", ".join(map(str, _INTERVALS))}) t(a, b)),
+ends AS (SELECT low, high, k, MIN(p) AS mn, MAX(p) AS mx FROM pos JOIN i ON p > low AND p <= high GROUP BY ALL),
+n AS (SELECT e.low, e.high, e.k, e.mx AS seq, f.before_status, l.after_status,
+             CASE WHEN f.op = 'c' AND l.op <> 'd' THEN 'c' WHEN f.op <> 'c' AND l.op <> 'd' THEN 'u' WHEN f.op <> 'c' AND l.op = 'd' THEN 'd' END AS op
+      FROM ends e JOIN pos f ON f.k = e.k AND f.p = e.mn JOIN pos l ON l.k = e.k AND l.p = e.mx)
+SELECT low, high, k, op, seq, CASE WHEN op <> 'c' THEN before_status END AS before_status, CASE WHEN op <> 'd' THEN after_status END AS after_status FROM n WHERE op IS NOT NULL"""
+
+# --------------------------------------------------------------------------- SNK-4, CAP-8: partitions and offsets
+
+PARTITIONS = 12
+
+
+def keyed_partitions(spark, d):
+    """SNK-4, CAP-8: the log's events in the partitions of a keyed log, numbered in each in the order of their positions."""
+    ev = op.route(op.event_key(change_log(spark, d)), mixed.TOPIC_PREFIX)
+    ev = ev.select("topic", "key_json", F.col("key.k").alias("k"), "op", "seq").withColumn("partition", partition_of(F.col("key_json"), PARTITIONS))
+    return op.number_within(ev, ["topic", "partition"], ["seq", "k"], "offset").drop("key_json")
+
+
+ORACLE["keyed_partitions"] = W_LOG + f"""
+, bytes AS (SELECT k, op, seq, list_transform(string_split('{{"k":' || k || '}}', ''), lambda x: ascii(x)::BIGINT) AS b FROM log),
+mixed4 AS (SELECT *, len(b) // 4 AS w, list_reduce(list_concat([xor(len(b), {SEED})], list_transform(range(len(b) // 4),
+             lambda i: b[4 * i + 1] + b[4 * i + 2] * 256 + b[4 * i + 3] * 65536 + b[4 * i + 4] * 16777216)),
+             lambda h, x: xor((h * {MULTIPLIER}) & 4294967295, (xor((x * {MULTIPLIER}) & 4294967295, ((x * {MULTIPLIER}) & 4294967295) >> 24) * {MULTIPLIER}) & 4294967295)) AS h FROM bytes),
+tailed AS (SELECT *, CASE WHEN len(b) % 4 = 0 THEN h ELSE (xor(h, b[4 * w + 1] + coalesce(b[4 * w + 2], 0) * 256 + coalesce(b[4 * w + 3], 0) * 65536) * {MULTIPLIER}) & 4294967295 END AS t FROM mixed4),
+folded AS (SELECT *, (xor(t, t >> 13) * {MULTIPLIER}) & 4294967295 AS f FROM tailed),
+placed AS (SELECT 'ecomm-postgres.public.orders' AS topic, k, op, seq, CAST((xor(f, f >> 15) & 2147483647) % {PARTITIONS} AS INTEGER) AS partition FROM folded)
+SELECT *, row_number() OVER (PARTITION BY partition ORDER BY seq, k) - 1 AS "offset" FROM placed"""
+
+# --------------------------------------------------------------------------- CHK-3 of a batch
+
+
+def check_foreign_key_batch(spark, d):
+    """CHK-3: the orders of one year, some pointed at no customer, against the whole customer table through a filter of their references."""
+    k, c = F.col("o_orderkey") % 10, F.col("o_custkey")
+    o = scan_table(spark, d, "orders").filter(F.year("o_orderdate") == 1996)
+    batch = o.select("o_orderkey", F.when(k == 3, -c - 1).when(k != 4, c).alias("o_custkey"))
+    return op.foreign_key_batch(batch, scan_table(spark, d, "customer"), [("o_custkey", "c_custkey")])
+
+
+ORACLE["check_foreign_key_batch"] = (
+    "SELECT * FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 3 THEN -o_custkey - 1 WHEN o_orderkey % 10 <> 4 THEN o_custkey END AS o_custkey "
+    "FROM orders WHERE year(o_orderdate) = 1996) o WHERE o_custkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o.o_custkey)")
+
+# --------------------------------------------------------------------------- streams
+
+SHARDS = 64
+
+
+def stream_dedup_ranges(spark, d):
+    """DER-4: every event delivered twice, once each out; the state keeps ranges of the numbers seen in each of 64 shards."""
+    root = shared_dir(spark, "dedup_ranges")
+    s = streams.table_stream(spark, d, "events", TABLES["events"])
+    s = s.select("event_id", "user_id", "event_type", F.pmod("event_id", F.lit(SHARDS)).alias("shard"), F.call_function("div", "event_id", F.lit(SHARDS)).alias("number"))
+    streams.run_available(dedup_numbered(s.unionByName(s), "shard", "number"), f"{root}/out", f"{root}/_checkpoint", state_partitions=spark.sparkContext.defaultParallelism)
+    return spark.read.parquet(f"{root}/out").select("event_id", "user_id", "event_type")
+
+
+ORACLE["stream_dedup_ranges"] = "SELECT DISTINCT event_id, user_id, event_type FROM events"
+
+
+def stream_position_dropped(spark, d):
+    """CAP-11: a feed of V1 stopped between the log's halves and resumed, then begun anew from V2 with its position dropped."""
+    root = shared_dir(spark, "position")
+    log, base = change_log(spark, d), v1(spark, d)
+    schema = log.schema
+    feed = lambda rows, at, name: run_feed(op.snapshot(rows, TABLE, KEY, at), spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{root}/landing"), f"{root}/{name}")
+    for half in (1, 2):
+        log.filter(F.col("seq") == half).write.parquet(f"{root}/landing/{half}")
+        first = feed(versions.v2_from(base) if half == 2 else base, half - 1, "first")
+    second = feed(versions.v2_from(base), 1, "second")
+    flat = lambda df, n: df.select(F.lit(n).alias("start"), F.col("key.k").alias("k"), "op", "seq", F.col("after.status").alias("status"))
+    return flat(first, 1).unionByName(flat(second, 2))
+
+
+ORACLE["stream_position_dropped"] = W_LOG + """
+SELECT 1 AS start, k, 'r' AS op, CAST(0 AS BIGINT) AS seq, status FROM v1 UNION ALL SELECT 1, k, op, seq, after_status FROM log
+UNION ALL SELECT 2, k, 'r', 1, status FROM v2 UNION ALL SELECT 2, k, op, seq, after_status FROM log WHERE seq = 2"""
+
+QUERIES = {f.__name__: f for f in [
+    signal_windows, capture_digests, maintained_counts, maintained_order_totals, cascade_graph, capture_list_versions,
+    net_changes_windows, keyed_partitions, check_foreign_key_batch, stream_dedup_ranges, stream_position_dropped,
+]}

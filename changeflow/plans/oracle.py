@@ -218,7 +218,7 @@ WHERE s.schema_name = 'data'
   AND EXISTS (SELECT 1 FROM cat_pk p WHERE p.object_id = t.object_id AND p.is_primary_key)
   AND NOT t.is_tracked_by_cdc"""
     q["catalog_tracked"] = cat + """
-SELECT t.table_name, s.schema_name, t.row_count
+SELECT t.table_name, s.schema_name, t.row_count, row_number() OVER (ORDER BY t.table_name) AS place
 FROM cat_tables t JOIN cat_schemas s ON t.schema_id = s.schema_id
 WHERE t.is_tracked_by_cdc AND s.schema_name = 'data' ORDER BY t.table_name"""
     q["catalog_capture_status"] = cat + """

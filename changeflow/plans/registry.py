@@ -210,7 +210,7 @@ def catalog_capture_candidates(spark, d):
 def catalog_tracked(spark, d):
     t = catalog.tables_frame(spark, d).join(catalog.schemas_frame(spark), "schema_id")
     return (t.filter(F.col("is_tracked_by_cdc") & (F.col("schema_name") == "data"))
-            .orderBy("table_name").select("table_name", "schema_name", "row_count"))
+            .orderBy("table_name").coalesce(1).select("table_name", "schema_name", "row_count", (F.monotonically_increasing_id() + 1).alias("place")))
 
 
 def catalog_capture_status(spark, d):

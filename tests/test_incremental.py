@@ -222,3 +222,126 @@ def test_rows_that_can_fail(spark, name):
 def test_versions_differ_in_few_ranges(spark):
     ev = QUERIES["capture_digests"](spark, SF_SMALL)
     assert {r.op for r in ev.select("op").distinct().collect()} == {"c", "u", "d"} and ev.count() < 0.1 * V.v1(spark, SF_SMALL).count()
+
+
+# --------------------------------------------------------------------------- several intervals at once
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_intervals_equal_their_own_runs(spark, seed):
+    _, events = _history(30, 100, seed)
+    log = spark.createDataFrame(events, EVENT)
+    log = log.unionByName(log.filter("seq % 3 = 0"))
+    cuts = [(0, 100), (10, 40), (35, 80), (40, 41), (90, 95)]
+    got = op.net_changes_intervals(log, cuts)
+    for lo, hi in cuts:
+        own = got.filter((F.col("low") == lo) & (F.col("high") == hi)).drop("low", "high")
+        assert rows(own, "op", "key", "seq") == rows(op.net_changes(log.filter((F.col("seq") > lo) & (F.col("seq") <= hi))), "op", "key", "seq")
+        assert sorted(map(repr, own.collect())) == sorted(map(repr, op.net_changes(log.filter((F.col("seq") > lo) & (F.col("seq") <= hi))).collect()))
+    clash = log.unionByName(log.filter("seq = 20").withColumn("op", F.lit("x")))
+    with pytest.raises(Exception, match="equal seq"):
+        op.net_changes_intervals(clash, [(19, 20), (0, 5)]).collect()
+
+
+# --------------------------------------------------------------------------- keyed partitions
+
+
+def _murmur2(data):
+    m, h = 0x5BD1E995, 0x9747B28C ^ len(data)
+    cut = len(data) // 4 * 4
+    for i in range(0, cut, 4):
+        k = int.from_bytes(data[i : i + 4], "little") * m & 0xFFFFFFFF
+        k = (k ^ k >> 24) * m & 0xFFFFFFFF
+        h = (h * m & 0xFFFFFFFF) ^ k
+    if data[cut:]:
+        h = (h ^ int.from_bytes(data[cut:], "little")) * m & 0xFFFFFFFF
+    h = (h ^ h >> 13) * m & 0xFFFFFFFF
+    return h ^ h >> 15
+
+
+def test_murmur2(spark):
+    from changeflow.functions.partitioner import murmur2, partition_of
+
+    texts = ["", "a", "ab", "abc", "abcd", "21", "foobar", "a-little-bit-long-string", "a-little-bit-longer-string", "lkjh234lh9fiuh90y23oiuhsafujhadof229phr9h19h89h8", "é日本", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", murmur2(F.col("t")).alias("h"), partition_of(F.col("t"), 7).alias("p")).collect()
+    assert [r.h for r in got] == [None if t is None else _murmur2(t.encode()) for t in texts]
+    # Published values of the hash, as signed 32-bit numbers.
+    known = {"21": -973932308, "foobar": -790332482, "a-little-bit-long-string": -985981536, "abc": 479470107}
+    assert {r.t: r.h - (1 << 32 if r.h >= 1 << 31 else 0) for r in got if r.t in known} == known
+    assert all(r.p == (_murmur2(r.t.encode()) & 0x7FFFFFFF) % 7 for r in got if r.t is not None)
+
+
+def test_numbers_within_groups_are_dense_and_in_order_after_a_write(spark, scratch):
+    rng = random.Random(2)
+    data = [("hot" if i % 3 else f"g{i % 7}", i, rng.random()) for i in range(3000)] + [(None, 5000, 0.0)]
+    op.number_within(spark.createDataFrame(data, "g string, seq long, x double").repartition(9), ["g"], ["seq"], "n", 1).write.parquet(f"{scratch}/out")
+    got = {}
+    for r in spark.read.parquet(f"{scratch}/out").orderBy("seq").collect():
+        got.setdefault(r.g, []).append(r.n)
+    assert sum(map(len, got.values())) == 3001 and all(v == list(range(1, len(v) + 1)) for v in got.values())
+
+
+# --------------------------------------------------------------------------- references of a batch
+
+
+def test_batch_orphans_are_exact_and_few_parents_reach_the_join(spark):
+    parent = spark.range(0, 200_000, 2).select(F.col("id").alias("pid"), F.lit("x").alias("payload"))
+    batch = spark.createDataFrame([(i, None if i % 50 == 0 else i * 97 % 250_000) for i in range(2000)], "id long, ref long")
+    got = op.foreign_key_batch(batch, parent, [("ref", "pid")])
+    assert rows(got) == rows(op.foreign_key(batch, parent, [("ref", "pid")])) and got.count() > 500
+    kept = op.referenced(parent, batch, [("ref", "pid")])
+    wrong = kept.join(batch.select("ref"), "ref", "left_anti").count()
+    assert kept.join(batch.select("ref").distinct(), "ref", "left_semi").count() + wrong == kept.count() and wrong < 0.05 * parent.count()
+    assert op.foreign_key_batch(batch.limit(0), parent, [("ref", "pid")]).count() == 0
+    assert op.foreign_key_batch(batch, parent.limit(0), [("ref", "pid")]).count() == batch.filter("ref is not null").count()
+
+
+# --------------------------------------------------------------------------- streams
+
+
+def test_ranges_merge_and_tell_what_is_new():
+    import numpy as np
+
+    from changeflow.streaming.ranges import merge_ranges, unseen
+
+    rng = random.Random(7)
+    starts, ends, seen = np.empty(0, np.int64), np.empty(0, np.int64), set()
+    for _ in range(60):
+        numbers = np.array([rng.randrange(300) for _ in range(rng.randrange(1, 25))])
+        fresh = unseen(starts, ends, numbers)
+        want, mine = [], set(seen)
+        for x in numbers.tolist():
+            want.append(x not in mine)
+            mine.add(x)
+        assert fresh.tolist() == want
+        starts, ends = merge_ranges(starts, ends, numbers[fresh])
+        seen = mine
+        assert {x for a, b in zip(starts, ends) for x in range(a, b + 1)} == seen and (starts[1:] > ends[:-1] + 1).all()
+
+
+def test_late_first_deliveries_come_out_once_and_state_is_ranges(spark, scratch):
+    from changeflow.streaming.ranges import dedup_numbered
+
+    schema = "shard long, number long, v string"
+    rng = random.Random(3)
+    every = [(s, n, f"{s}-{n}") for s in range(4) for n in range(200)]
+    late = [r for r in every if r[1] in (17, 18, 150)]
+    batches = [[r for r in every if r[1] < 120 and r not in late], [r for r in every if r[1] >= 60 and r not in late] + rng.sample(every[:50], 0), late + rng.sample(every, 300)]
+    progress = None
+    for i, batch in enumerate(batches):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(f"{scratch}/in")
+        q = dedup_numbered(spark.readStream.schema(schema).parquet(f"{scratch}/in"), "shard", "number").writeStream.option(
+            "checkpointLocation", f"{scratch}/c").trigger(availableNow=True).start(f"{scratch}/out")
+        q.awaitTermination()
+        progress = [p for p in q.recentProgress if p["stateOperators"]][-1] if i == 2 else progress
+    got = rows(spark.read.parquet(f"{scratch}/out"), "shard", "number", "v")
+    assert got == sorted(every)
+    # One state row a shard, whatever the number of events.
+    assert progress["stateOperators"][0]["numRowsTotal"] == 4
+
+
+def test_a_dropped_position_starts_from_the_snapshot(spark):
+    out = QUERIES["stream_position_dropped"](spark, SF_SMALL)
+    assert out.count() == out.distinct().count()
+    for start, first in ((1, V.v1(spark, SF_SMALL)), (2, V.v2_from(V.v1(spark, SF_SMALL)))):
+        assert out.filter((F.col("start") == start) & (F.col("op") == "r")).count() == first.count()
