@@ -16,7 +16,9 @@ HIDDEN_TAGS = frozenset("script style title textarea iframe noscript template sv
 CLOSES_P = BLOCK_TAGS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot"}
 SPACE_TAGS = frozenset("br hr img input button option label".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*\Z|[^<]+|<", re.S)
+# A quote opens a value only behind "="; anywhere else it is part of a name. Possessive, so no input is read twice over.
+ATTRIBUTES = r"(?:\s++|/|=?[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)?+|=)*+"
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)({ATTRIBUTES})>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)|[^<]+|<", re.S)
 HIDDEN_END = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in HIDDEN_TAGS}
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PART = re.compile(r"[a-z]+")
@@ -67,7 +69,8 @@ def blocks(page: str | None) -> Iterator[Block]:
             continue
         tag, ending = tag.lower(), bool(m.group(1))
         if tag in HIDDEN_TAGS and not ending:
-            if not m.group(3).endswith("/"):
+            # A slash closes no HTML element; only foreign ones heed it.
+            if tag != "svg" or not m.group(3).endswith("/"):
                 end = HIDDEN_END[tag].search(page, at)
                 at = end.end() if end else size
         elif tag in BLOCK_TAGS:

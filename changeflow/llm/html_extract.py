@@ -24,9 +24,9 @@ from changeflow.llm.html_blocks import Block, blocks
 PATH_DIM, WORD_DIM, SHAPE_DIM = 256, 32, 7
 INPUT = PATH_DIM + WORD_DIM + SHAPE_DIM
 HIDDEN = 20
-# Pages looked at for fitting (chosen by a hash of their html, copies once), their first characters, composed pages.
+# Pages looked at for fitting, whole: those of smallest hash among pages of at most so many characters, copies once; composed pages.
 MAX_PAGES = 120
-MAX_PAGE_CHARS = 12_000
+MAX_PAGE_CHARS = 60_000
 COMPOSED = 450
 EPOCHS, BATCH, RATE = 9, 12, 0.01
 # Blocks labelled in one numpy step, padding included.
@@ -250,10 +250,17 @@ def compose(rng: np.random.Generator, sentences: list[str]) -> tuple[str, list[i
 
 
 def train(pages: DataFrame) -> BiLstm:
-    """A labeller for ``pages`` (html), fitted on a bounded sample and on pages composed from its sentences."""
-    known = pages.where("html IS NOT NULL")
-    share = min(1.0, MAX_PAGES / max(1, known.count()))
-    some = known.where(F.pmod(F.xxhash64("html"), F.lit(1_000_000)) < int(share * 1_000_000)).select(F.substring("html", 1, MAX_PAGE_CHARS).alias("html")).dropDuplicates()
+    """A labeller for ``pages`` (html), fitted on a bounded sample and on pages composed from its sentences.
+
+    The sample is the MAX_PAGES distinct pages of smallest hash among those of
+    at most MAX_PAGE_CHARS characters, read whole. A rough count of them bounds
+    the hashes that are sorted; the bound is a whole number of 63 bits, so no
+    table is too large to be drawn from.
+    """
+    known = pages.where(F.length("html") <= MAX_PAGE_CHARS).select(F.xxhash64("html").bitwiseAND(F.lit(2**63 - 1)).alias("h"), "html")
+    n = known.agg(F.approx_count_distinct("h").alias("n")).first()["n"]
+    bound = 2**63 - 1 if n <= 2 * MAX_PAGES else (2**63 - 1) * 2 * MAX_PAGES // n
+    some = known.where(F.col("h") <= bound).dropDuplicates(["h"]).orderBy("h").limit(MAX_PAGES).select("html")
     made = Features()
     data, sentences = [], []
     for row in sorted(some.collect()):

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from changeflow.llm.common import id_remainder, read
@@ -27,6 +27,7 @@ EMBED = 8
 # once), and this many windows of each.
 MAX_TRAIN = 600
 TRAIN_WINDOWS = 4
+RARE = 0.25
 EPOCHS, BATCH, RATE = 12, 64, 0.004
 # Windows scored in one numpy step; documents cut into windows in one step.
 STEP_WINDOWS = 32
@@ -129,26 +130,50 @@ class ByteNet:
                     self.params[k] -= (RATE * (m[k] / (1 - 0.9**t)) / (np.sqrt(v2[k] / (1 - 0.99**t)) + 1e-7)).astype(np.float32)
 
 
-def train(docs: DataFrame) -> ByteNet | None:
-    """A net learned from (text, lang) of at most about MAX_TRAIN rows of each language; None without labelled text."""
-    known = docs.where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+def sampled(docs: DataFrame, most: int = MAX_TRAIN) -> DataFrame:
+    """(lang, h, text) of the ``most`` distinct texts of smallest hash of each language; all of a language that has fewer.
+
+    Copies of a text count once. A rough count of distinct texts gives each
+    language a bound below which some 2 * ``most`` of their hashes lie; only
+    these are told apart exactly. Bounds are whole numbers of 63 bits, so no
+    language is too large to be drawn from.
+    """
+    known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", F.xxhash64("text").bitwiseAND(F.lit(2**63 - 1)).alias("h"), "text")
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not counts:
+        return known
+    bound = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(2**63 - 1 if n <= 2 * most else (2**63 - 1) * 2 * most // n))])
+    near = known.where(F.col("h") <= bound[F.col("lang")])
+    chosen = near.select("lang", "h").distinct().withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("place") <= most).drop("place")
+    # At most ``most`` rows a language.
+    chosen = F.broadcast(chosen.withColumnsRenamed({"lang": "of", "h": "at"}))
+    return near.join(chosen, (F.col("lang") == F.col("of")) & (F.col("h") == F.col("at"))).drop("of", "at")
+
+
+def train(docs: DataFrame, most: int = MAX_TRAIN) -> ByteNet | None:
+    """A net learned from (text, lang) of at most ``most`` distinct texts of each language; None without labelled text.
+
+    Of a text TRAIN_WINDOWS windows are read, one from each equal part of the
+    whole of it at a place drawn by its hash, all of it if it is shorter.
+    """
+    some = sampled(docs, most)
+    size = F.length("text")
+    place = lambda j: F.greatest(F.floor(size * (j + F.pmod(F.xxhash64("h", F.lit(j)), F.lit(1000)) / 1000) / TRAIN_WINDOWS) - WINDOW // 2, F.lit(0)) + 1
+    parts = F.when(size <= WINDOW, F.array("text")).otherwise(F.array(*[F.substr("text", place(j).cast("int"), F.lit(WINDOW)) for j in range(TRAIN_WINDOWS)]))
+    rows, y, labels = [], [], []
+    for r in sorted(some.select("lang", "h", parts.alias("parts")).dropDuplicates(["lang", "h"]).collect()):
+        labels += [r["lang"]] * (r["lang"] not in labels)
+        cut = [windows(p.encode("utf-8", "replace"))[0][:1] for p in r["parts"] if has_letter(p)]
+        rows += cut
+        y += [labels.index(r["lang"])] * len(cut)
+    if not labels:
         return None
-    share = F.create_map(*[x for k, c in counts.items() for x in (F.lit(k), F.lit(int(min(1.0, MAX_TRAIN / c) * 1_000_000)))])
-    some = known.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share[F.col("lang")])
-    # Of very long texts only the first, middle and last stretches are looked at for fitting.
-    bounds = some.select("lang", *[F.substring("text", 1, 2 * WINDOW).alias("a"), F.expr(f"substring(text, cast(length(text) / 2 as int) + 1, {WINDOW})").alias("b"), F.expr(f"right(text, {WINDOW})").alias("c")])
-    labels = sorted(counts)
-    rows, y = [], []
-    for r in sorted(bounds.dropDuplicates().collect()):
-        if has_letter(r["a"]):
-            cut = np.concatenate([windows(r[k].encode("utf-8", "replace"))[0] for k in "abc"])[:TRAIN_WINDOWS]
-            rows.append(cut)
-            y += [labels.index(r["lang"])] * len(cut)
     net = ByteNet(labels)
     if rows:
-        net.fit(np.concatenate(rows), np.array(y))
+        y, seen = np.array(y), np.bincount(y, minlength=len(labels))
+        # A language of few texts is read several times over, so that it has RARE of the windows of the largest one.
+        again = np.maximum(1, np.ceil(RARE * seen.max() / np.maximum(seen, 1)).astype(int))[y]
+        net.fit(np.repeat(np.concatenate(rows), again, axis=0), np.repeat(y, again))
     return net
 
 

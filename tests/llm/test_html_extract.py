@@ -87,3 +87,25 @@ def test_odd_rows(spark, model):
     assert [len(r[2]) for r in sorted(out, key=lambda r: r.page_id or 0)][:4] == [0, 0, 5000, 5000] and len(out) == 6
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert H.main_blocks(none, H.train(none)).count() == 0
+
+
+def test_quotes_open_values_only_behind_an_equals_sign_and_slashes_close_nothing():
+    read = lambda page: [b.text for b in blocks(page)]
+    assert read("<p title='it's'>Hello</p><p>Next one's here</p>") == ["Hello", "Next one's here"]
+    assert read('<div class="a"">One</div><p "x" y=\'>\' z = ">">Two</p>') == ["One", "Two"]
+    assert read('<script src="x.js"/>var leak=1;</script><style/>p{}</style><title/>T</title><p>Text</p>') == ["Text"]
+    assert read("<p>a<svg/>b</p><p a=b/c='d>e</p><p =x ==>f</p>") == ["ab", "e", "f"]
+    assert read('<p>one</p><p class="open>two</p>') == ["one", "two"]
+    assert read("<p " + "a'\"= " * 20_000) == []
+    assert read("<p>x" + "<a b='" * 5_000 + "y") != []
+
+
+def test_a_sample_smaller_than_one_in_a_million_is_drawn(spark, monkeypatch):
+    monkeypatch.setattr(H, "MAX_PAGES", 1)
+    monkeypatch.setattr(H, "COMPOSED", 2)
+    monkeypatch.setattr(H, "EPOCHS", 1)
+    seen = []
+    monkeypatch.setattr(H, "blocks", lambda page: seen.append(page) or blocks(page))
+    pages = spark.createDataFrame([("<article><p>" + f"Page {i}. " * 5 + "</p></article>",) for i in range(50)] * 3 + [(None,), ("x" * 100_000,)], "html string")
+    H.train(pages)
+    assert sum(p.startswith("<article><p>Page") for p in seen) == 1

@@ -56,3 +56,17 @@ def test_gradients_match_differences():
 def test_every_window_counts():
     rows, sizes = L.windows(b"x" * (L.WINDOW * 2 + 3))
     assert rows.shape == (3, L.WINDOW) and sizes.tolist() == [L.WINDOW, L.WINDOW, 3] and L.windows(b"")[0].shape == (1, L.WINDOW)
+
+
+def test_copies_do_not_crowd_out_a_language_and_large_tables_are_drawn_from(spark):
+    french = "Le chat de la voisine dort sur le toit rouge depuis ce matin."
+    rows = [(french, "fr")] * 5000 + [(f"The dog number {i} of the house runs in the garden all day", "en") for i in range(300)]
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(6)
+    some = L.sampled(docs, 40).select("lang", "text").distinct().collect()
+    assert sum(r.lang == "fr" for r in some) == 1 and sum(r.lang == "en" for r in some) == 40
+    # A share below one in a million leaves the languages' smallest hashes.
+    tiny = L.sampled(docs, 1).select("lang", "text").distinct().collect()
+    assert sorted(r.lang for r in tiny) == ["en", "fr"]
+    net = L.train(docs)
+    got = {r.row.id: r.lang_pred for r in L.identify(spark.createDataFrame([(1, french), (2, rows[-1][0])], "id int, text string"), net).collect()}
+    assert got == {1: "fr", 2: "en"}
