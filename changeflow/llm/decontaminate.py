@@ -74,15 +74,16 @@ def tokens(text: Column, whole: bool = False) -> Column:
     t = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{MARK}{POINT}{SIGN}]", " ")
     t = F.regexp_replace(t, rf"(?=\p{{Lu}}\p{{Ll}})(?<![\p{{L}}\p{{N}}]['’\-]?)(?!(?:{'|'.join(NO_NAMES)})(?![\p{{L}}\p{{N}}]))", NAME)
     if whole:
-        t = F.regexp_replace(t, r"(?<=[0-9]),(?=[0-9]{3}(?![0-9]))", "")
-        t = F.regexp_replace(t, r"(?<=[0-9])\.(?=[0-9])", POINT)
+        t = F.regexp_replace(t, r",(?<=[0-9],)(?=[0-9]{3}(?![0-9]))", "")
+        t = F.regexp_replace(t, r"\.(?<=[0-9]\.)(?=[0-9])", POINT)
     t = F.lower(t)
     plain = F.regexp_replace(t, rf"[^\p{{L}}\p{{N}}{MARK}{POINT}]+", " ")
-    one = rf"(?<![{OPERATORS}])([{OPERATORS}])(?![{OPERATORS}])"
-    signs = F.regexp_replace(t, rf"(?<=[0-9] ?){one}|{one}(?= ?[0-9])|(?<=[0-9] )(-)(?= )|(?<= )(-)(?= [0-9])", f" {SIGN}$1$2$3$4 ")
+    # Patterns begin with what is rare, so that most places fail at their first character.
+    one = rf"([{OPERATORS}])(?<![{OPERATORS}][{OPERATORS}])(?![{OPERATORS}])(?:(?<=[0-9] ?[{OPERATORS}])|(?= ?[0-9]))"
+    signs = F.regexp_replace(t, rf"{one}|(-)(?:(?<=[0-9] -)(?= )|(?<= -)(?= [0-9]))", f" {SIGN}$1$2 ")
     signs = F.regexp_replace(signs, rf"(?:(?<!{SIGN})[^\p{{L}}\p{{N}}{MARK}{POINT}{SIGN}])+", " ")
-    digits = F.regexp_replace(F.regexp_replace(signs, rf"(?<![\p{{L}}0-9{POINT}])([0-9]+(?:{POINT}[0-9]+)*)", rf" {NUMBER}$1 "), " +", " ")
-    units = F.regexp_replace(digits, rf"(?<={NUMBER}[0-9{POINT}]{{1,40}} )(?=(?:{'|'.join(UNITS)})(?: |$))", UNIT)
+    digits = F.regexp_replace(F.regexp_replace(signs, rf"(?=[0-9])(?<![\p{{L}}0-9{POINT}])([0-9]+(?:{POINT}[0-9]+)*)", rf" {NUMBER}$1 "), " +", " ")
+    units = F.regexp_replace(digits, rf"(?<= )(?<={NUMBER}[0-9{POINT}]{{1,40}} )(?=(?:{'|'.join(UNITS)})(?: |$))", UNIT)
     t = F.when(t.rlike("[0-9]"), units).otherwise(plain)
     return F.array_remove(F.split(F.trim(t), " +"), "")
 
