@@ -33,11 +33,14 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return save_at(df, name)[0]
 
 
-def save_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """As ``save``, with the path written to, for tables that can be removed before the job ends."""
+def save_at(df: DataFrame, name: str, *by: str) -> tuple[DataFrame, str]:
+    """As ``save``, with the path written to, for tables that can be removed before the job ends.
+
+    ``by`` names columns whose values get folders of their own, to be removed one by one.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
