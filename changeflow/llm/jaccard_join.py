@@ -41,7 +41,9 @@ ORDER_MIN = 4
 ORDER_TOKENS = 1 << 18
 # Candidates in one inverted index; words a worker remembers; ids broadcast when they number fewer.
 INDEX_ROWS = 256
-CACHE_WORDS = 500_000
+CACHE_WORDS = 100_000
+# Rows of text whose sketches a task holds before it hands them on.
+SKETCH_ROWS = 256
 BROADCAST_IDS = 2_000_000
 
 # Odd multipliers and shifts of a 64-bit mixing function.
@@ -148,16 +150,22 @@ def search(query: np.ndarray, members: list[np.ndarray], percent: int) -> list[i
     return found
 
 
+def _slices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for at in range(0, len(frame), SKETCH_ROWS):
+            yield frame.iloc[at : at + SKETCH_ROWS]
+
+
 def _sketch(n: int, percent: int, common: np.ndarray):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
-        for frame in frames:
+        for frame in _slices(frames):
             rows = []
             for doc_id, text in zip(frame["doc_id"].tolist(), frame["text"].tolist()):
                 tokens = shingles(text, n, hashes)
                 sign = xxhash.xxh3_128_digest(tokens.tobytes())
                 s1, s2 = np.frombuffer(sign, np.int64).tolist()
-                rows.append((doc_id, len(tokens), s1, s2, hub_keys(tokens), prefix(tokens, percent, common).view(np.int64)))
+                rows.append((doc_id, len(tokens), s1, s2, hub_keys(tokens), prefix(tokens, percent, common).view(np.int64).copy()))
             yield pd.DataFrame(rows, columns=["doc_id", "n", "s1", "s2", "hub_keys", "prefix"])
 
     return run
@@ -166,7 +174,7 @@ def _sketch(n: int, percent: int, common: np.ndarray):
 def _tokens(n: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
-        for frame in frames:
+        for frame in _slices(frames):
             for text in frame["text"].tolist():
                 yield pd.DataFrame({"token": shingles(text, n, hashes).view(np.int64)})
 
