@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeflow.llm.common import read, save
+from changeflow.llm.common import arrow_rows, read, save
 from changeflow.llm.components import components
 
 # Hub keys per node, and minima in each.
@@ -41,8 +41,10 @@ ORDER_MIN = 4
 ORDER_TOKENS = 1 << 18
 # Candidates in one inverted index; words a worker remembers; ids broadcast when they number fewer.
 INDEX_ROWS = 256
-CACHE_WORDS = 500_000
+CACHE_WORDS = 100_000
 BROADCAST_IDS = 2_000_000
+# Rows of texts that a Python stage holds at a time.
+BATCH_ROWS = 512
 
 # Odd multipliers and shifts of a 64-bit mixing function.
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -157,7 +159,7 @@ def _sketch(n: int, percent: int, common: np.ndarray):
                 tokens = shingles(text, n, hashes)
                 sign = xxhash.xxh3_128_digest(tokens.tobytes())
                 s1, s2 = np.frombuffer(sign, np.int64).tolist()
-                rows.append((doc_id, len(tokens), s1, s2, hub_keys(tokens), prefix(tokens, percent, common).view(np.int64)))
+                rows.append((doc_id, len(tokens), s1, s2, hub_keys(tokens), prefix(tokens, percent, common).view(np.int64).copy()))
             yield pd.DataFrame(rows, columns=["doc_id", "n", "s1", "s2", "hub_keys", "prefix"])
 
     return run
@@ -199,7 +201,8 @@ def common_tokens(docs: DataFrame, n: int) -> np.ndarray:
     """Hashes of n-grams found in several documents of the ordering sample, the commonest ORDER_TOKENS."""
     some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("order")), F.lit(ORDER_SAMPLE)) == 0).select("text")
     counts = some.mapInPandas(_tokens(n), "token long").groupBy("token").count().where(F.col("count") >= ORDER_MIN)
-    got = counts.orderBy(F.desc("count"), "token").limit(ORDER_TOKENS).select("token").toPandas()["token"].to_numpy(np.int64)
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        got = counts.orderBy(F.desc("count"), "token").limit(ORDER_TOKENS).select("token").toPandas()["token"].to_numpy(np.int64)
     return np.sort(got.view(np.uint64))
 
 
@@ -214,7 +217,7 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _links(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The candidate ``pairs`` (a, b of ids) that are links, verified on the texts."""
+    """The candidate ``pairs`` (a, b of ids) that are links, verified on the texts; written."""
     pairs = save(pairs, "pairs")
     ids = save(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "pair-ids")
     texts = save(_texts(docs, ids).dropDuplicates(["id", "text"]), "pair-texts")
@@ -222,7 +225,8 @@ def _links(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame
     rows = rows.join(texts.select(F.col("id").alias("a"), F.col("text").alias("a_text")), "a")
     # A doc_id that repeats with other texts has a run for each of them.
     rows = rows.select("a", "b", "a_text", "b_text", F.xxhash64("a_text").alias("a_hash")).sortWithinPartitions("a", "a_hash").drop("a_hash")
-    return rows.mapInPandas(_verify(n, percent), "a long, b long")
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        return save(rows.mapInPandas(_verify(n, percent), "a long, b long"), "pair-links")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -259,7 +263,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     common = common_tokens(docs, n)
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # null ids would turn integers into floats in pandas
     sketch = rows.mapInPandas(_sketch(n, percent, common), "doc_id string, n long, s1 long, s2 long, hub_keys array<long>, prefix array<long>")
-    sketch = save(sketch.withColumn("doc_id", F.col("doc_id").cast("long")), "sketches")
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        sketch = save(sketch.withColumn("doc_id", F.col("doc_id").cast("long")), "sketches")
     known = sketch.where("doc_id IS NOT NULL AND n > 0")
     node_of = save(known.groupBy("s1", "s2").agg(F.min("doc_id").alias("node")), "nodes")
     # One row per node: the row that carries its smallest doc_id.
@@ -269,7 +274,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     keyed = nodes.select("node", F.explode("hub_keys").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top")
     stars = keyed.join(hubs, "key").where("node > hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = save(_links(docs, stars, n, percent), "hub-links")
+    links = _links(docs, stars, n, percent)
     first = components(links)
 
     # Nodes of no hub link are components of their own.
@@ -286,7 +291,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     # Nodes of one doc_id belong together.
     same = known.select("doc_id", "s1", "s2").join(node_of, ["s1", "s2"]).groupBy("doc_id").agg(F.collect_set("node").alias("of")).where(F.size("of") > 1)
     same = same.select(F.array_min("of").alias("a"), F.explode("of").alias("b")).where("a < b")
-    links = links.unionByName(save(_links(docs, pairs, n, percent), "list-links")).unionByName(same)
+    links = links.unionByName(_links(docs, pairs, n, percent)).unionByName(same)
 
     groups = components(links)
     of_set = node_of.join(groups, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component"))

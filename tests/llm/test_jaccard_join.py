@@ -2,9 +2,11 @@ import collections
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from changeflow.llm import jaccard_join as J
+from changeflow.llm.common import arrow_rows
 from changeflow.llm.components import components
 from .llm_fixtures import SF_SMALL
 
@@ -128,3 +130,14 @@ def test_components(spark):
 def test_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()]
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in J.op6_jaccard_join(spark, SF_SMALL).collect()} == brute(rows, 4, 85)
+
+
+def test_batch_setting_is_put_back(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    with pytest.raises(RuntimeError), arrow_rows(spark, 7):
+        assert spark.conf.get(key) == "7"
+        sizes = spark.range(100, numPartitions=1).mapInPandas(lambda frames: (pd.DataFrame({"n": [len(f)]}) for f in frames), "n long")
+        assert max(r.n for r in sizes.collect()) == 7
+        raise RuntimeError
+    assert spark.conf.get(key) == before
