@@ -15,6 +15,7 @@ import math
 import re
 import string
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -39,13 +40,16 @@ FORMATS = {
     "slack": r"\bxox[abprs]-[A-Za-z0-9\-]{10,}",
     "google": r"\bAIza[0-9A-Za-z_\-]{35}",
     "stripe": r"\b[sr]k_(?:live|test)_[0-9A-Za-z]{16,}",
-    "jwt": r"\beyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}",
+    "jwt": r"(?<![A-Za-z0-9_\-])[A-Za-z0-9_\-]++(?:\.[A-Za-z0-9_\-]++)++",
     "private_key": r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:[^-]|-(?!----))*(?:-----END (?:[A-Z]+ )*PRIVATE KEY-----)?",
     "url_password": r"(?<=://)[^\s/:@]{1,64}:[^\s/@]{3,}(?=@)",
     "assigned": r"(?:(?<=[:=])|(?<=[:=]\s))[\"']?[A-Za-z0-9+/_\-.=!@#$%^&*]{8,}[\"']?",
     "run": r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{20,}={0,2}(?![A-Za-z0-9+/_\-])",
 }
 PATTERNS = {k: re.compile(v) for k, v in FORMATS.items()}
+# The head of a token in a part of a dotted run (the pattern "jwt"), and the fewest characters of its other parts.
+TOKEN_HEAD = re.compile(r"\beyJ[A-Za-z0-9_\-]{8}")
+TOKEN_PART = 8
 # Formats of no known issuer, and the fewest characters of each.
 GENERIC = {"assigned": 8, "run": 20}
 GOOD_WORDS = ["key", "apikey", "secret", "token", "password", "passwd", "pwd", "auth", "bearer", "credential", "credentials", "private", "access", "api", "client", "login"]
@@ -71,6 +75,29 @@ def _proposed(text: str, start: int, end: int) -> bool:
     return bool(before) and any(w in before[-1] for w in GOOD_WORDS)
 
 
+def _tokens(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """The three-part tokens of a dotted run: a head in one part, two long parts behind it. Each part is looked at once."""
+    parts = text[start:end].split(".")
+    ends = list(accumulate((len(p) + 1 for p in parts), initial=start))[1:]
+    i = 0
+    while i + 2 < len(parts):
+        last = ends[i] - 1
+        head = TOKEN_HEAD.search(text, last - len(parts[i]), last) if min(map(len, parts[i + 1 : i + 3])) >= TOKEN_PART else None
+        if head:
+            yield head.start(), ends[i + 2] - 1
+        i += 3 if head else 1
+
+
+def _known(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, kind) of what has the format of a known issuer."""
+    for kind, pattern in PATTERNS.items():
+        if kind in GENERIC:
+            continue
+        for m in pattern.finditer(text):
+            for start, end in _tokens(text, *m.span()) if kind == "jwt" else [m.span()]:
+                yield start, end, kind
+
+
 def candidates(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of each candidate, without the quotes around it.
 
@@ -79,7 +106,7 @@ def candidates(text: str | None) -> list[tuple[int, int, str]]:
     first and longest; what a run or value has left beside them is looked at alone.
     """
     text = text or ""
-    known = sorted(((*_trimmed(text, *m.span()), k) for k, x in PATTERNS.items() if k not in GENERIC for m in x.finditer(text)), key=lambda c: (c[0], -c[1]))
+    known = sorted(((*_trimmed(text, start, end), kind) for start, end, kind in _known(text)), key=lambda c: (c[0], -c[1]))
     out: list[tuple[int, int, str]] = []
     for c in known:
         if not out or c[0] >= out[-1][1]:

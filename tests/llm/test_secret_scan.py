@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -43,6 +45,26 @@ def test_known_formats_and_letters_are_not_cut():
     assert a != b
 
 
+def test_three_part_tokens():
+    plain = re.compile(r"\beyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}")
+    draw = random.Random(5)
+    pieces = ["eyJ", "eyJabcdefgh", "eyJabcdefgh.", "-", ".", "abcdefgh", "abcdefgh.", "a", " ", "\u00e9", "_", "12345678"]
+    seen = 0
+    for _ in range(20_000):
+        text = "".join(draw.choice(pieces) for _ in range(draw.randrange(3, 16)))
+        want = [m.span() for m in plain.finditer(text)]
+        assert [(a, b) for a, b, k in S._known(text) if k == "jwt"] == want
+        seen += len(want)
+    assert seen > 500
+
+
+def test_token_search_is_linear():
+    began = time.time()
+    for text in ("-eyJabcdefgh" * 60_000, "eyJabcdefgh." * 60_000 + "-", "a.b-eyJ" * 100_000):
+        list(S._known(text))
+    assert time.time() - began < 20
+
+
 def test_letters_only_password_scores_as_secret(spark, forest):
     docs = spark.createDataFrame([(1, 'the password = "correcthorsebattery" here')], "doc_id long, text string")
     assert [r.value for r in S.scan(docs, forest, []).collect()] == ["correcthorsebattery"]
