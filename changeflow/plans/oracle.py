@@ -164,9 +164,11 @@ def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["scan_orders"] = "SELECT * FROM orders"
     q["stored_documents"] = "SELECT o_orderkey AS _id, o_custkey AS user_id, o_orderstatus AS status FROM orders"
-    q["key_gaps"] = ("WITH f AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') SELECT n AS o_orderkey FROM "
-                     "(SELECT unnest(generate_series((SELECT MIN(o_orderkey) FROM f), (SELECT MAX(o_orderkey) FROM f))) AS n) "
-                     "WHERE n NOT IN (SELECT o_orderkey FROM f)")
+    q["key_gaps"] = ("WITH n AS (SELECT unnest(generate_series((SELECT MIN(o_orderkey) FROM orders), (SELECT MAX(o_orderkey) FROM orders))) AS k), "
+                     "s AS (SELECT o_orderstatus, MIN(o_orderkey) AS lo, MAX(o_orderkey) AS hi FROM orders WHERE o_orderstatus IS NOT NULL GROUP BY o_orderstatus) "
+                     "SELECT CAST(NULL AS VARCHAR) AS o_orderstatus, k AS o_orderkey FROM n WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = k) "
+                     "UNION ALL SELECT s.o_orderstatus, k FROM s JOIN n ON k BETWEEN lo AND hi "
+                     "WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = k AND o.o_orderstatus = s.o_orderstatus)")
     q["written_tables"] = W_V + "SELECT * FROM v1"
     q["loaded_together"] = W_V + ("SELECT 'orders' AS name, k, status AS value FROM v2 "
                                   "UNION ALL SELECT 'users', c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0")

@@ -52,10 +52,14 @@ def stored_documents(spark, d):
 
 
 def key_gaps(spark, d):
-    """SRC-6: keys between the smallest and the largest filled order that no filled order has."""
-    o = _t(spark, d, "orders").filter(F.col("o_orderstatus") == "F")
-    lo, hi = o.agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
-    return series(spark, lo, hi, "o_orderkey").join(o.select("o_orderkey"), "o_orderkey", "left_anti")
+    """SRC-6: keys between the smallest and the largest order key that no order has (o_orderstatus null), and the same within each status."""
+    o = _t(spark, d, "orders").select("o_orderstatus", "o_orderkey")
+    lo, hi = o.agg(F.coalesce(F.min("o_orderkey"), F.lit(0)), F.coalesce(F.max("o_orderkey"), F.lit(-1))).first()
+    keys = series(spark, lo, hi, "o_orderkey")
+    spans = o.filter("o_orderstatus IS NOT NULL").groupBy("o_orderstatus").agg(F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"))
+    each = spans.join(keys, keys["o_orderkey"].between(spans["lo"], spans["hi"])).select("o_orderstatus", "o_orderkey")
+    of_all = op.absent_in(keys, o, ["o_orderkey"]).select(F.lit(None).cast("string").alias("o_orderstatus"), "o_orderkey")
+    return of_all.unionByName(op.absent_in(each, o, ["o_orderstatus", "o_orderkey"]))
 
 
 def written_tables(spark, d):
