@@ -192,7 +192,9 @@ SELECT DISTINCT "table", 'removed' AS change FROM mixed WHERE "table" NOT IN (SE
     q["route_topics"] = _with(_MIXED) + (
         f"SELECT \"table\", key, 'ecomm-postgres.' || \"table\" AS topic FROM mixed WHERE \"table\" IN {_SCENARIO}")
 
-    q["absent_keys"] = "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')"
+    q["absent_keys"] = ("SELECT c_custkey, c_name, CAST(NULL AS VARCHAR) AS o_orderstatus FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) "
+                        "UNION ALL SELECT c_custkey, c_name, s.o_orderstatus FROM customer, (SELECT DISTINCT o_orderstatus FROM orders WHERE o_orderstatus IS NOT NULL) s "
+                        "WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c_custkey AND o.o_orderstatus = s.o_orderstatus)")
     q["exists_flag"] = ("SELECT EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'F') AS has_f, "
                         "EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'Z') AS has_z")
     q["fk_lookup"] = ("SELECT o.o_orderkey, c.c_name, n.n_name FROM orders o "

@@ -150,9 +150,12 @@ def route_topics(spark, d):
 
 
 def absent_keys(spark, d):
-    """JN-3: customers without a pending order."""
-    c, o = _t(spark, d, "customer"), _t(spark, d, "orders").filter(F.col("o_orderstatus") == "P")
-    return op.absent_in(c.select("c_custkey", "c_name"), o.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    """JN-3: customers without an order (o_orderstatus null), and customers without an order of each status there is."""
+    c = _t(spark, d, "customer").select("c_custkey", "c_name")
+    o = _t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderstatus")
+    statuses = o.select("o_orderstatus").filter("o_orderstatus IS NOT NULL").distinct()
+    of_all = op.absent_in(c, o, ["c_custkey"]).withColumn("o_orderstatus", F.lit(None).cast("string"))
+    return of_all.unionByName(op.absent_in(c.crossJoin(statuses), o, ["c_custkey", "o_orderstatus"]))
 
 
 def exists_flag(spark, d):

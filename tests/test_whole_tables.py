@@ -35,3 +35,11 @@ def test_key_gaps_of_all_orders(spark, shop):
 def test_key_gaps_of_no_orders(spark, scratch):
     spark.createDataFrame([], "o_orderkey long, o_orderstatus string").write.parquet(f"{scratch}/orders.parquet")
     assert QUERIES["key_gaps"](spark, scratch).collect() == []
+
+
+def test_absent_keys_of_all_orders(spark, shop):
+    got = QUERIES["absent_keys"](spark, shop)
+    assert rows(got.filter("o_orderstatus IS NULL"), "c_custkey", "c_name") == [(40, "c40")]
+    want = [(10, "O"), (10, "P"), (20, "F"), (30, "F"), (30, "P"), (40, "F"), (40, "O"), (40, "P")]
+    assert rows(got.filter("o_orderstatus IS NOT NULL"), "c_custkey", "o_orderstatus") == want
+    _same_as_sql("absent_keys", shop, got)
