@@ -14,12 +14,13 @@ expressions only.
 from __future__ import annotations
 
 import functools
+import itertools
 import operator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeflow.llm.common import let, read, save
+from changeflow.llm.common import read, save
 from changeflow.session import broadcast_if_bounded
 
 WINDOW = 8
@@ -47,6 +48,8 @@ POINT = "\x02"
 SIGN = "\x03"
 OPERATORS = "+*=/×÷"
 NAME, NUMBER, UNIT = MARK + "a", MARK + "n", MARK + "u"
+# Bits of a token's code: its kind, and the hash of its value.
+KIND, VALUE = 3, -4
 # Unit words recognised after a number.
 UNITS = [
     "percent", "degrees", "mm", "cm", "m", "km", "inches", "inch", "feet", "foot", "yards", "miles", "mile", "meters", "metres",
@@ -94,32 +97,31 @@ def _plain(token: Column) -> Column:
 
 
 def _codes(toks: Column) -> Column:
-    """(v, k) of every token: the hash of its value, and 0 for a plain token, 1 for a name, 2 for a number, 3 for a unit."""
-    code = lambda value, kind: F.struct(F.xxhash64(value).alias("v"), kind.cast("long").alias("k"))
+    """One number a token: the hash of its value, whose two lowest bits are 0 for a plain token, 1 for a name, 2 for a number, 3 for a unit."""
+    value = lambda x: F.xxhash64(x).bitwiseAND(F.lit(VALUE))
     kind = lambda x: F.when(F.startswith(x, F.lit(NAME)), 1).when(F.startswith(x, F.lit(NUMBER)), 2).otherwise(3)
-    return F.transform(toks, lambda x: F.when(F.startswith(x, F.lit(MARK)), code(_plain(x), kind(x))).otherwise(code(x, F.lit(0))))
+    return F.transform(toks, lambda x: F.when(F.startswith(x, F.lit(MARK)), value(_plain(x)).bitwiseOR(kind(x))).otherwise(value(x)))
 
 
-def seeds(codes: Column, n: int) -> Column:
-    """(pos, hs) of every run of ``n`` tokens, in order: the hashes under which it meets its like.
+def seeds(run: list[Column]) -> tuple[Column, Column]:
+    """The one or two hashes under which the run of these codes meets its like; null where there is none.
 
     A run of which at most half are slots has its template's hash, and the hash
     in which names stand for themselves, so that copies in which other words or
     none look like names (all capitals, all small, other punctuation) are met. Of
     a run with more slots the template says too little: its plain values are hashed.
     """
-
-    def forms(p: Column) -> Column:
-        run = [F.get(codes, p + k) for k in range(n)]
-        total = lambda cols: functools.reduce(operator.add, [c.cast("int") for c in cols])
-        slots, values = total(c["k"] > 0 for c in run), total(c["k"] > 1 for c in run)
-        hashed = lambda least: F.xxhash64(F.lit(n), *[F.when(c["k"] > least, c["k"]).otherwise(c["v"]) for c in run])
-        found = [F.when(slots * 2 <= n, hashed(0)), F.when(slots * 2 > n, hashed(3)), F.when(values * 2 <= n, hashed(1))]
-        plain = functools.reduce(Column.bitwiseOR, [c["k"] for c in run]) == 0
-        return F.struct(p.alias("pos"), F.when(plain, F.array(hashed(3))).otherwise(F.array_distinct(F.array_compact(F.array(*found)))).alias("hs"))
-
-    none = F.array().cast("array<struct<pos:int,hs:array<bigint>>>")
-    return F.when(F.size(codes) >= n, F.transform(F.sequence(F.lit(0), F.greatest(F.size(codes) - n, F.lit(0))), forms)).otherwise(none)
+    n = len(run)
+    kind = lambda c: c.bitwiseAND(F.lit(KIND))
+    total = lambda least: functools.reduce(operator.add, [(kind(c) > least).cast("int") for c in run])
+    slots, values = total(0), total(1)
+    # Kinds above ``least`` stand for their values.
+    hashed = lambda least: F.xxhash64(F.lit(n), *[F.when(kind(c) > least, kind(c)).otherwise(c.bitwiseAND(F.lit(VALUE))) for c in run])
+    slotted = kind(functools.reduce(Column.bitwiseOR, run)) > 0
+    least = F.when(slots * 2 <= n, F.lit(0)).otherwise(F.lit(3))
+    first = F.when(slotted, hashed(least)).otherwise(F.xxhash64(F.lit(n), *run))
+    named = slotted & (values < slots) & (values * 2 <= n) & ((slots * 2 <= n) | (values > 0))
+    return F.when(run[-1].isNotNull(), first), F.when(named, hashed(F.lit(1)))
 
 
 def benchmark_items(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
@@ -133,9 +135,17 @@ def benchmark_items(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
 
 
 def _seeded(df: DataFrame, sizes: list[int], *cols: str) -> DataFrame:
-    """``cols``, pos and h of every run of each of ``sizes`` of the rows' ``toks``; the tokens are coded once."""
-    runs = let(_codes(F.col("toks")), lambda codes: F.concat(*[seeds(codes, n) for n in sizes]))
-    return df.select(*cols, F.explode(runs).alias("run")).select(*cols, F.col("run.pos").alias("pos"), F.explode("run.hs").alias("h"))
+    """``cols``, pos and h of every run of each of ``sizes`` of the rows' ``toks``; the tokens are coded once.
+
+    Places are rows before their runs are hashed, as expressions inside a lambda are not compiled.
+    """
+    at = df.select(*cols, _codes(F.col("toks")).alias("codes")).select(*cols, "codes", F.posexplode_outer("codes").alias("pos", "c0"))
+    at = at.select(*cols, "pos", "c0", *[F.get("codes", F.col("pos") + k).alias(f"c{k}") for k in range(1, max(sizes))])
+    hashes = [seeds([F.col(f"c{k}") for k in range(n)]) for n in sizes]
+    at = at.select(*cols, "pos", *[h.alias(f"h{k}") for k, h in enumerate(itertools.chain(*hashes))])
+    none = F.array().cast("array<bigint>")
+    found = [F.when(F.col(f"h{k}").isNull(), none).when(F.col(f"h{k + 1}").isNull(), F.array(f"h{k}")).otherwise(F.array(f"h{k}", f"h{k + 1}")) for k in range(0, 2 * len(sizes), 2)]
+    return at.select(*cols, "pos", F.explode(F.concat(*found) if len(found) > 1 else found[0]).alias("h"))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:

@@ -2,6 +2,7 @@ import collections
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from changeflow.llm import decontaminate as D
@@ -155,3 +156,49 @@ def test_no_python_in_plan(spark, odd):
     bench = spark.createDataFrame([(1, QUESTION)], "item_id long, text string")
     plan = D.matches(odd, bench)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("EvalPython", "InPandas", "InArrow")) and "CartesianProduct" not in plan
+
+
+def seeded(spark, *texts, sizes=(4,)):
+    """The hashes at each place of each text's tokens."""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, t string").select("doc_id", D.tokens(F.col("t"), whole=True).alias("toks"))
+    out = [collections.defaultdict(list) for _ in texts]
+    for r in D._seeded(df, list(sizes), "doc_id").collect():
+        out[r.doc_id][r.pos].append(r.h)
+    return out
+
+
+def test_seeds(spark):
+    """Slots meet by their types where words tell enough, by their values where they do not; no run passes the end."""
+    a, b, c, d, e, f, g = seeded(spark, "with Tom has 12 apples", "with Anna has 7 apples", "with tom has 12 apples", "12 7 5 has", "12 7 6 has", "one two", "")
+    assert sorted(a) == sorted(b) == [0, 1] and len(f) == len(g) == 0
+    assert set(a[0]) & set(b[0]) and set(a[0]) & set(c[0]) and not set(b[0]) & set(c[0])
+    assert len(a[0]) == 2 and len(c[0]) == 1
+    assert len(d[0]) == 1 and d[0] != e[0]
+    (short,) = seeded(spark, "one two three", sizes=(1, 2, 3, 4))
+    assert [len(short[p]) for p in range(3)] == [3, 2, 1]
+
+
+@pytest.fixture()
+def unadaptive(spark):
+    """Plans are final before they run, so their code can be looked at."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_runs_are_hashed_by_compiled_code(spark, unadaptive):
+    """No run is hashed inside a lambda, and no method is too long for the JVM to compile (8,000 bytes)."""
+    import contextlib
+    import io
+
+    df = spark.createDataFrame([(1, ["a"])], "doc_id long, toks array<string>")
+    for sizes in ([4], [1, 2, 3, 4]):
+        runs = D._seeded(df, sizes, "doc_id")
+        plan = runs._jdf.queryExecution().optimizedPlan().toString()
+        assert "sequence(" not in plan and plan.count("transform(") == 1
+        code = io.StringIO()
+        with contextlib.redirect_stdout(code):
+            runs.explain("codegen")
+        lengths = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", code.getvalue())]
+        assert lengths and max(lengths) < 8000
