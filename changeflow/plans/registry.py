@@ -57,7 +57,8 @@ def key_gaps(spark, d):
     lo, hi = o.agg(F.coalesce(F.min("o_orderkey"), F.lit(0)), F.coalesce(F.max("o_orderkey"), F.lit(-1))).first()
     keys = series(spark, lo, hi, "o_orderkey")
     spans = o.filter("o_orderstatus IS NOT NULL").groupBy("o_orderstatus").agg(F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"))
-    each = spans.join(keys, keys["o_orderkey"].between(spans["lo"], spans["hi"])).select("o_orderstatus", "o_orderkey")
+    spans = spans.agg(F.collect_list(F.struct("o_orderstatus", "lo", "hi"))).scalar()
+    each = keys.select("o_orderkey", spans.alias("spans")).select("o_orderkey", F.inline("spans")).filter("o_orderkey BETWEEN lo AND hi").select("o_orderstatus", "o_orderkey")
     of_all = op.absent_in(keys, o, ["o_orderkey"]).select(F.lit(None).cast("string").alias("o_orderstatus"), "o_orderkey")
     return of_all.unionByName(op.absent_in(each, o, ["o_orderstatus", "o_orderkey"]))
 
